@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlake.llm import archive, exact_dedup, mixing
+from contractlake.llm import archive, exact_dedup, language_id, mixing, token_ids, toxicity
 from contractlake.llm.common import new_path, table
 
 
+def _tokenizer(name: str) -> str:
+    """Where the public tokenizers' file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
@@ -71,8 +78,23 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, tokenizer = new_path(spark, "token-shards"), _tokenizer("word_bpe_49k.json")
+    token_ids.write_shards(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer, path)
+    return token_ids.read_documents(spark, path, tokenizer)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_exact_dedup)}
+    found = (op1_mixing, op2_token_ids, op3_warc, op4_exact_dedup, op6_toxicity, op10_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
