@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlake.llm import archive, exact_dedup, language_id, mixing, near_dedup, token_ids, toxicity
+from contractlake.llm import archive, exact_dedup, inner_products, language_id, mixing, near_dedup, sentence_pieces, token_ids, toxicity
 from contractlake.llm.common import new_path, table
 
 
@@ -88,6 +88,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -98,7 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_mixing, op2_token_ids, op3_warc, op4_exact_dedup, op6_toxicity, op9_near_dedup, op10_language_id)
+    found = (op1_mixing, op2_token_ids, op3_warc, op4_exact_dedup, op6_toxicity, op7_top_k, op8_sentence_pieces, op9_near_dedup, op10_language_id)
     return {f.__name__: f for f in found}
 
 
