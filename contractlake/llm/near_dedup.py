@@ -6,8 +6,8 @@
    in each band, are paired with all its classes: a number of pairs in proportion to the members.
 3. Pairs whose sizes or registers (joint likelihood) rule out the threshold go; for the others both
    whole shingle sets are intersected. Links give components.
-4. What no hub settled follows: pairs in one key whose classes are in different components, and
-   were not compared yet. Then the components are final.
+4. Classes that share a key with another component and were not all compared are paired through
+   their rarest shingles (prefix filter, exact), again only across components. Then these are final.
 
 A pair at similarity 0.75 shares no key with a probability of about 3e-6, and is ruled out by its
 registers (five standard deviations) with less.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contractlake.llm import sketch
@@ -92,20 +93,23 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(likely("regs_a", "regs_b", "n_a", "n_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the threshold, as (u, v)."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls, members (the whole shingle set) of the wanted classes, from the text of one row of each."""
     stand = classes.join(wanted, "cls", "left_semi").select("cls", F.col("stand.doc_id").alias("stand_id"), F.col("stand.fp").alias("fp"))
     texts = docs.select("doc_id", row_print().alias("fp"), F.col("text").cast("binary").alias("text"))
     found = texts.join(stand, (texts["fp"] == stand["fp"]) & texts["doc_id"].eqNullSafe(stand["stand_id"])).select("cls", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sketch.shingles(x.as_buffer().to_pybytes()).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "members"])
+            sets = [sketch.shingles(x.as_buffer().to_pybytes()).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"])
+
+    # Repeated rows that stand for one class bring its set twice.
+    return stage(found.mapInArrow(gather, "cls binary, members array<long>").dropDuplicates(["cls"]), "near-sets")
+
 
-    # A repeated row that stands for its class would bring its set twice: links are made distinct below.
-    sets = stage(found.mapInArrow(gather, "cls binary, members binary"), "near-sets")
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets reach the threshold, as (u, v)."""
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
 
@@ -113,7 +117,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -122,6 +126,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return joined.mapInArrow(check, "u binary, v binary")
 
 
+def _classes_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _prefix_pairs(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of `unsettled` classes (cls, n, root) in different components that can reach the threshold.
+
+    Shingles are ordered by how many of the classes hold them, rarest first. Sets at the threshold
+    share one of the first n - ceil(0.75 n) + 1 in either, so passages that many documents share
+    make no pairs unless they are most of a document.
+    """
+    tokens = sets.join(unsettled, "cls").select("cls", "n", "root", F.explode("members").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    turn = F.row_number().over(W.partitionBy("cls", "n", "root").orderBy("held", "token"))
+    first = tokens.join(held, "token").withColumn("turn", turn)
+    first = first.filter((F.col("turn") <= F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1) & (F.col("held") > 1))
+    first = stage(first.select("token", "cls", "n", "root"), "near-prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, meet & _comparable("x.n", "y.n"))
+    return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links found (u, v) and the components (u, root) of the classes that have one."""
     rows = band_rows(classes)
@@ -141,20 +168,19 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
     ).distinct()
     compared = stage(star, "near-pairs")
     likely = stage(_likely(compared, classes), "near-likely")
-    links = stage(_verified(likely, classes, docs), "near-links")
+    links = stage(_verified(likely, _sets(_classes_in(likely), classes, docs)), "near-links")
     roots = stage(components(links), "near-roots")
-    # What is left: pairs in one key, in different components, that no hub settled.
+    # What is left: classes that share a key with another component, of whose pairs the hubs settled some only.
     placed = members.join(roots.withColumnRenamed("u", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi and members > 2").select("key")
-    open_keys = stage(placed.join(several, "key"), "near-open")
-    one, two = open_keys.alias("x"), open_keys.alias("y")
-    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _comparable("x.n", "y.n"))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
-    rest = stage(_likely(rest.join(compared.select("a", "b"), ["a", "b"], "left_anti"), classes), "near-rest")
-    if not rest.isEmpty():
-        links = stage(links.union(_verified(rest, classes, docs)), "near-links")
-        roots = stage(components(links), "near-roots")
-    return links, roots
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
+    several = several.filter("lo < hi and members > 2").select("key")
+    unsettled = stage(placed.join(several, "key", "left_semi").select("cls", "n", "root").distinct(), "near-unsettled")
+    if unsettled.isEmpty():
+        return links, roots
+    sets = _sets(unsettled.select("cls"), classes, docs)
+    rest = _prefix_pairs(unsettled, sets).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    links = stage(links.union(_verified(_likely(rest, classes), sets)), "near-links")
+    return links, stage(components(links), "near-roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
