@@ -72,6 +72,11 @@ def fill_targets(sources: DataFrame, share: float, max_repeats: float) -> DataFr
     )
 
 
+def row_print() -> Column:
+    """Names a row by its id, source and text; only ever compared together with the id."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -85,15 +90,11 @@ def mix(
     `weights` go to the sources by code point, repeating; `schedule(weight, rank)` gives a source's
     knots. Columns: doc_id, size, source_size, target, taken, position (of its first words; those
     of which nothing is taken stand after 1), passes (array of struct<words, position>, one each
-    time the mix reads the document; the last pass may read only its head).
+    time the mix reads the document; the last pass may read only its head), fp (names the row).
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")).withColumn(
-            "bucket", F.substring("key", 1, BUCKET_DIGITS)
-        ),
-        "mix-sizes",
-    )
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), row_print().alias("fp"))
+    sizes = stage(sizes.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "mix-sizes")
     buckets = stage(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     pick = F.array(*[F.lit(float(w)) for w in weights])
     sources = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -112,7 +113,7 @@ def mix(
         starts.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))
     )
     start, quota = F.col("base") + F.col("inner"), F.floor("target")
-    rows = rows.select("doc_id", "size", "source_size", "target", "key", start.alias("start"), quota.alias("quota"), "knots", "areas")
+    rows = rows.select("doc_id", "fp", "size", "source_size", "target", "key", start.alias("start"), quota.alias("quota"), "knots", "areas")
 
     def reading(k: Column) -> Column:
         at = k * F.col("source_size") + F.col("start")
@@ -125,5 +126,22 @@ def mix(
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda n, p: n + p["words"])
     left_out = 1 + F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(16**12)
     rows = rows.withColumn("taken", taken).withColumn("position", F.coalesce(F.try_element_at("passes", F.lit(1))["position"], F.round(left_out, 9)))
-    out = rows.select("doc_id", "size", "source_size", "target", "taken", "position", "passes")
+    out = rows.select("doc_id", "fp", "size", "source_size", "target", "taken", "position", "passes")
     return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` with all their columns, each as often as the mix reads any of it, in the order of their positions.
+
+    Documents that the mix does not reach are left out; one whose last reading is of its head only
+    counts as read whole.
+    """
+    plan = mix(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "passes")
+    plan = stage(plan, "mix-plan")
+    keyed = docs.withColumn("__print", row_print())
+    per_row = plan.groupBy("__id", "__fp").agg(F.flatten(F.collect_list("passes")).alias("__passes"), F.count(F.lit(1)).alias("__rows"))
+    if not per_row.filter("__rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["__print", "doc_id"])  # the repeated rows' readings are all in one
+    joined = keyed.join(per_row, (F.col("__print") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    read = joined.withColumn("__at", F.explode("__passes"))
+    return read.repartitionByRange(F.col("__at.position")).sortWithinPartitions("__at.position", "doc_id").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlake.llm import archive, exact_dedup, inner_products, language_id, mixing, near_dedup, sentence_pieces, token_ids, toxicity
+from contractlake.llm import archive, exact_dedup, inner_products, language_id, language_model, mixing, near_dedup, sentence_pieces, token_ids, toxicity
 from contractlake.llm.common import new_path, table
 
 
@@ -84,6 +84,29 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_documents(spark, path, tokenizer)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+  SELECT r, unnest(list_concat(['<s> '], words)) AS v, unnest(list_concat(words, ['</s> '])) AS w FROM d WHERE len(words) > 0),
+one AS (SELECT w, count(*)::DOUBLE AS n FROM w GROUP BY w),
+start AS (SELECT v AS w, count(*)::DOUBLE AS n FROM w WHERE v = '<s> ' GROUP BY v),
+two AS (SELECT v, w, count(*)::DOUBLE AS n FROM w GROUP BY v, w),
+s AS (
+  SELECT two.v, two.w, CASE WHEN two.n >= 2 THEN ln(two.n / cv.n) ELSE ln(0.4::DOUBLE * cw.n / (SELECT count(*) FROM w)) END AS s
+  FROM two JOIN (SELECT * FROM one UNION ALL SELECT * FROM start) AS cv ON two.v = cv.w JOIN one AS cw ON two.w = cw.w),
+t AS (SELECT r, count(*) AS n_words, sum(s) AS log_score FROM w JOIN s USING (v, w) GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(log_score, 5) AS log_score, round(log_score / n_words, 6) AS mean_log_score
+FROM d LEFT JOIN t USING (r)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -105,10 +128,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    found = (op1_mixing, op2_token_ids, op3_warc, op4_exact_dedup, op6_toxicity, op7_top_k, op8_sentence_pieces, op9_near_dedup, op10_language_id)
+    found = (
+        op1_mixing, op2_token_ids, op3_warc, op4_exact_dedup, op5_lm_scoring, op6_toxicity, op7_top_k,
+        op8_sentence_pieces, op9_near_dedup, op10_language_id, pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_lm_scoring": OP5_SQL}
