@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from contractlake.llm import boosting
 from contractlake.llm.common import remainder, stage
 
-#: Labelled rows that lexicon and model are fitted on; terms that the lexicon holds; texts with label 1 that a term needs.
-SAMPLE_ROWS, LEXICON_TERMS, LEAST_TEXTS = 8_000, 4_000, 4
+#: Labelled rows that lexicon and model are fitted on; terms that the lexicon holds; texts with label 1 that a term needs, and its
+#: least log-likelihood ratio: by chance, one of some hundred thousand terms reaches it.
+SAMPLE_ROWS, LEXICON_TERMS, LEAST_TEXTS, LEAST_RATIO = 8_000, 4_000, 4, 24.0
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Lengths in bytes of the word beginnings that the lexicon may hold; words around a hit that count as near.
@@ -151,8 +152,15 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
     frequent = _term_counts(sample.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "term").limit(50_000)
     bad = {bytes(r["term"]): r["n"] for r in frequent.collect()}
     good = {bytes(r["term"]): r["n"] for r in _term_counts(sample.filter("toxic = 0"), frozenset(bad)).collect()}
-    odds = {t: float(np.log((n + 0.5) / (n_bad + 1)) - np.log((good.get(t, 0) + 0.5) / (n_good + 1))) for t, n in bad.items()}
-    chosen = sorted((t for t, x in odds.items() if x >= 2.5 and bad[t] >= LEAST_TEXTS + 0.02 * n_good * (good.get(t, 0) / n_good)), key=lambda t: (-odds[t] * bad[t], t))
+    share = n_bad / (n_bad + n_good)
+    odds = {}
+    for term, n in bad.items():
+        g = good.get(term, 0)
+        ratio = 2 * (n * np.log(n / ((n + g) * share)) + (g * np.log(g / ((n + g) * (1 - share))) if g else 0.0))
+        log_odds = float(np.log((n + 0.5) / (n_bad + 1)) - np.log((g + 0.5) / (n_good + 1)))
+        if log_odds >= 2.0 and ratio >= LEAST_RATIO:
+            odds[term] = log_odds
+    chosen = sorted(odds, key=lambda t: (-odds[t] * bad[t], t))
     return {t: odds[t] for t in chosen[:LEXICON_TERMS]}
 
 
@@ -171,11 +179,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(lexicon, None, None, float(rows["toxic"].mean()) if len(rows) else 0.0)
     rows = rows.assign(key=[tuple(x) for x in rows["x"]]).sort_values(["part", "toxic", "key"])  # whatever order the tasks ended in
     x, y, part = np.stack(rows["x"]), rows["toxic"].to_numpy(float), rows["part"].to_numpy()
-    fitted, held = part < 70, part >= 70
-    if len(set(y[fitted])) < 2 or held.sum() < 30:
-        fitted = held = np.ones(len(y), bool)
-    trees = boosting.fit(x[fitted], y[fitted])
-    return Model(lexicon, trees, boosting.isotonic(boosting.raw_scores(trees, x[held]), y[held]), float(y.mean()))
+    trees = boosting.fit(x, y)
+    # Calibrated on scores that each third of the rows gets from trees fitted on the others.
+    unseen = np.zeros(len(y))
+    for fold in range(3):
+        held = part % 3 == fold
+        rest = boosting.fit(x[~held], y[~held]) if len(set(y[~held])) == 2 else trees
+        unseen[held] = boosting.raw_scores(rest, x[held])
+    return Model(lexicon, trees, boosting.isotonic(unseen, y), float(y.mean()))
 
 
 def scorer(model: Model):
