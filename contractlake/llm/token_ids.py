@@ -24,15 +24,20 @@ from pyspark.sql import functions as F
 #: Tokens after which a shard ends, at the next document's start; tokens of a block at most.
 SHARD_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 21
 #: Distinct words that a worker remembers before it starts afresh; bytes of text split at once.
-CACHE_WORDS, PIECE_BYTES = 400_000, 1 << 20
+CACHE_WORDS, PIECE_BYTES = 900_000, 1 << 20
 SHARD_SCHEMA = "part int, start long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>"
 
 _blank = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_parts = re.compile(rb"[a-z]+|[^a-z]+")
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Encodes words, split at ASCII blanks, and remembers them: the tokenizer drops blanks, so no token crosses one."""
+    """Encodes words, split at ASCII blanks, and remembers them: the tokenizer drops blanks, so no token crosses one.
+
+    The tokenizer lower-cases, so words are kept with A-Z lowered. It also parts ASCII letters from
+    other ASCII characters, but for the apostrophe; new words are encoded by those parts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,6 +47,11 @@ class Encoder:
         self.width = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
+        probe = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABCab", "abcab", "ab.1", "ab", ".", "1", "a b", "a", "b")]
+        self.lowers = probe[0] == probe[1]
+        self.parts = self.lowers and probe[2] == probe[3] + probe[4] + probe[5]
+        if probe[6] != probe[7] + probe[8]:
+            raise ValueError("only tokenizers that drop blanks are built")
 
     def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 512):
@@ -49,24 +59,37 @@ class Encoder:
             texts = [w.decode("utf-8", "replace") for w in group]
             starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
             got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            cuts = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), [*starts, 1 << 60]).tolist()
+            cuts = np.searchsorted(np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], [*starts, 1 << 60]).tolist()
             raw, n = np.array(got.ids, self.kind).tobytes(), self.kind.itemsize
             for word, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
                 self.words[word] = raw[a * n : b * n]
 
+    def _meet(self, new: set[bytes]) -> None:
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+        if not self.parts:
+            return self._learn(list(new))
+        split = {w: _parts.findall(w) for w in new if w.isascii() and b"'" not in w and b"<|" not in w}
+        wanted = {x for parts in split.values() for x in parts}
+        wanted.update(w for w in new if w not in split)
+        self._learn([x for x in wanted if x not in self.words])
+        known = self.words
+        known.update([(w, b"".join([known[x] for x in parts])) for w, parts in split.items() if len(parts) > 1])
+
     def encode(self, data: bytes) -> bytes:
         out, at = [], 0
+        if self.lowers and b"<|" not in data:
+            data = data.lower()
         while at < len(data):
             end = len(data)
             if end - at > PIECE_BYTES and (cut := _blank.search(data, at + PIECE_BYTES)):
                 end = cut.start() + 1
             words = (data[at:end] if at or end < len(data) else data).split()
-            if new := list(set(words).difference(self.words)):
-                if len(self.words) + len(new) > CACHE_WORDS:
-                    self.words.clear()
-                    new = list(set(words))
-                self._learn(new)
-            out.append(b"".join(map(self.words.__getitem__, words)))
+            found = list(map(self.words.get, words))
+            if None in found:
+                self._meet({w for w, x in zip(words, found, strict=True) if x is None})
+                found = [self.words.get(w) if x is None else x for w, x in zip(words, found, strict=True)]
+            out.append(b"".join(found))
             at = end
         return b"".join(out)
 

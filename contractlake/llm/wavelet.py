@@ -29,7 +29,7 @@ class WaveletMatrix:
         zeros = np.zeros(width, np.int64)
         current = ids
         for level in range(width):
-            bit = (current >> (width - 1 - level)) & 1 != 0
+            bit = (current & ids.dtype.type(1 << (width - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
             low = current[~bit]
