@@ -108,7 +108,7 @@ def blocked_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where:
     group = (F.col(exclude) if exclude else F.lit(None)).cast("long")
     side = lambda df, i, v, n, own, other: df.select(
         F.col(i).cast("long").alias("id"), F.col(v).alias("v"), group.alias("g"), F.pmod(F.xxhash64(i), F.lit(n)).alias(own)
-    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit((n_c if own == "qb" else n_q) - 1))).cast("long"))
+    ).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_c if own == "qb" else n_q) - 1).cast("long"))))
     left = side(queries, "query_id", "query_vector", n_q, "qb", "cb")
     right = side(kept, key, "embedding", n_c, "cb", "qb").select("id", "v", "g", F.col("qb").alias("qb2"), F.col("cb").alias("cb2"))
 
