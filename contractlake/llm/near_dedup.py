@@ -6,8 +6,9 @@
    in each band, are paired with all its classes: a number of pairs in proportion to the members.
 3. Pairs whose sizes or registers (joint likelihood) rule out the threshold go; for the others both
    whole shingle sets are intersected. Links give components.
-4. Classes that share a key with another component and were not all compared are paired through
-   their rarest shingles (prefix filter, exact), again only across components. Then these are final.
+4. Keys that still hold several components follow, pairs within a component left out. Small keys
+   make pairs as before; the members of large ones are cut into blocks, and any two blocks of a key
+   are intersected as a product of membership matrices, which returns links but no pairs.
 
 A pair at similarity 0.75 shares no key with a probability of about 3e-6, and is ruled out by its
 registers (five standard deviations) with less.
@@ -22,9 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contractlake.llm import sketch
@@ -33,6 +34,8 @@ from contractlake.llm.components import components
 
 #: Linked where 100 * intersection >= PERCENT * union; estimates below PERCENT - SLACK are ruled out.
 PERCENT, SLACK, HUBS = 75, 20, 3
+#: Members of a key up to which pairs are made one by one; members of a block of larger keys.
+SMALL, BLOCK = 32, 512
 BANDS = sketch.REGISTERS // sketch.BAND
 
 
@@ -77,8 +80,6 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def likely(regs_a, regs_b, n_a, n_b):
-        import pandas as pd
-
         if not len(regs_a):
             return pd.Series([], dtype=bool)
         a, b = (np.frombuffer(b"".join(r), np.uint8).reshape(len(r), -1) for r in (regs_a, regs_b))
@@ -130,25 +131,68 @@ def _classes_in(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
-def _prefix_pairs(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of `unsettled` classes (cls, n, root) in different components that can reach the threshold.
-
-    Shingles are ordered by how many of the classes hold them, rarest first. Sets at the threshold
-    share one of the first n - ceil(0.75 n) + 1 in either, so passages that many documents share
-    make no pairs unless they are most of a document.
-    """
-    tokens = sets.join(unsettled, "cls").select("cls", "n", "root", F.explode("members").alias("token"))
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    turn = F.row_number().over(W.partitionBy("cls", "n", "root").orderBy("held", "token"))
-    first = tokens.join(held, "token").withColumn("turn", turn)
-    first = first.filter((F.col("turn") <= F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1) & (F.col("held") > 1))
-    first = stage(first.select("token", "cls", "n", "root"), "near-prefixes")
-    x, y = first.alias("x"), first.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+def _small_pairs(open_keys: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of classes in different components that share a key of at most SMALL members."""
+    x, y = open_keys.alias("x"), open_keys.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
     pairs = x.join(y, meet & _comparable("x.n", "y.n"))
     return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of their membership matrices, some shingles at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = [[np.searchsorted(both, s[np.isin(s, both, assume_unique=True)]) for s in side] for side in (left, right)]
+    for at in range(0, len(both), chunk):
+        mats = []
+        for side in places:
+            m = np.zeros((len(side), min(chunk, len(both) - at)), np.float32)
+            for i, p in enumerate(side):
+                m[i, p[(p >= at) & (p < at + chunk)] - at] = 1
+            mats.append(m)
+        out += mats[0] @ mats[1].T
+    return out
+
+
+def _block_links(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of classes in different components that share a key of more than SMALL members (key, in_key, cls, n, root).
+
+    The members of a key fall into blocks; two blocks of one key meet in one task, which intersects
+    all their sets at once and returns links that join components, never pairs. The memory of a task
+    is that of two blocks, whatever the size of the key.
+    """
+    blocks = F.ceil(F.col("in_key") / BLOCK).cast("long")
+    rows = open_keys.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb"))).join(sets, "cls")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", F.col("members").alias("shingle_set"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = group["own"].to_numpy() == group["own"].min()
+        a, b = group[first], group[~first] if not first.all() else group[first]
+        out: list[tuple[bytes, bytes]] = []
+        if a["root"].nunique() + b["root"].nunique() > 1:
+            x, y = ([np.asarray(s) for s in side["shingle_set"]] for side in (a, b))
+            shared = shared_counts(x, y)
+            size_x, size_y = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+            linked = 100.0 * shared >= PERCENT * (size_x[:, None] + size_y[None, :] - shared).astype(float)
+            names_x, names_y, roots_x, roots_y = (side[c].tolist() for c in ("cls", "root") for side in (a, b))
+            joined: dict[bytes, bytes] = {}
+
+            def top(r: bytes) -> bytes:
+                while r in joined:
+                    r = joined[r]
+                return r
+
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                if roots_x[i] != roots_y[j] and (r := top(roots_x[i])) != (q := top(roots_y[j])):
+                    joined[r] = q
+                    out.append((names_x[i], names_y[j]))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "u binary, v binary")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links found (u, v) and the components (u, root) of the classes that have one."""
     rows = band_rows(classes)
@@ -172,14 +216,13 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
     roots = stage(components(links), "near-roots")
     # What is left: classes that share a key with another component, of whose pairs the hubs settled some only.
     placed = members.join(roots.withColumnRenamed("u", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-    several = several.filter("lo < hi and members > 2").select("key")
-    unsettled = stage(placed.join(several, "key", "left_semi").select("cls", "n", "root").distinct(), "near-unsettled")
-    if unsettled.isEmpty():
-        return links, roots
-    sets = _sets(unsettled.select("cls"), classes, docs)
-    rest = _prefix_pairs(unsettled, sets).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    links = stage(links.union(_verified(_likely(rest, classes), sets)), "near-links")
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("in_key"))
+    open_keys = stage(placed.join(several.filter("lo < hi and in_key > 2").select("key", "in_key"), "key"), "near-open")
+    small, large = open_keys.filter(F.col("in_key") <= SMALL), open_keys.filter(F.col("in_key") > SMALL)
+    rest = _small_pairs(small).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    rest = stage(_likely(rest, classes), "near-rest")
+    sets = _sets(_classes_in(rest).union(large.select("cls").distinct()).distinct(), classes, docs)
+    links = stage(links.union(_verified(rest, sets)).union(_block_links(large, sets)), "near-links")
     return links, stage(components(links), "near-roots")
 
 
