@@ -20,6 +20,7 @@ Null and empty texts have no ids. Repeated rows get equal results. Empty tables
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -36,7 +37,7 @@ from contractlake.llm.common import stage
 
 BLANK = "▁"
 #: Longest word that the lattice takes; frequent words that tasks hold as a dictionary; words a task counts before it hands them on.
-MAX_WORD, HOT_WORDS, COUNT_WORDS = 32, 300_000, 400_000
+MAX_WORD, HOT_WORDS, COUNT_WORDS = 32, 200_000, 400_000
 #: Characters of text that are split at once.
 PIECE_CHARS = 1 << 20
 _words = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -136,7 +137,7 @@ def _edge(start: Column, end: Column) -> Column:
     return F.try_element_at(F.col("edges"), start * _STRIDE + (end - start))
 
 
-def merged(longest: int) -> Column:
+def merged() -> Column:
     """Boundaries of the pieces of a word under BPE: again and again the best adjacent pair, leftmost first, becomes one."""
 
     def step(state: Column, _: Column) -> Column:
@@ -152,6 +153,47 @@ def merged(longest: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.col("size")), start, step, lambda s: s["b"])
 
 
+def _left(x: Column, k: Column) -> Column:
+    return F.call_function("shiftleft", x, k.cast("int"))
+
+
+def _right(x: Column, k: Column) -> Column:
+    return F.call_function("shiftright", x, k.cast("int"))
+
+
+def merged_once(slow: Column) -> Column:
+    """The same boundaries in one fold over the edges, best first; words whose merges go back to a better edge take `slow`.
+
+    The state holds the boundaries as bits. An edge is merged if both its ends and one boundary
+    between them stand. A merge may open an edge that was passed before; then the fold does not
+    decide.
+    """
+    one = F.lit(1).cast("long")
+    bit = lambda k: _left(one, k)
+    below = lambda k: bit(k) - 1
+    start, end = (lambda e: e["s"] - 1), (lambda e: e["s"] - 1 + e["l"])
+    top = lambda x: F.floor(F.log2(x.cast("double") + 0.5)).cast("int")
+    edges = F.filter(F.map_entries("edges"), lambda e: (e["key"] % _STRIDE > 1) & e["value"]["id"].isNotNull())
+    edges = F.transform(edges, lambda e: F.struct(e["value"]["cost"].alias("c"), F.floor(e["key"] / _STRIDE).cast("int").alias("s"), (e["key"] % _STRIDE).alias("l")))
+    cost = lambda a, b: F.try_element_at(F.col("edges"), (a + 1) * _STRIDE + (b - a))["cost"]
+
+    def step(state: Column, e: Column) -> Column:
+        mask = state["mask"]
+        inner = _right(mask, start(e)).bitwiseAND(below(e["l"] + 1))
+        ready = (F.bit_count(inner) == 3) & (inner.bitwiseAND(one) == 1) & (_right(inner, e["l"]) == 1)
+        left, right = mask.bitwiseAND(below(start(e))), _right(mask, end(e) + 1)
+        before = F.when(left > 0, cost(top(left), end(e)) <= e["c"])
+        after = F.when(right > 0, cost(start(e), end(e) + 1 + top(right.bitwiseAND(-right))) < e["c"])
+        gone = mask.bitwiseAND(_left(below(e["l"] - 1), start(e) + 1))
+        went = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+        return F.when(state["back"] | ~ready, state).otherwise(F.struct((mask - gone).alias("mask"), went.alias("back")))
+
+    first = F.struct(below(F.col("size") + 1).alias("mask"), F.lit(False).alias("back"))
+    end_state = F.aggregate(F.array_sort(edges), first, step)
+    spread = lambda z: F.filter(F.sequence(F.lit(1), F.col("size") + 1), lambda k: _right(z["mask"], k - 1).bitwiseAND(one) == 1)
+    return _bind(end_state, lambda z: F.when(z["back"], slow).otherwise(spread(z)))
+
+
 def viterbi(longest: int, unknown_cost: float) -> Column:
     """Boundaries of the cheapest path through the lattice, for unigram models; ties go to the longer last piece."""
     node = lambda cost, back: F.struct(cost.alias("cost"), back.alias("back"))
@@ -176,7 +218,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, n, ids for each of `words` (word, n)."""
     longest = min(MAX_WORD, max(map(len, pieces.texts)))
     folded = lattice(words, pieces, longest)
-    bounds = merged(longest) if pieces.bpe else viterbi(longest, -min(pieces.scores) + 10)
+    bounds = merged_once(merged()) if pieces.bpe else viterbi(longest, -min(pieces.scores) + 10)
     folded = folded.select("word", "n", "edges", bounds.alias("b"))
 
     def ids_of(k: Column) -> Column:
@@ -205,10 +247,39 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.unionByName(long_words)
 
 
-def _streams(docs: DataFrame, hot: dict[str, bytes], want: str) -> DataFrame:
-    """want "ids": doc_id, fp, ids, crc of each row, without the words that `hot` lacks. want "rare": doc_id, fp, at (ids before it), turn (its order in the text), word of those."""
+def _packed(frequent: DataFrame) -> bytes:
+    """The ids of a bounded number of words as one compressed dictionary, packed by a task; the driver only passes it on."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, bytes] = {}
+        for batch in batches:
+            ids = batch.column(1)
+            words.update((w, x.values.to_numpy().astype("<u2").tobytes()) for w, x in zip(batch.column(0).to_pylist(), ids, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(words), 1)], pa.binary())], names=["packed"])
+
+    out: dict[str, bytes] = {}
+    for row in frequent.select("word", "ids").mapInArrow(pack, "packed binary").collect():
+        out.update(pickle.loads(zlib.decompress(row["packed"])))
+    return zlib.compress(pickle.dumps(out), 1)
+
+
+_dictionaries: dict[int, dict[str, bytes]] = {}
+
+
+def _dictionary(packed: bytes) -> dict[str, bytes]:
+    """The worker's dictionary; kept between tasks, one at a time."""
+    key = zlib.crc32(packed)
+    if key not in _dictionaries:
+        _dictionaries.clear()
+        _dictionaries[key] = pickle.loads(zlib.decompress(packed))
+    return _dictionaries[key]
+
+
+def _streams(docs: DataFrame, packed: bytes, want: str) -> DataFrame:
+    """want "ids": doc_id, fp, ids, crc of each row, without the words that the dictionary lacks. want "rare": doc_id, fp, at (ids before it), turn (its order in the text), word of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _dictionary(packed)
         for batch in batches:
             out, crcs, places, turns, rare, owner = [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -253,11 +324,9 @@ def encode_documents(docs: DataFrame, model: str, *, hot_words: int = HOT_WORDS)
     docs = docs.select("doc_id", "text")
     pieces = load(model)
     table = stage(encode_words(count_words(docs), pieces), "piece-words")
-    frequent = table.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toPandas()  # at most hot_words short rows
-    hot = {w: np.array(x, "<u2").tobytes() for w, x in zip(frequent["word"], frequent["ids"], strict=True)}
+    hot = _packed(table.orderBy(F.desc("n"), "word").limit(hot_words))
     if len(pieces.all_texts) > 1 << 16:
         raise ValueError("models of more than 65,536 pieces are not built")
-    del frequent
     rare = _streams(docs, hot, "rare").join(table.select("word", F.col("ids").alias("found")), "word")
     rare = rare.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("at", "turn", F.col("found").alias("ids"))).alias("rare"))
     return assemble(_streams(docs, hot, "ids"), rare, pieces)
