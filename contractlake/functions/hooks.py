@@ -14,18 +14,21 @@ from contractlake.functions import columns as C
 DIMENSIONS = 256
 
 
-def hashed_vector(text, size: int = DIMENSIONS):
-    """Term counts hashed into `size` places, of length 1: a stand-in for a sentence encoder, all in the JVM."""
-    slots = F.transform(C.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length == 0, 0.0).otherwise(x / length).cast("float"))
+def hashed_vectors(rows: DataFrame, text: str, size: int = DIMENSIONS) -> DataFrame:
+    """Adds `embedding`: term counts hashed into `size` places, of length 1 (a stand-in for a sentence encoder)."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    terms = rows.withColumn("__terms", C.tokens(F.col(text)))
+    counted = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=size).transform(terms)
+    unit = Normalizer(inputCol="__counts", outputCol="__unit").transform(counted)
+    return unit.withColumn("embedding", vector_to_array("__unit", "float32")).drop("__terms", "__counts", "__unit")
 
 
 def with_embeddings(rows: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, *, text: str = "text") -> DataFrame:
     """Adds `embedding`. `encoder()` is called once a task and gives a function of a list of texts."""
     if encoder is None:
-        return rows.withColumn("embedding", hashed_vector(F.col(text)))
+        return hashed_vectors(rows, text)
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

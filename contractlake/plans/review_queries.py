@@ -471,7 +471,7 @@ def x2(spark, sf_dir):
 
 def _requests(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
 
 @register("x3_admissions")
