@@ -66,7 +66,7 @@ class WaveletMatrix:
         start, wide = block * (STEP // 8), np.arange(STEP // 8)
         part = self.planes[level][start[:, None] + wide]
         bits = np.clip(at[:, None] - block[:, None] * STEP - wide * 8, 0, 8).astype(np.uint16)
-        return self.ranks[level][block].astype(np.int64) + np.bitwise_count(part & ((1 << bits) - 1).astype(np.uint8)).sum(axis=1)
+        return self.ranks[level][block].astype(np.int64) + np.bitwise_count(part & ((1 << bits) - 1).astype(np.uint8)).sum(axis=1, dtype=np.int64)
 
     def access(self, at) -> np.ndarray:
         """The ids at the given positions."""
