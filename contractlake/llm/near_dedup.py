@@ -2,7 +2,7 @@
 
 1. One pass over the texts gives each row its shingle set's size, a digest of the set (equal sets
    are one class from here on, so copies are never compared) and its registers.
-2. Every band of registers is a key. In each key with several classes, `HUBS` of them, other ones
+2. Every band of registers is a key. In each key with several classes, `HUBS` of them, another one
    in each band, are paired with all its classes: a number of pairs in proportion to the members.
 3. Pairs whose sizes or registers (joint likelihood) rule out the threshold go; for the others both
    whole shingle sets are intersected. Links give components.
@@ -33,7 +33,7 @@ from contractlake.llm.common import stage
 from contractlake.llm.components import components
 
 #: Linked where 100 * intersection >= PERCENT * union; estimates below PERCENT - SLACK are ruled out.
-PERCENT, SLACK, HUBS = 75, 20, 3
+PERCENT, SLACK, HUBS = 75, 20, 1
 #: Members of a key up to which pairs are made one by one; members of a block of larger keys.
 SMALL, BLOCK = 32, 512
 BANDS = sketch.REGISTERS // sketch.BAND
