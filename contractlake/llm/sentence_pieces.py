@@ -97,18 +97,22 @@ def split_words(text: str) -> Iterator[list[str]]:
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all of `docs` (text)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column(0).to_pylist():
                 for words in split_words(normalise(text or "")):
                     found.update(words)
                 if len(found) > COUNT_WORDS:
-                    yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+                    yield rows()
                     found.clear()
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())}, columns=["word", "n"])
+        yield rows()
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, pieces: Pieces, longest: int) -> DataFrame:
