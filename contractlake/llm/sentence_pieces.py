@@ -37,7 +37,7 @@ from contractlake.llm.common import stage
 
 BLANK = "▁"
 #: Longest word that the lattice takes; frequent words that tasks hold as a dictionary; words a task counts before it hands them on.
-MAX_WORD, HOT_WORDS, COUNT_WORDS = 32, 200_000, 400_000
+MAX_WORD, HOT_WORDS, COUNT_WORDS = 32, 150_000, 200_000
 #: Characters of text that are split at once.
 PIECE_CHARS = 1 << 20
 _words = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -104,7 +104,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in map(pa.Scalar.as_py, batch.column(0)):
                 for words in split_words(normalise(text or "")):
                     found.update(words)
                 if len(found) > COUNT_WORDS:
@@ -286,7 +286,7 @@ def _streams(docs: DataFrame, packed: bytes, want: str) -> DataFrame:
         hot = _dictionary(packed)
         for batch in batches:
             out, crcs, places, turns, rare, owner = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, text in enumerate(map(pa.Scalar.as_py, batch.column(2))):
                 got, n, turn = [], 0, 0
                 normal = normalise(text or "")
                 for words in split_words(normal):
@@ -343,8 +343,8 @@ def assemble(streams: DataFrame, rare: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, same, n, crc = [], [], [], []
-            for raw, own, placed in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4")
+            for raw, own, rare_words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                ids, placed = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4"), rare_words.as_py()
                 if placed:
                     parts, last = [], 0
                     for x in sorted(placed, key=lambda x: (x["at"], x["turn"])):
