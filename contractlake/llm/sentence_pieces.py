@@ -104,7 +104,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in map(pa.Scalar.as_py, batch.column(0)):
+            for text in (x.as_py() for x in batch.column(0)):
                 for words in split_words(normalise(text or "")):
                     found.update(words)
                 if len(found) > COUNT_WORDS:
@@ -286,7 +286,7 @@ def _streams(docs: DataFrame, packed: bytes, want: str) -> DataFrame:
         hot = _dictionary(packed)
         for batch in batches:
             out, crcs, places, turns, rare, owner = [], [], [], [], [], []
-            for i, text in enumerate(map(pa.Scalar.as_py, batch.column(2))):
+            for i, text in enumerate((x.as_py() for x in batch.column(2))):
                 got, n, turn = [], 0, 0
                 normal = normalise(text or "")
                 for words in split_words(normal):
