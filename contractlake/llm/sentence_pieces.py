@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlake.llm.common import stage
+from contractlake.llm.common import setting, stage
 
 BLANK = "▁"
 #: Longest word that the lattice takes; frequent words that tasks hold as a dictionary; words a task counts before it hands them on.
 MAX_WORD, HOT_WORDS, COUNT_WORDS = 32, 150_000, 200_000
+#: Partitions of the distinct words, in multiples of the shuffle partitions.
+PARTS_TIMES = 8
 #: Characters of text that are split at once.
 PIECE_CHARS = 1 << 20
 _words = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -112,7 +114,10 @@ def count_words(docs: DataFrame) -> DataFrame:
                     found.clear()
         yield rows()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(count, "word string, n long")
+    # Small partitions: the lattice of a partition's words is grouped in memory.
+    parts = PARTS_TIMES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, pieces: Pieces, longest: int) -> DataFrame:
@@ -327,7 +332,9 @@ def encode_documents(docs: DataFrame, model: str, *, hot_words: int = HOT_WORDS)
     """
     docs = docs.select("doc_id", "text")
     pieces = load(model)
-    table = stage(encode_words(count_words(docs), pieces), "piece-words")
+    # Edges arrive word by word and their lists are short: grouping them by hash beats sorting all edges.
+    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
+        table = stage(encode_words(count_words(docs), pieces), "piece-words")
     hot = _packed(table.orderBy(F.desc("n"), "word").limit(hot_words))
     if len(pieces.all_texts) > 1 << 16:
         raise ValueError("models of more than 65,536 pieces are not built")
