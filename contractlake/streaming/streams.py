@@ -89,9 +89,8 @@ def admissions_stream(requests: DataFrame, *, most: int = 30, seconds: float = 6
 
 def window_load(requests: DataFrame, *, seconds: float = 60.0) -> DataFrame:
     """Adds `load`: requests of the key in the last `seconds`, this one included."""
-    from pyspark.sql import Window as W
-
-    return requests.withColumn("load", F.count(F.lit(1)).over(W.partitionBy("key").orderBy("at").rangeBetween(-seconds, 0)))
+    frame = f"PARTITION BY key ORDER BY at RANGE BETWEEN {float(seconds)}D PRECEDING AND CURRENT ROW"
+    return requests.withColumn("load", F.expr(f"count(1) OVER ({frame})"))
 
 
 JOB = "job_id long, outcome string, revisions int"
