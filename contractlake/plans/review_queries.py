@@ -332,6 +332,31 @@ def q6(spark, sf_dir):
     return view(spark, sf_dir, "v_question").select("question_id", questions.mutates(F.col("question")).alias("mutates"))
 
 
+# The three above ask of the first 60 characters of a document; these ask of the whole of it.
+_WHOLE_TEXT = rf"""SELECT question_id, style, CASE style WHEN 'exact_match' THEN 0.2 WHEN 'semantic' THEN 0.7 ELSE 0.4 END AS alpha,
+  CASE WHEN whole THEN 'whole_document' WHEN g AND t THEN 'hybrid,graph' WHEN g THEN 'graph' ELSE 'hybrid' END AS routes, topic
+FROM (SELECT question_id, {STYLE} AS style, {WHOLE} AS whole, {_HAS(rules.GRAPH_PHRASES)} AS g, {_HAS(rules.TOPIC_PHRASES)} AS t, {TOPIC} AS topic
+      FROM (SELECT *, lower(question) AS low, list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^a-z\s]', '', 'g'), '\s+'), lambda w: w <> '') AS words FROM v_whole_question) AS x) AS y"""
+_VENDOR = f"trim(regexp_extract(question, '{rules.VENDOR.replace("'", "''")}', 1))"
+_ASKS = "position('vendor' IN lower(question)) > 0 AND position('same clause' IN lower(question)) > 0 AND (position('judgment' IN lower(question)) > 0 OR position('judgement' IN lower(question)) > 0)"
+
+
+@register("q1_q4_classify_whole", oracle(_WHOLE_TEXT))
+def q1_q4_whole(spark, sf_dir):
+    out = questions.classify(view(spark, sf_dir, "v_whole_question"))
+    return out.select("question_id", "style", "alpha", F.array_join("routes", ",").alias("routes"), "topic")
+
+
+@register("q5_template_vendor_whole", oracle(f"SELECT question_id, CASE WHEN {_ASKS} AND {_VENDOR} <> '' THEN {_VENDOR} END AS vendor FROM v_whole_question"))
+def q5_whole(spark, sf_dir):
+    return view(spark, sf_dir, "v_whole_question").select("question_id", questions.template_vendor(F.col("question")).alias("vendor"))
+
+
+@register("q6_mutating_whole", oracle(rf"SELECT question_id, regexp_matches(question, '{rules.MUTATING}') AS mutates FROM v_whole_question"))
+def q6_whole(spark, sf_dir):
+    return view(spark, sf_dir, "v_whole_question").select("question_id", questions.mutates(F.col("question")).alias("mutates"))
+
+
 FOUND = f"""{EXPECTED}, fnd AS (SELECT contract_id, list_sort(list(DISTINCT clause_type)) AS found, list_sort(list(DISTINCT clause_type) FILTER (severity = 'high')) AS high FROM v_clause GROUP BY 1),
 exp AS (SELECT contract_id, list_sort(list(e.clause_type)) AS expected FROM v_contract JOIN expected AS e USING (document_type) GROUP BY 1),
 ev AS (SELECT contract_id, coalesce(found, []) AS found, coalesce(high, []) AS high, expected FROM exp LEFT JOIN fnd USING (contract_id))"""
