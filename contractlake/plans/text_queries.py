@@ -473,3 +473,40 @@ def e6(spark, sf_dir):
 def r6_blocked(spark, sf_dir):
     found = retrieval.blocked_top_k(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5, block=512)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# The searches above ask with one vector in a hundred, all of tenant 7; these ask with every vector whose id 50 divides, over tenants that those ids do not share.
+DENSE_50 = f"""v50 AS (SELECT clause_id, clause_id % 7 AS contract_id, label, embedding FROM v_vector),
+vq AS (SELECT clause_id AS query_id, contract_id AS tenant, embedding AS q FROM v50 WHERE clause_id % 50 = 0),
+dense_all AS (SELECT query_id, tenant, clause_id AS chunk_id, contract_id AS owner, label, round({sql_cosine('q', 'embedding')}, 9) AS score FROM vq, v50)"""
+
+
+def _vectors_50(spark, sf_dir):
+    return _vectors(spark, sf_dir).withColumn("tenant", F.col("chunk_id") % 7)
+
+
+def _vector_queries_50(spark, sf_dir):
+    return _vectors_50(spark, sf_dir).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "tenant", F.col("embedding").alias("query_vector"))
+
+
+@register("r6_r7_dense_top_k_50", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE label >= 2) AS x WHERE rank <= 10"))
+def r6_r7_50(spark, sf_dir):
+    return retrieval.dense_top_k(_vector_queries_50(spark, sf_dir).drop("tenant"), _vectors_50(spark, sf_dir).drop("tenant"), 10, where=F.col("label") >= 2, digits=9)
+
+
+@register("r8_tenant_top_k_50", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE tenant = owner) AS x WHERE rank <= 5"))
+def r8_50(spark, sf_dir):
+    return retrieval.tenant_hits(_vector_queries_50(spark, sf_dir), _vectors_50(spark, sf_dir), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("e6_leakage_50", oracle(f"WITH {DENSE_50} SELECT sum(CASE WHEN tenant <> owner THEN 1 ELSE 0 END) AS leaks, avg(CASE WHEN tenant <> owner THEN 1.0::DOUBLE ELSE 0 END) AS leak_rate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
+def e6_50(spark, sf_dir):
+    v, q = _vectors_50(spark, sf_dir), _vector_queries_50(spark, sf_dir)
+    hits = retrieval.dense_top_k(q.drop("tenant"), v.drop("tenant"), 5, digits=9)
+    return evaluation.leakage(hits.join(q.select("query_id", "tenant"), "query_id"), v)
+
+
+@register("r6_blocked_top_k_50", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
+def r6_blocked_50(spark, sf_dir):
+    found = retrieval.blocked_top_k(_vector_queries_50(spark, sf_dir), _vectors_50(spark, sf_dir), 5, block=512)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))

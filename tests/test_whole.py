@@ -21,3 +21,13 @@ def test_questions_are_whole_texts(spark, documents):
     assert got[11][0] == "semantic" and got[23][0] == "exact_match" and got[35][2] == "liability_cap"
     assert {r["question_id"] for r in queries.QUERIES["q6_mutating_whole"](spark, documents).filter("mutates").collect()} == {47, 7}
     assert {r["question_id"]: r["vendor"] for r in queries.QUERIES["q5_template_vendor_whole"](spark, documents).filter(F.col("vendor").isNotNull()).collect()} == {59: "Other Co"}
+
+
+def test_searches_ask_of_all_tenants(spark, tmp_path):
+    rows = [(i, i % 10, [float(i % 11), float(i % 13), 1.0]) for i in range(700)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("r6_r7_dense_top_k_50", "r8_tenant_top_k_50", "r6_blocked_top_k_50"):
+        asked = {r["query_id"] for r in queries.QUERIES[name](spark, str(tmp_path)).select("query_id").distinct().collect()}
+        assert asked == set(range(0, 700, 50)), name
+    assert {i % 7 for i in asked} == set(range(7))
+    assert queries.QUERIES["e6_leakage_50"](spark, str(tmp_path)).first()["leaks"] > 0
