@@ -97,9 +97,11 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Co
 
 
 def blocked_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", least: float | None = None,
-                  exclude: str | None = None, block: int = BLOCK) -> DataFrame:
+                  exclude: str | None = None, block: int = BLOCK, digits: int = 9) -> DataFrame:
     """Cosine top k, exact: blocks of queries meet blocks of chunks, each pair one matrix product; a block keeps its own k best.
 
+    Scores are rounded to `digits` before they are compared, as products of equal vectors may differ in
+    their last bits; ties go to the smaller id, in a block as among the blocks.
     `exclude` names a column of both sides: pairs that agree on it are left out, as are pairs of one
     id. Ids are numbers.
     """
@@ -117,17 +119,18 @@ def blocked_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where:
         if not len(q) or not len(c):
             return empty
         unit = lambda s: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))(np.array([np.asarray(v, float) for v in s]))
+        c = c.sort_values("id")  # the stable sort below then gives ties to the smaller id
         cu, ids, groups = unit(c["v"]), c["id"].to_numpy(), c["g"].to_numpy(float)
         out = []
         for at in range(0, len(q), 512):
             part = q.iloc[at : at + 512]
-            s = unit(part["v"]) @ cu.T
+            s = np.round(unit(part["v"]) @ cu.T, digits) + 0.0  # no negative zeros
             if exclude:
                 s[part["g"].to_numpy(float)[:, None] == groups[None]] = -np.inf
                 s[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
             if least is not None:
                 s[s < least] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, : 2 * k] if s.shape[1] > 2 * k else np.argsort(-s, axis=1, kind="stable")
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
             good = np.isfinite(s[rows, cols])
             out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[rows[good]], "found": ids[cols[good]], "score": s[rows[good], cols[good]]}))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from contractlake.operators import graph, retrieval
 from contractlake.plans import queries
 
 LATE = "x" * 70 + " "
@@ -31,3 +32,15 @@ def test_searches_ask_of_all_tenants(spark, tmp_path):
         assert asked == set(range(0, 700, 50)), name
     assert {i % 7 for i in asked} == set(range(7))
     assert queries.QUERIES["e6_leakage_50"](spark, str(tmp_path)).first()["leaks"] > 0
+
+
+def test_blocked_search_gives_ties_to_the_smallest_ids(spark):
+    """Copies of one vector, the largest ids first: many more tie at the cut than are kept."""
+    copies = [(i, i % 50, [0.3, 0.1, 0.7]) for i in range(400, 0, -1)]
+    v = spark.createDataFrame(copies, "chunk_id long, contract_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, 0, [0.3, 0.1, 0.7])], "query_id long, contract_id long, query_vector array<double>")
+    for block in (8192, 64):
+        got = retrieval.blocked_top_k(q, v, 3, block=block).orderBy("rank").collect()
+        assert [(r["chunk_id"], r["score"]) for r in got] == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    edges = graph.same_clause_edges(v.withColumnRenamed("chunk_id", "clause_id"), blocked=True)
+    assert {r["dst"] for r in edges.filter("src = 400").collect()} == {1, 2, 3}
