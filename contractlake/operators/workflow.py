@@ -148,11 +148,24 @@ def brief_versions(briefs: DataFrame) -> DataFrame:
     return out.withColumn("superseded_by_version", superseded).withColumn("recommendation", known).drop("__next")
 
 
+def deciding_events(events: DataFrame, *, revisions: int = 3) -> DataFrame:
+    """The events that decide the fold of a job: its first `revisions` + 1 of each kind (ending, revise, other), in (time, id) order.
+
+    The first that ends and the first `revisions` + 1 that revise give the same outcome as all; the
+    others keep jobs that have neither. Spark cuts before the shuffle while the limit is under its
+    windowGroupLimitThreshold (1,000).
+    """
+    kind = F.when(F.col("decision").isin("proceed", "reject", "escalate"), "end").when(F.col("decision") == "revise", "revise").otherwise("other")
+    rank = F.row_number().over(W.partitionBy("job_id", "__kind").orderBy("event_time", "event_id", "decision"))
+    rows = events.select("job_id", "event_time", "event_id", "decision").withColumn("__kind", kind).withColumn("__rank", rank)
+    return rows.filter(F.col("__rank") <= revisions + 1).drop("__kind", "__rank")
+
+
 def job_outcomes(events: DataFrame, *, revisions: int = 3) -> DataFrame:
     """job_id, outcome, revisions: a fold over each job's checkpoint decisions in (time, id) order.
 
     proceed ends well, reject and escalate end; revise counts, and one more than `revisions` escalates.
-    events: job_id, event_time, event_id, decision.
+    events: job_id, event_time, event_id, decision. Only a job's deciding events come together.
     """
     ordered = F.array_sort(F.collect_list(F.struct("event_time", "event_id", "decision")))
     state = F.struct(F.lit("open").alias("outcome"), F.lit(0).alias("revisions"))
@@ -166,7 +179,7 @@ def job_outcomes(events: DataFrame, *, revisions: int = 3) -> DataFrame:
         )
         return F.when(s["outcome"] != "open", s).otherwise(F.struct(after.alias("outcome"), F.least(count, F.lit(revisions)).alias("revisions")))
 
-    folded = events.groupBy("job_id").agg(F.aggregate(ordered, state, step).alias("s"))
+    folded = deciding_events(events, revisions=revisions).groupBy("job_id").agg(F.aggregate(ordered, state, step).alias("s"))
     return folded.select("job_id", "s.outcome", "s.revisions")
 
 
@@ -182,7 +195,7 @@ def job_outcomes_pandas(events: DataFrame, *, revisions: int = 3) -> DataFrame:
                 break
         return pd.DataFrame({"job_id": [rows["job_id"].iloc[0]], "outcome": [outcome], "revisions": [min(count, revisions)]})
 
-    return events.groupBy("job_id").applyInPandas(fold, "job_id long, outcome string, revisions int")
+    return deciding_events(events, revisions=revisions).groupBy("job_id").applyInPandas(fold, "job_id long, outcome string, revisions int")
 
 
 def approval_state(decisions: DataFrame) -> DataFrame:

@@ -58,17 +58,24 @@ def _admit(times: list[float], at: float, most: int, seconds: float) -> tuple[li
 
 
 def admissions(requests: DataFrame, *, most: int = 30, seconds: float = 60.0) -> DataFrame:
-    """Batch form: a request (key, request_id, at in seconds) is accepted if fewer than `most` were in the last `seconds`."""
+    """Batch form: a request (key, request_id, at in seconds) is accepted if fewer than `most` were in the last `seconds`.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "request_id"])
-        times, out = [], []
-        for at in rows["at"]:
-            times, ok = _admit(times, at, most, seconds)
-            out.append(ok)
-        return rows.assign(accepted=out)[["key", "request_id", "at", "accepted"]]
+    The requests of a key pass in order, a batch at a time; only its last accepted times are held.
+    """
 
-    return requests.groupBy("key").applyInPandas(run, ADMITTED)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, times = None, []
+        for rows in parts:
+            out = []
+            for key, at in zip(rows["key"], rows["at"]):
+                if key != last:
+                    last, times = key, []
+                times, ok = _admit(times, at, most, seconds)
+                out.append(ok)
+            yield rows.assign(accepted=out)
+
+    asked = requests.select("key", "request_id", "at").repartition("key").sortWithinPartitions("key", "at", "request_id")
+    return asked.mapInPandas(run, ADMITTED)
 
 
 def admissions_stream(requests: DataFrame, *, most: int = 30, seconds: float = 60.0) -> DataFrame:
