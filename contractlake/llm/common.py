@@ -47,6 +47,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Writes `df` as a table bucketed by `key` into the shared folder and reads it back: joins by `key` leave it where it lies."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    called = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(called)
+    return spark.table(called)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, by name, so that further columns never clash."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -1,48 +1,52 @@
-"""SentencePiece encoding and decoding over a relational lattice of words.
+"""SentencePiece encoding and decoding over a relational lattice of fragments.
 
-A text is normalised as the model asks (a leading blank, blanks written as U+2581) and falls into
-words: blanks and what follows up to the next blank. No piece has a blank after another character,
-so words are encoded one by one, and each distinct word once:
+A text is normalised as the model asks (a leading blank; the sign U+2581 and the blank are one
+character, here the blank). It is cut wherever its two neighbouring characters stand side by side in
+no piece: no piece can cross such a border, so fragments are encoded one by one, each distinct one once:
 
-1. distinct words are counted, within each task first;
-2. their substrings of bounded length are exploded and equi-joined with the piece table, whose size
-   the model fixes; the matches are the edges of the word's lattice, grouped by word;
+1. one pass cuts the texts. The texts of a task form blocks of bounded size; a block numbers its
+   distinct fragments, and its texts are kept as these numbers in a table bucketed by block;
+2. the distinct fragments' substrings of bounded length are exploded and equi-joined with the piece
+   table, whose size the model fixes; the matches are the edges of the fragment's lattice, grouped by it;
 3. a Spark higher-order aggregate folds the lattice: Viterbi for unigram models; for BPE models the
-   merges in the model's order, since Viterbi over their scores gives other pieces than the model.
-
-The ids of the most frequent words (a documented number) go to the tasks as a dictionary; the other
-words of a document are looked up by a join. Characters without a piece become byte pieces, or the
-unknown piece if the model has no bytes. Words longer than `MAX_WORD` characters are few and are
-encoded by the model's own library, each distinct one once.
-
-Null and empty texts have no ids. Repeated rows get equal results. Empty tables give empty results.
+   merges in the model's order, since Viterbi over their scores gives other pieces than the model;
+4. each block gets the ids of its own fragments back by a join and writes its texts in ids, beside the
+   bucketed table, which is not shuffled. No dictionary of the corpus is ever held by a task or the driver.
+
+Under BPE, fragments of more than `WINDOW` characters are cut into overlapping windows, which are
+encoded as fragments are. Two windows are joined at a piece that both hold at the same place: pieces
+are the model's if any two neighbours are, so the result is exact. Where no piece is common, the
+model's own library encodes that fragment.
+
+Characters without a piece become byte pieces, or the unknown piece if the model has no bytes.
+Null and empty texts have no ids. Null and repeated ids and repeated rows are encoded row by row.
+Of very long texts a task holds the text and its numbers, but cuts it in stretches. Other columns than
+doc_id and text are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlake.llm.common import setting, stage
+from contractlake.llm.common import bucketed, setting, stage
 
-BLANK = "▁"
-#: Longest word that the lattice takes; frequent words that tasks hold as a dictionary; words a task counts before it hands them on.
-MAX_WORD, HOT_WORDS, COUNT_WORDS = 32, 150_000, 200_000
-#: Partitions of the distinct words, in multiples of the shuffle partitions.
-PARTS_TIMES = 8
-#: Characters of text that are split at once.
-PIECE_CHARS = 1 << 20
-_words = re.compile(f"{BLANK}+[^{BLANK}]*")
+BLANK, SIGN = " ", "\u2581"
+#: Longest fragment that a BPE fold takes; from one window to the next.
+WINDOW, STEP = 56, 28
+#: Bytes of text whose fragments are numbered together; bytes that are cut at once; fragments a row of a block's list.
+BLOCK_BYTES, STRETCH, LISTED = 1 << 24, 1 << 20, 8192
+#: Partitions of the distinct fragments, in multiples of the shuffle partitions; fragments that a task groups in memory before it sorts.
+PARTS_TIMES, GROUPED = 4, 20_000
 _STRIDE, _NEVER = 64, 1e300
 
 
@@ -69,72 +73,172 @@ def load(path: str) -> Pieces:
     spec = model.normalizer_spec
     if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
         raise ValueError("only models without text normalisation, with a leading blank, are built")
-    if any(p.type == 1 and re.search(f"[^{BLANK}]{BLANK}", p.piece) for p in model.pieces):
-        raise ValueError("a piece crosses words")
-    plain = [(p.piece, i, p.score) for i, p in enumerate(model.pieces) if p.type == 1]
+    plain = [(p.piece.replace(SIGN, BLANK), i, p.score) for i, p in enumerate(model.pieces) if p.type == 1]
     bytes_at = [i for i, p in enumerate(model.pieces) if p.type == 6]
-    raw = [bytes([i - bytes_at[0]]) if p.type == 6 else (b"" if p.type == 3 else p.piece.encode()) for i, p in enumerate(model.pieces)]
+    raw = [
+        bytes([i - bytes_at[0]]) if p.type == 6 else (b"" if p.type == 3 else p.piece.replace(SIGN, BLANK).encode()) for i, p in enumerate(model.pieces)
+    ]
     texts, ids, scores = map(list, zip(*plain, strict=True))
     return Pieces(path, model.trainer_spec.model_type == 2, texts, ids, scores, raw, bytes_at[0] if bytes_at else None, model.trainer_spec.unk_id)
 
 
-def normalise(text: str) -> str:
-    return BLANK + text.replace(" ", BLANK) if text else ""
-
-
-def split_words(text: str) -> Iterator[list[str]]:
-    """The words of a normalised text, a list for each stretch of it."""
-    at = 0
-    while at < len(text):
-        end = len(text)
-        if end - at > PIECE_CHARS:
-            cut = text.find(BLANK, at + PIECE_CHARS)
-            while 0 < cut and text[cut - 1] == BLANK:  # blanks of one word stay together
-                cut -= 1
-            end = cut if cut > at else len(text)
-        yield _words.findall(text[at:end])
-        at = end
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over all of `docs` (text)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+class Borders:
+    """Where texts may be cut: between characters that stand side by side in no piece."""
+
+    def __init__(self, pieces: Pieces):
+        joined = [t for t in pieces.texts if len(t) > 1]
+        self.chars = sorted(set("".join(joined)))
+        number = {c: i + 1 for i, c in enumerate(self.chars)}
+        self.inside = np.zeros((len(self.chars) + 1, len(self.chars) + 1), bool)
+        for t in joined:
+            row = [number[c] for c in t]
+            self.inside[row[:-1], row[1:]] = True
+        self.window = WINDOW if pieces.bpe else None
+        self.classes: np.ndarray | None = None
+
+    def cut(self, text: bytes, heads: np.ndarray) -> tuple[list[pa.Array], np.ndarray, list[tuple[int, int]]]:
+        """Fragments of texts that lie side by side in `text` and begin at `heads`: the fragments, the byte at which
+        each begins, and (place among them, number) of runs of windows that stand for one long fragment."""
+        if self.classes is None:
+            self.classes = np.zeros(0x110000, np.uint16)
+            self.classes[[ord(c) for c in self.chars]] = np.arange(1, len(self.chars) + 1)
+        found, begins, runs, total = [], [], [], 0
+        at, stretch = 0, STRETCH
+        while at < len(text):
+            end = min(len(text), at + stretch)
+            while end < len(text) and text[end] & 0xC0 == 0x80:
+                end += 1
+            chars = text[at:end].decode("utf-8", "replace")
+            codes = np.frombuffer(chars.encode("utf-32-le"), "<u4")
+            kinds = self.classes[codes]
+            border = np.ones(len(codes), bool)
+            border[1:] = ~self.inside[kinds[:-1], kinds[1:]]
+            if len(codes) == end - at:
+                place = np.arange(len(codes) + 1)
+            else:
+                place = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+            border[np.searchsorted(place[:-1], heads[(heads >= at) & (heads < end)] - at)] = True
+            starts = np.flatnonzero(border)
+            if end < len(text):
+                if len(starts) == 1:  # no border in sight
+                    stretch *= 2
+                    continue
+                starts, stop = starts[:-1], starts[-1]
+            else:
+                stop = len(codes)
+            edges = np.append(starts, stop)
+            where = place[edges]
+            rows = pa.StringArray.from_buffers(len(starts), pa.py_buffer(where.astype(np.int32)), pa.py_buffer(text[at : at + where[-1]]))
+            begin, sizes = where[:-1] + at, np.diff(edges)
+            if self.window and sizes.max() > self.window:
+                parts, begun, last = [], [], 0
+                for j in np.flatnonzero(sizes > self.window).tolist():
+                    word = chars[edges[j] : edges[j + 1]]
+                    windows = [word[k : k + self.window] for k in range(0, len(word) - self.window + STEP, STEP)]
+                    parts += [rows.slice(last, j - last), pa.array(windows, pa.string())]
+                    begun += [begin[last:j], np.full(len(windows), begin[j])]
+                    runs.append((total + sum(map(len, begun[:-1])), len(windows)))
+                    last = j + 1
+                rows, begin = pa.concat_arrays([*parts, rows.slice(last)]), np.concatenate([*begun, begin[last:]])
+            found.append(rows)
+            begins.append(begin)
+            total += len(rows)
+            at, stretch = at + int(where[-1]), STRETCH
+        return found, np.concatenate(begins) if begins else np.zeros(0, np.int64), runs
+
+
+class _Block:
+    """Texts of a task whose fragments are numbered together."""
+
+    def __init__(self, borders: Borders):
+        self.borders = borders
+        self.ids, self.crcs, self.counts, self.runs = [], [], [], []
+        self.fragments: list[pa.Array] = []
+        self.waiting: list[bytes] = []
+        self.size = self.held = 0
+
+    def add(self, doc_id, raw: bytes) -> None:
+        text = b" " + raw.replace(SIGN.encode(), b" ") if raw else b""
+        self.ids.append(doc_id)
+        self.crcs.append(zlib.crc32(text))
+        self.waiting.append(text)
+        self.size += len(text)
+        self.held += len(text)
+        if self.held >= STRETCH:
+            self.cut()
+
+    def cut(self) -> None:
+        heads = np.cumsum([0, *map(len, self.waiting)])
+        found, begins, runs = self.borders.cut(b"".join(self.waiting), np.unique(heads[:-1]))
+        first = np.searchsorted(begins, heads)
+        self.counts += np.diff(first).tolist()
+        mine = [[] for _ in self.waiting]
+        for place, n in runs:
+            i = int(np.searchsorted(first, place, "right")) - 1
+            mine[i] += [place - int(first[i]), n]
+        self.runs += mine
+        self.fragments += found
+        self.waiting, self.held = [], 0
+
+    def rows(self, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        coded = pa.chunked_array(self.fragments, pa.string()).dictionary_encode()
+        numbers = np.concatenate([np.zeros(0, "<u4"), *(c.indices.to_numpy() for c in coded.chunks)]).astype("<u4")
+        listed = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+        at = np.cumsum([0, *self.counts])
+        n = len(self.ids)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, block)), pa.array(self.ids, kind), pa.array(self.crcs, pa.int64()),
+            pa.array([numbers[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            pa.array(self.runs, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())),
+        ], names=_NUMBERED)
+        for i in range(0, len(listed), LISTED):
+            part = listed.slice(i, LISTED)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())),
+                pa.array([i], pa.int32()), lists,
+            ], names=_NUMBERED)
+
+
+_NUMBERED = ["block", "doc_id", "crc", "numbers", "runs", "first", "listed"]
+
+
+def number_fragments(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of texts (block, doc_id, crc of the normalised text, numbers of its fragments, runs of windows) and rows of fragments
+    (block, first, listed: the fragments that have the numbers from `first` on)."""
+    borders = Borders(pieces)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held, kind = None, None
         for batch in batches:
-            for text in (x.as_py() for x in batch.column(0)):
-                for words in split_words(normalise(text or "")):
-                    found.update(words)
-                if len(found) > COUNT_WORDS:
-                    yield rows()
-                    found.clear()
-        yield rows()
+            kind = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = held or _Block(borders)
+                held.add(doc_id, text.as_buffer().to_pybytes() if text.is_valid else b"")
+                if held.size >= block_bytes:
+                    yield from held.rows(number, kind)
+                    number, held = number + 1, None
+        if held:
+            yield from held.rows(number, kind)
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
-    # Small partitions: the lattice of a partition's words is grouped in memory.
-    parts = PARTS_TIMES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return counted.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"block long, doc_id {kind}, crc long, numbers binary, runs array<int>, first int, listed array<string>")
 
 
 def lattice(words: DataFrame, pieces: Pieces, longest: int) -> DataFrame:
-    """word, n, size, edges (map of start * 64 + length to cost and id) of words of at most MAX_WORD characters.
-
-    Grouping by word, exploding and joining with the broadcast piece table keep the partitioning by
-    word, so the edges are grouped where they arise.
-    """
+    """word, size, edges (map of start * 64 + length to cost and id) of `words` (word), which differ."""
     spark = words.sparkSession
     known = spark.createDataFrame(pd.DataFrame({"piece": pieces.texts, "id": np.array(pieces.ids, np.int32), "cost": -np.array(pieces.scores)}))
-    size = F.length("word")
-    starts = words.filter(size <= MAX_WORD).select("word", "n", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("s"))
+    starts = words.select("word", F.length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("s") + 1))).alias("l"))
+    # The piece table has one row a piece of the model, whatever the texts are.
     edges = spans.withColumn("piece", F.expr("substring(word, s, l)")).join(F.broadcast(known), "piece", "left")
     edges = edges.filter("id is not null or l = 1")
     edge = F.struct((F.col("s") * _STRIDE + F.col("l")).alias("key"), F.struct("cost", "id").alias("value"))
-    return edges.groupBy("word").agg(F.max("n").alias("n"), F.max("size").alias("size"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("word").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -224,11 +328,13 @@ def viterbi(longest: int, unknown_cost: float) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, n, ids for each of `words` (word, n)."""
-    longest = min(MAX_WORD, max(map(len, pieces.texts)))
+    """word, ids for each of `words` (word), which differ; under BPE they have `WINDOW` characters at most."""
+    longest = max(map(len, pieces.texts))
+    if longest >= _STRIDE:
+        raise ValueError(f"pieces of {_STRIDE} characters or more are not built")
     folded = lattice(words, pieces, longest)
     bounds = merged_once(merged()) if pieces.bpe else viterbi(longest, -min(pieces.scores) + 10)
-    folded = folded.select("word", "n", "edges", bounds.alias("b"))
+    folded = folded.select("word", "edges", bounds.alias("b"))
 
     def ids_of(k: Column) -> Column:
         start, end = F.col("b")[k], F.col("b")[k + 1]
@@ -241,134 +347,107 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         found = _edge(start, end)["id"]
         return F.when(found.isNotNull(), F.array(found)).otherwise(absent)
 
-    folded = folded.select("word", "n", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
-    path = pieces.path
-
-    @F.pandas_udf("array<int>")
-    def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for part in parts:
-            yield pd.Series([model.encode(w[1:].replace(BLANK, " ")) for w in part], dtype=object)
-
-    long_words = words.filter(F.length("word") > MAX_WORD).select("word", "n", whole("word").alias("ids"))
-    return folded.unionByName(long_words)
-
-
-def _packed(frequent: DataFrame) -> bytes:
-    """The ids of a bounded number of words as one compressed dictionary, packed by a task; the driver only passes it on."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, bytes] = {}
-        for batch in batches:
-            ids = batch.column(1)
-            words.update((w, x.values.to_numpy().astype("<u2").tobytes()) for w, x in zip(batch.column(0).to_pylist(), ids, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(words), 1)], pa.binary())], names=["packed"])
-
-    out: dict[str, bytes] = {}
-    for row in frequent.select("word", "ids").mapInArrow(pack, "packed binary").collect():
-        out.update(pickle.loads(zlib.decompress(row["packed"])))
-    return zlib.compress(pickle.dumps(out), 1)
-
-
-_dictionaries: dict[int, dict[str, bytes]] = {}
-
-
-def _dictionary(packed: bytes) -> dict[str, bytes]:
-    """The worker's dictionary; kept between tasks, one at a time."""
-    key = zlib.crc32(packed)
-    if key not in _dictionaries:
-        _dictionaries.clear()
-        _dictionaries[key] = pickle.loads(zlib.decompress(packed))
-    return _dictionaries[key]
-
-
-def _streams(docs: DataFrame, packed: bytes, want: str) -> DataFrame:
-    """want "ids": doc_id, fp, ids, crc of each row, without the words that the dictionary lacks. want "rare": doc_id, fp, at (ids before it), turn (its order in the text), word of those."""
+    return folded.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
+
+
+def _placed(ids: np.ndarray, begin: int, texts: list[bytes]) -> list[tuple[int, int, int]]:
+    out = []
+    for i in ids.tolist():
+        out.append((begin, begin + len(texts[i]), i))
+        begin = out[-1][1]
+    return out
+
+
+def join_windows(windows: list[np.ndarray], texts: list[bytes], model: str) -> np.ndarray:
+    """Ids of a long fragment from those of its windows: at a piece that both hold, one window gives way to the next."""
+    out, begin = _placed(windows[0], 0, texts), 0
+    last = b"".join(map(texts.__getitem__, windows[0].tolist()))
+    whole, fits = last, True
+    for ids in windows[1:]:
+        begin += len(last.decode()[:STEP].encode())
+        last = b"".join(map(texts.__getitem__, ids.tolist()))
+        whole = whole[:begin] + last
+        if not fits:
+            continue
+        mine = _placed(ids, begin, texts)
+        place = {x: k for k, x in enumerate(mine)}
+        keep = len(out)
+        while keep and out[keep - 1] not in place and out[keep - 1][1] > begin:
+            keep -= 1
+        if keep and out[keep - 1] in place:
+            out[keep:] = mine[place[out[keep - 1]] + 1 :]
+        else:
+            fits = False
+    if fits:
+        return np.array([i for _, _, i in out], np.int32)
+    import sentencepiece
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = _dictionary(packed)
-        for batch in batches:
-            out, crcs, places, turns, rare, owner = [], [], [], [], [], []
-            for i, text in enumerate((x.as_py() for x in batch.column(2))):
-                got, n, turn = [], 0, 0
-                normal = normalise(text or "")
-                for words in split_words(normal):
-                    found = list(map(hot.get, words))
-                    if want == "ids":
-                        got.append(b"".join(filter(None, found)))
-                        continue
-                    for word, x in zip(words, found, strict=True):
-                        if x is None:
-                            places.append(n)
-                            turns.append(turn)
-                            turn += 1
-                            rare.append(word)
-                            owner.append(i)
-                        else:
-                            n += len(x) >> 1
-                if want == "ids":
-                    out.append(b"".join(got))
-                    crcs.append(zlib.crc32(normal.encode("utf-8", "replace")))
-            if want == "ids":
-                arrays = [batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "ids", "crc"])
+    # The library puts a blank before a text: it is the fragment's own if it begins with one, else a line feed shields it.
+    library, text = sentencepiece.SentencePieceProcessor(model_file=model), whole.decode()
+    if text.startswith(BLANK):
+        return np.array(library.encode(text[1:]), np.int32)
+    shield = library.encode("\n")
+    return np.array(library.encode("\n" + text)[len(shield) :], np.int32)
+
+
+def translate(pieces: Pieces):
+    """A function of a block's texts and of its fragments' ids that writes the texts in ids, decodes and compares them."""
+    texts, model = pieces.all_texts, pieces.path
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.combine_chunks().sort_by("number")
+        lists = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+        starts, sizes = edges[:-1].astype(np.int64), np.diff(edges)
+
+        def ids_of(numbers: np.ndarray) -> np.ndarray:
+            n = sizes[numbers]
+            ends = np.cumsum(n)
+            return flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1])] if len(n) else np.zeros(0, np.int32)
+
+        out, count, crc, same = [], [], [], []
+        for raw, runs, own in zip(rows.column("numbers"), rows.column("runs").to_pylist(), rows.column("crc").to_pylist(), strict=True):
+            numbers = np.frombuffer(raw.as_buffer(), "<u4")
+            if runs:
+                parts, last = [], 0
+                for place, n in zip(runs[::2], runs[1::2], strict=True):
+                    windows = [ids_of(numbers[k : k + 1]) for k in range(place, place + n)]
+                    parts += [ids_of(numbers[last:place]), join_windows(windows, texts, model)]
+                    last = place + n
+                ids = np.concatenate([*parts, ids_of(numbers[last:])])
             else:
-                at = pa.array(owner, pa.int64())
-                arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(turns, pa.int32()), pa.array(rare, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "at", "turn", "word"])
+                ids = ids_of(numbers)
+            out.append(ids.astype("<i4"))
+            count.append(len(ids))
+            crc.append(zlib.crc32(out[-1].tobytes()))
+            same.append(zlib.crc32(b"".join(map(texts.__getitem__, ids.tolist()))) == own)
+        return pa.table({
+            "doc_id": rows.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32())), "n_pieces": pa.array(count, pa.int64()),
+            "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_()),
+        })
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("fp"), "text")
-    schema = f"doc_id {kind}, fp long, ids binary, crc long" if want == "ids" else f"doc_id {kind}, fp long, at int, turn int, word string"
-    return rows.mapInArrow(run, schema)
+    return run
 
 
-def encode_documents(docs: DataFrame, model: str, *, hot_words: int = HOT_WORDS) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip for each row of `docs` (doc_id, text).
 
     round_trip: the decoded ids give the normalised text back.
     """
-    docs = docs.select("doc_id", "text")
-    pieces = load(model)
-    # Edges arrive word by word and their lists are short: grouping them by hash beats sorting all edges.
-    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
-        table = stage(encode_words(count_words(docs), pieces), "piece-words")
-    hot = _packed(table.orderBy(F.desc("n"), "word").limit(hot_words))
-    if len(pieces.all_texts) > 1 << 16:
-        raise ValueError("models of more than 65,536 pieces are not built")
-    rare = _streams(docs, hot, "rare").join(table.select("word", F.col("ids").alias("found")), "word")
-    rare = rare.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("at", "turn", F.col("found").alias("ids"))).alias("rare"))
-    return assemble(_streams(docs, hot, "ids"), rare, pieces)
-
-
-def assemble(streams: DataFrame, rare: DataFrame, pieces: Pieces) -> DataFrame:
-    """Puts the looked-up words into the streams of ids, decodes them, and compares."""
-    texts = pieces.all_texts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, same, n, crc = [], [], [], []
-            for raw, own, rare_words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                ids, placed = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4"), rare_words.as_py()
-                if placed:
-                    parts, last = [], 0
-                    for x in sorted(placed, key=lambda x: (x["at"], x["turn"])):
-                        parts += [ids[last : x["at"]], np.array(x["ids"], "<u4")]
-                        last = x["at"]
-                    ids = np.concatenate([*parts, ids[last:]])
-                out.append(ids.astype(np.int32))
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-                same.append(zlib.crc32(b"".join(map(texts.__getitem__, ids.tolist()))) == own)
-            arrays = [batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"])
-
-    kind = dict(streams.dtypes)["doc_id"]
-    other = rare.select(F.col("doc_id").alias("rare_id"), F.col("fp").alias("rare_fp"), "rare")
-    joined = streams.join(other, (F.col("fp") == F.col("rare_fp")) & F.col("doc_id").eqNullSafe(F.col("rare_id")), "left")
-    return joined.select("doc_id", "ids", "crc", "rare").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
+    docs, pieces, spark = docs.select("doc_id", "text"), load(model), docs.sparkSession
+    parts = PARTS_TIMES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = bucketed(number_fragments(docs, pieces, block_bytes), "pieces", "block", min(parts, 50_000))
+    listed = table.filter("listed is not null").select("block", "first", F.posexplode("listed").alias("k", "word"))
+    listed = listed.select("block", (F.col("first") + F.col("k")).alias("number"), "word")
+    words = listed.select("word").repartition(parts, "word").distinct()
+    # Edges arrive fragment by fragment and their lists are short: grouping them by hash beats sorting all edges.
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED)):
+        known = stage(listed.join(encode_words(words, pieces), "word").select("block", "number", "ids"), "piece-ids")
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = table.filter("listed is null").select("block", "doc_id", "crc", "numbers", "runs")
+    schema = f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(translate(pieces), schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -377,7 +456,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(parts: pd.Series) -> pd.Series:
-        join = lambda ids: b"".join(map(texts.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")[1:]
+        join = lambda ids: b"".join(map(texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
         return pd.Series([join(x) if x is not None and len(x) else "" for x in parts], dtype=object)
 
     return rows.withColumn("decoded", text_of("ids"))

@@ -250,7 +250,7 @@ def test_sentence_pieces(docs, no_docs):
 
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = sentence_pieces.encode_documents(docs, path, hot_words=3)
+    got = sentence_pieces.encode_documents(docs, path, block_bytes=3000)
     want = sorted((str(i), m.encode(t or "")) for i, t, *_ in ROWS)
     rows = got.collect()
     assert sorted((str(r["doc_id"]), r["ids"]) for r in rows) == want and all(r["round_trip"] for r in rows)
