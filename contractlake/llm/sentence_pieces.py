@@ -43,8 +43,8 @@ from contractlake.llm.common import bucketed, setting, stage
 BLANK, SIGN = " ", "\u2581"
 #: Longest fragment that a BPE fold takes; from one window to the next.
 WINDOW, STEP = 56, 28
-#: Bytes of text whose fragments are numbered together; bytes that are cut at once; fragments a row of a block's list.
-BLOCK_BYTES, STRETCH, LISTED = 1 << 24, 1 << 20, 8192
+#: Bytes of text whose fragments are numbered together; bytes that are cut at once; bytes of a fragment that are hashed.
+BLOCK_BYTES, STRETCH, _HASHED = 1 << 25, 1 << 20, 64
 #: Partitions of the distinct fragments, in multiples of the shuffle partitions; fragments that a task groups in memory before it sorts.
 PARTS_TIMES, GROUPED = 4, 20_000
 _STRIDE, _NEVER = 64, 1e300
@@ -180,33 +180,58 @@ class _Block:
         self.fragments += found
         self.waiting, self.held = [], 0
 
-    def rows(self, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, kind: pa.DataType, parts: int) -> Iterator[pa.RecordBatch]:
+        """The block's texts, its order of fragments, and its fragments by part."""
         self.cut()
         coded = pa.chunked_array(self.fragments, pa.string()).dictionary_encode()
-        numbers = np.concatenate([np.zeros(0, "<u4"), *(c.indices.to_numpy() for c in coded.chunks)]).astype("<u4")
-        listed = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
-        at = np.cumsum([0, *self.counts])
+        self.fragments = []
+        numbers = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
+        words = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+        # Frequent fragments get small numbers, whose bytes compress well.
+        rank = np.empty(len(words), np.uint32)
+        rank[np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+        planes, edges = rank[numbers].view(np.uint8).reshape(-1, 4), np.cumsum([0, *self.counts]).astype(np.int32)
         n = len(self.ids)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array(self.ids, kind), pa.array(self.crcs, pa.int64()),
-            pa.array([numbers[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-            pa.array(self.runs, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())),
-        ], names=_NUMBERED)
-        for i in range(0, len(listed), LISTED):
-            part = listed.slice(i, LISTED)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())),
-                pa.array([i], pa.int32()), lists,
-            ], names=_NUMBERED)
-
-
-_NUMBERED = ["block", "doc_id", "crc", "numbers", "runs", "first", "listed"]
-
-
-def number_fragments(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of texts (block, doc_id, crc of the normalised text, numbers of its fragments, runs of windows) and rows of fragments
-    (block, first, listed: the fragments that have the numbers from `first` on)."""
+        low, middle, high = (pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(planes[:, k].tobytes())]) for k in range(3))
+        found = {
+            "block": pa.array(np.full(n, block)), "doc_id": pa.array(self.ids, kind), "crc": pa.array(self.crcs, pa.int64()),
+            "low": low, "middle": middle, "high": high, "runs": pa.array(self.runs, pa.list_(pa.int32())),
+        }
+        yield _numbered(n, kind, found)
+        part = _hashes(words) % parts
+        order = np.argsort(part, kind="stable")
+        yield _numbered(1, kind, {"block": pa.array([block]), "numbers": pa.array([rank[order].tobytes()], pa.binary())})
+        present, first = np.unique(part[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), words.take(pa.array(order)))
+        yield _numbered(len(present), kind, {"block": pa.array(np.full(len(present), block)), "part": pa.array(present, pa.int32()), "words": lists})
+
+
+_COLUMNS = "block long, doc_id {}, crc long, low binary, middle binary, high binary, runs array<int>, numbers binary, part int, words array<string>"
+_KINDS = {
+    "block": pa.int64(), "doc_id": None, "crc": pa.int64(), "low": pa.binary(), "middle": pa.binary(), "high": pa.binary(),
+    "runs": pa.list_(pa.int32()), "numbers": pa.binary(), "part": pa.int32(), "words": pa.list_(pa.string()),
+}
+
+
+def _numbered(n: int, kind: pa.DataType, found: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([found[c] if c in found else pa.nulls(n, t or kind) for c, t in _KINDS.items()], names=list(_KINDS))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word's size and first bytes."""
+    data, edges = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+    starts, sizes = edges[:-1], np.diff(edges)
+    out = sizes.astype(np.uint64)
+    for k in range(min(_HASHED, int(sizes.max(initial=0)))):
+        rows = np.flatnonzero(sizes > k)
+        out[rows] = out[rows] * np.uint64(0x9E3779B97F4A7C15) + data[starts[rows] + k]
+    return (out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+
+
+def number_fragments(docs: DataFrame, pieces: Pieces, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Three kinds of rows: a text (block, doc_id, crc of the normalised text; low, middle, high: bytes of the numbers of its fragments;
+    runs of windows), the fragments of a block by part, which a hash of the fragment gives (block, part, words), and the block's numbers
+    of all its fragments in the order of those (block, numbers)."""
     borders = Borders(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,27 +243,27 @@ def number_fragments(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_B
                 held = held or _Block(borders)
                 held.add(doc_id, text.as_buffer().to_pybytes() if text.is_valid else b"")
                 if held.size >= block_bytes:
-                    yield from held.rows(number, kind)
+                    yield from held.rows(number, kind, parts)
                     number, held = number + 1, None
         if held:
-            yield from held.rows(number, kind)
+            yield from held.rows(number, kind, parts)
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"block long, doc_id {kind}, crc long, numbers binary, runs array<int>, first int, listed array<string>")
+    return rows.mapInArrow(run, _COLUMNS.format(kind))
 
 
 def lattice(words: DataFrame, pieces: Pieces, longest: int) -> DataFrame:
-    """word, size, edges (map of start * 64 + length to cost and id) of `words` (word), which differ."""
+    """part, word, size, edges (map of start * 64 + length to cost and id) of `words` (part, word), which differ."""
     spark = words.sparkSession
     known = spark.createDataFrame(pd.DataFrame({"piece": pieces.texts, "id": np.array(pieces.ids, np.int32), "cost": -np.array(pieces.scores)}))
-    starts = words.select("word", F.length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    starts = words.select("part", "word", F.length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("s") + 1))).alias("l"))
     # The piece table has one row a piece of the model, whatever the texts are.
     edges = spans.withColumn("piece", F.expr("substring(word, s, l)")).join(F.broadcast(known), "piece", "left")
     edges = edges.filter("id is not null or l = 1")
     edge = F.struct((F.col("s") * _STRIDE + F.col("l")).alias("key"), F.struct("cost", "id").alias("value"))
-    return edges.groupBy("word").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("part", "word").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -328,13 +353,13 @@ def viterbi(longest: int, unknown_cost: float) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids for each of `words` (word), which differ; under BPE they have `WINDOW` characters at most."""
+    """part, word, ids for each of `words` (part, word), which differ; under BPE they have `WINDOW` characters at most."""
     longest = max(map(len, pieces.texts))
     if longest >= _STRIDE:
         raise ValueError(f"pieces of {_STRIDE} characters or more are not built")
     folded = lattice(words, pieces, longest)
     bounds = merged_once(merged()) if pieces.bpe else viterbi(longest, -min(pieces.scores) + 10)
-    folded = folded.select("word", "edges", bounds.alias("b"))
+    folded = folded.select("part", "word", "edges", bounds.alias("b"))
 
     def ids_of(k: Column) -> Column:
         start, end = F.col("b")[k], F.col("b")[k + 1]
@@ -347,7 +372,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         found = _edge(start, end)["id"]
         return F.when(found.isNotNull(), F.array(found)).otherwise(absent)
 
-    return folded.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
+    return folded.select("part", "word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
 
 
 def _placed(ids: np.ndarray, begin: int, texts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -395,41 +420,53 @@ def translate(pieces: Pieces):
     texts, model = pieces.all_texts, pieces.path
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.combine_chunks().sort_by("number")
-        lists = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
-        starts, sizes = edges[:-1].astype(np.int64), np.diff(edges)
+        known = known.sort_by("part")
+        orders = rows.filter(rows.column("numbers").is_valid()).column("numbers")
+        number = np.frombuffer(orders[0].as_buffer() if len(orders) else b"", "<u4")
+        n, flat = _flat(known.column("sizes")), _flat(known.column("ids"))
+        if len(n) != len(number):
+            raise RuntimeError("a block's fragments and their ids do not agree")
+        sizes, starts = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        sizes[number], starts[number] = n, np.cumsum(n) - n
 
         def ids_of(numbers: np.ndarray) -> np.ndarray:
             n = sizes[numbers]
             ends = np.cumsum(n)
             return flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1])] if len(n) else np.zeros(0, np.int32)
 
+        rows = rows.filter(rows.column("numbers").is_null())
         out, count, crc, same = [], [], [], []
-        for raw, runs, own in zip(rows.column("numbers"), rows.column("runs").to_pylist(), rows.column("crc").to_pylist(), strict=True):
-            numbers = np.frombuffer(raw.as_buffer(), "<u4")
+        columns = (rows.column(c) for c in ("low", "middle", "high"))
+        for low, middle, high, runs, own in zip(*columns, rows.column("runs").to_pylist(), rows.column("crc").to_pylist(), strict=True):
+            numbers = sum(np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) << (8 * k) for k, x in enumerate((low, middle, high)))
             if runs:
                 parts, last = [], 0
-                for place, n in zip(runs[::2], runs[1::2], strict=True):
-                    windows = [ids_of(numbers[k : k + 1]) for k in range(place, place + n)]
+                for place, k in zip(runs[::2], runs[1::2], strict=True):
+                    windows = [ids_of(numbers[w : w + 1]) for w in range(place, place + k)]
                     parts += [ids_of(numbers[last:place]), join_windows(windows, texts, model)]
-                    last = place + n
+                    last = place + k
                 ids = np.concatenate([*parts, ids_of(numbers[last:])])
             else:
                 ids = ids_of(numbers)
-            out.append(ids.astype("<i4"))
+            ids = ids.astype("<i4")
+            out.append(ids)
             count.append(len(ids))
-            crc.append(zlib.crc32(out[-1].tobytes()))
+            crc.append(zlib.crc32(ids))
             same.append(zlib.crc32(b"".join(map(texts.__getitem__, ids.tolist()))) == own)
+        edges = pa.array(np.cumsum([0, *count]), pa.int32())
+        written = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
         return pa.table({
-            "doc_id": rows.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32())), "n_pieces": pa.array(count, pa.int64()),
-            "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_()),
+            "doc_id": rows.column("doc_id"), "ids": written, "n_pieces": pa.array(count, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+            "round_trip": pa.array(same, pa.bool_()),
         })
 
     return run
 
 
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists.chunks)])
+
+
 def encode_documents(docs: DataFrame, model: str, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip for each row of `docs` (doc_id, text).
 
@@ -437,15 +474,22 @@ def encode_documents(docs: DataFrame, model: str, *, block_bytes: int = BLOCK_BY
     """
     docs, pieces, spark = docs.select("doc_id", "text"), load(model), docs.sparkSession
     parts = PARTS_TIMES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = bucketed(number_fragments(docs, pieces, block_bytes), "pieces", "block", min(parts, 50_000))
-    listed = table.filter("listed is not null").select("block", "first", F.posexplode("listed").alias("k", "word"))
-    listed = listed.select("block", (F.col("first") + F.col("k")).alias("number"), "word")
-    words = listed.select("word").repartition(parts, "word").distinct()
+    table = bucketed(number_fragments(docs, pieces, parts, block_bytes), "pieces", "block", min(parts, 50_000))
+    lists = table.filter("words is not null").select("block", "part", "words").repartition(parts, "part")
+    each = lists.select("block", "part", F.posexplode("words").alias("k", "word"))
+    # A word is in one part only: what is dealt by part need not be dealt by word again.
     # Edges arrive fragment by fragment and their lists are short: grouping them by hash beats sorting all edges.
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED)):
-        known = stage(listed.join(encode_words(words, pieces), "word").select("block", "number", "ids"), "piece-ids")
+    with (
+        setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED)),
+        setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"),
+    ):
+        found = each.join(encode_words(each.select("part", "word").distinct(), pieces), ["part", "word"])
+        inner = F.array_sort(F.collect_list(F.struct("k", "ids")))
+        known = found.groupBy("block", "part").agg(inner.alias("x"))
+        known = known.select("block", "part", F.transform("x", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.col("x.ids")).alias("ids"))
+        known = stage(known, "piece-ids")
     kind = dict(docs.dtypes)["doc_id"]
-    texts = table.filter("listed is null").select("block", "doc_id", "crc", "numbers", "runs")
+    texts = table.filter("words is null").select("block", "doc_id", "crc", "low", "middle", "high", "runs", "numbers")
     schema = f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(translate(pieces), schema)
 

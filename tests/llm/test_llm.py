@@ -261,7 +261,7 @@ def test_sentence_pieces(docs, no_docs):
 
 def test_viterbi_of_a_unigram_model(spark):
     pieces = sentence_pieces.Pieces("", False, ["▁", "a", "b", "ab", "▁a", "bb"], [0, 1, 2, 3, 4, 5], [-3.0, -2.0, -2.5, -1.0, -2.2, -4.0], [], None, 9)
-    ids = {r["word"]: r["ids"] for r in sentence_pieces.encode_words(spark.createDataFrame([("▁ab", 1), ("▁abb", 1), ("▁c", 1)], "word string, n long"), pieces).collect()}
+    ids = {r["word"]: r["ids"] for r in sentence_pieces.encode_words(spark.createDataFrame([("▁ab", 1), ("▁abb", 1), ("▁c", 1)], "word string, part int"), pieces).collect()}
     assert ids == {"▁ab": [0, 3], "▁abb": [4, 5], "▁c": [0, 9]}
 
 
