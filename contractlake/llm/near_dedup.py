@@ -2,12 +2,13 @@
 
 1. One pass over the texts gives each row its shingle set's size, a digest of the set (equal sets
    are one class from here on, so copies are never compared) and its registers.
-2. Every band of registers is a key. In each key with several classes, `HUBS` of them, another one
-   in each band, are paired with all its classes: a number of pairs in proportion to the members.
+2. Every band of registers is a key. In each key with several classes, `HUBS` of them are paired with
+   all its classes: a number of pairs in proportion to the members. Classes are hubs by one order of
+   all, so that near copies, which share many keys, meet the same hub in most of them.
 3. Pairs whose sizes or registers (joint likelihood) rule out the threshold go; for the others both
    whole shingle sets are intersected. Links give components.
-4. Keys that still hold several components follow, pairs within a component left out. Small keys
-   make pairs as before; the members of large ones are cut into blocks, and any two blocks of a key
+4. Keys that still hold several components follow, pairs within a component left out. The members of
+   small keys come together with their registers, and pairs these do not rule out go to step 3; the members of large ones are cut into blocks, and any two blocks of a key
    are intersected as a product of membership matrices, which returns links but no pairs.
 
 A pair at similarity 0.75 shares no key with a probability of about 3e-6, and is ruled out by its
@@ -15,7 +16,9 @@ registers (five standard deviations) with less.
 
 Documents with fewer words than a shingle are one shingle; those without words, or with null text,
 have no shingle, are linked with nothing and stay. Repeated rows are one class. Null ids take part,
-but never name a component that has another id. Empty tables give empty results.
+but never name a component that has another id. Empty tables give empty results. Of very long texts a
+task holds the text and its set; blocks are cut by the summed sizes of their sets. Other columns than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from contractlake.llm.components import components
 
 #: Linked where 100 * intersection >= PERCENT * union; estimates below PERCENT - SLACK are ruled out.
 PERCENT, SLACK, HUBS = 75, 20, 1
-#: Members of a key up to which pairs are made one by one; members of a block of larger keys.
-SMALL, BLOCK = 32, 512
+#: Members of a key up to which pairs are made one by one; members of a block of larger keys, and their shingles.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 19
 BANDS = sketch.REGISTERS // sketch.BAND
 
 
@@ -131,12 +134,31 @@ def _classes_in(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
-def _small_pairs(open_keys: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of classes in different components that share a key of at most SMALL members."""
-    x, y = open_keys.alias("x"), open_keys.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, meet & _comparable("x.n", "y.n"))
-    return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+def _small_pairs(open_keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a key of at most SMALL members and that their registers do not rule out.
+
+    The members of such a key, at most SMALL, come together with their registers; only pairs that may be links leave the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[tuple[bytes, bytes]] = set()
+            for members in batch.column(0):
+                names, n, roots, regs = (members.values.field(k) for k in range(4))
+                n, names, roots = n.to_numpy().astype(float), names.to_pylist(), roots.to_pylist()
+                regs = np.frombuffer(b"".join(regs.to_pylist()), np.uint8).reshape(len(n), -1)
+                _, root = np.unique(np.array(roots, object), return_inverse=True)
+                i, j = np.triu_indices(len(n), 1)
+                fit = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT)
+                i, j = i[fit], j[fit]
+                if len(i):
+                    near = sketch.similarity(regs[i], regs[j], n[i], n[j]) * 100 >= PERCENT - SLACK
+                    out.update((min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    rows = open_keys.join(classes.select("cls", "regs"), "cls")
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("cls", "n", "root", "regs")).alias("members"))
+    return lists.select("members").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -158,11 +180,11 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int =
 def _block_links(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) of classes in different components that share a key of more than SMALL members (key, in_key, cls, n, root).
 
-    The members of a key fall into blocks; two blocks of one key meet in one task, which intersects
-    all their sets at once and returns links that join components, never pairs. The memory of a task
-    is that of two blocks, whatever the size of the key.
+    The members of a key fall into blocks of about BLOCK sets and BLOCK_SHINGLES shingles at most; two
+    blocks of one key meet in one task, which intersects all their sets at once and returns links that
+    join components, never pairs. The memory of a task is that of two blocks, whatever the size of the key.
     """
-    blocks = F.ceil(F.col("in_key") / BLOCK).cast("long")
+    blocks = F.ceil(F.greatest(F.col("in_key") / BLOCK, F.col("shingles_in_key") / BLOCK_SHINGLES)).cast("long")
     rows = open_keys.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb"))).join(sets, "cls")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", F.col("members").alias("shingle_set"))
@@ -199,7 +221,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
     # Bands in which a class is alone go before anything else is done with them.
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
     members = stage(rows.join(shared, "key"), "near-members")
-    order = F.struct(F.xxhash64("cls", "key").alias("h"), "cls", "n")
+    order = F.struct(F.xxhash64("cls").alias("h"), "cls", "n")
     group = F.pmod(F.xxhash64("cls"), F.lit(HUBS))
     hubs = members.groupBy("key").agg(*[F.min(F.when(group == k, order)).alias(f"h{k}") for k in range(HUBS)])
     hubs = hubs.select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hub")).filter("hub is not null")
@@ -216,11 +238,10 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
     roots = stage(components(links), "near-roots")
     # What is left: classes that share a key with another component, of whose pairs the hubs settled some only.
     placed = members.join(roots.withColumnRenamed("u", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("in_key"))
-    open_keys = stage(placed.join(several.filter("lo < hi and in_key > 2").select("key", "in_key"), "key"), "near-open")
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("in_key"), F.sum("n").alias("shingles_in_key"))
+    open_keys = stage(placed.join(several.filter("lo < hi and in_key > 2").select("key", "in_key", "shingles_in_key"), "key"), "near-open")
     small, large = open_keys.filter(F.col("in_key") <= SMALL), open_keys.filter(F.col("in_key") > SMALL)
-    rest = _small_pairs(small).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stage(_likely(rest, classes), "near-rest")
+    rest = stage(_small_pairs(small, classes).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
     sets = _sets(_classes_in(rest).union(large.select("cls").distinct()).distinct(), classes, docs)
     links = stage(links.union(_verified(rest, sets)).union(_block_links(large, sets)), "near-links")
     return links, stage(components(links), "near-roots")

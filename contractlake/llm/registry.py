@@ -115,6 +115,18 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
 
@@ -124,6 +136,24 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS c FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY u, v),
+l AS (SELECT u, v FROM b JOIN n AS x ON u = x.doc_id JOIN n AS y ON v = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS t FROM n UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.t = e.u),
+k AS (SELECT doc_id, min(t) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.least, d.doc_id) AS component_id, d.doc_id = coalesce(k.least, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -143,4 +173,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_lm_scoring": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_lm_scoring": OP5_SQL, "op7_top_k": OP7_SQL, "op9_near_dedup": OP9_SQL}
