@@ -46,7 +46,7 @@ WINDOW, STEP = 56, 28
 #: Bytes of text whose fragments are numbered together; bytes that are cut at once; bytes of a fragment that are hashed.
 BLOCK_BYTES, STRETCH, _HASHED = 1 << 25, 1 << 20, 64
 #: Partitions of the distinct fragments, in multiples of the shuffle partitions; fragments that a task groups in memory before it sorts.
-PARTS_TIMES, GROUPED = 4, 20_000
+PARTS_TIMES, GROUPED = 8, 20_000
 _STRIDE, _NEVER = 64, 1e300
 
 
@@ -253,17 +253,17 @@ def number_fragments(docs: DataFrame, pieces: Pieces, parts: int, block_bytes: i
     return rows.mapInArrow(run, _COLUMNS.format(kind))
 
 
-def lattice(words: DataFrame, pieces: Pieces, longest: int) -> DataFrame:
-    """part, word, size, edges (map of start * 64 + length to cost and id) of `words` (part, word), which differ."""
+def lattice(words: DataFrame, pieces: Pieces, longest: int, *carried: str) -> DataFrame:
+    """part, word, size, edges (map of start * 64 + length to cost and id) and the columns carried of `words` (part, word), which differ."""
     spark = words.sparkSession
     known = spark.createDataFrame(pd.DataFrame({"piece": pieces.texts, "id": np.array(pieces.ids, np.int32), "cost": -np.array(pieces.scores)}))
-    starts = words.select("part", "word", F.length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    starts = words.select("part", "word", *carried, F.length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("s") + 1))).alias("l"))
     # The piece table has one row a piece of the model, whatever the texts are.
     edges = spans.withColumn("piece", F.expr("substring(word, s, l)")).join(F.broadcast(known), "piece", "left")
     edges = edges.filter("id is not null or l = 1")
     edge = F.struct((F.col("s") * _STRIDE + F.col("l")).alias("key"), F.struct("cost", "id").alias("value"))
-    return edges.groupBy("part", "word").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("part", "word").agg(F.max("size").alias("size"), *[F.max(c).alias(c) for c in carried], F.map_from_entries(F.collect_list(edge)).alias("edges"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -352,14 +352,14 @@ def viterbi(longest: int, unknown_cost: float) -> Column:
     return _bind(path, back)
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """part, word, ids for each of `words` (part, word), which differ; under BPE they have `WINDOW` characters at most."""
+def encode_words(words: DataFrame, pieces: Pieces, *carried: str) -> DataFrame:
+    """part, word, ids and the columns carried for each of `words` (part, word), which differ; under BPE they have `WINDOW` characters at most."""
     longest = max(map(len, pieces.texts))
     if longest >= _STRIDE:
         raise ValueError(f"pieces of {_STRIDE} characters or more are not built")
-    folded = lattice(words, pieces, longest)
+    folded = lattice(words, pieces, longest, *carried)
     bounds = merged_once(merged()) if pieces.bpe else viterbi(longest, -min(pieces.scores) + 10)
-    folded = folded.select("part", "word", "edges", bounds.alias("b"))
+    folded = folded.select("part", "word", *carried, "edges", bounds.alias("b"))
 
     def ids_of(k: Column) -> Column:
         start, end = F.col("b")[k], F.col("b")[k + 1]
@@ -372,7 +372,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         found = _edge(start, end)["id"]
         return F.when(found.isNotNull(), F.array(found)).otherwise(absent)
 
-    return folded.select("part", "word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
+    return folded.select("part", "word", *carried, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
 
 
 def _placed(ids: np.ndarray, begin: int, texts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -474,16 +474,18 @@ def encode_documents(docs: DataFrame, model: str, *, block_bytes: int = BLOCK_BY
     """
     docs, pieces, spark = docs.select("doc_id", "text"), load(model), docs.sparkSession
     parts = PARTS_TIMES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = bucketed(number_fragments(docs, pieces, parts, block_bytes), "pieces", "block", min(parts, 50_000))
-    lists = table.filter("words is not null").select("block", "part", "words").repartition(parts, "part")
+    table = bucketed(number_fragments(docs, pieces, parts, block_bytes), "pieces", "block", min(parts // 2, 50_000))
+    lists = table.filter("words is not null and block is not null and part is not null").select("block", "part", "words").repartition(parts, "part")
     each = lists.select("block", "part", F.posexplode("words").alias("k", "word"))
-    # A word is in one part only: what is dealt by part need not be dealt by word again.
+    distinct = each.groupBy("part", "word").agg(F.min("block").alias("first_block"))
+    # A word is in one part only: what is dealt by part need not be dealt by word again. No block comes before the word's first:
+    # with that column, both uses of the dealt lists are alike, and Spark deals them once.
     # Edges arrive fragment by fragment and their lists are short: grouping them by hash beats sorting all edges.
     with (
         setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED)),
         setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"),
     ):
-        found = each.join(encode_words(each.select("part", "word").distinct(), pieces), ["part", "word"])
+        found = each.join(encode_words(distinct, pieces, "first_block"), ["part", "word"]).filter("block >= first_block")
         inner = F.array_sort(F.collect_list(F.struct("k", "ids")))
         known = found.groupBy("block", "part").agg(inner.alias("x"))
         known = known.select("block", "part", F.transform("x", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.col("x.ids")).alias("ids"))
