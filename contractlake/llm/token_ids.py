@@ -11,6 +11,7 @@ Null texts are empty: they hold the end id only. Repeated rows are kept. Empty t
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,36 +24,51 @@ from pyspark.sql import functions as F
 
 #: Tokens after which a shard ends, at the next document's start; tokens of a block at most.
 SHARD_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 21
-#: Distinct words that a worker remembers before it starts afresh; bytes of text split at once.
-CACHE_WORDS, PIECE_BYTES = 900_000, 1 << 20
+#: Distinct words that a worker remembers before it starts afresh; bytes of text split at once, which a single word may exceed.
+CACHE_WORDS, PIECE_BYTES = 900_000, 1 << 23
 SHARD_SCHEMA = "part int, start long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>"
 
 _blank = re.compile(rb"[ \t\n\r\x0b\x0c]")
-_parts = re.compile(rb"[a-z]+|[^a-z]+")
+_BLANKS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Lower-case letters of ASCII and of the block after it; words of ASCII, without the apostrophe, and letters of that block.
+_parts = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_western = re.compile("[\\x00-\\x26\\x28-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Encodes words, split at ASCII blanks, and remembers them: the tokenizer drops blanks, so no token crosses one.
 
-    The tokenizer lower-cases, so words are kept with A-Z lowered. It also parts ASCII letters from
-    other ASCII characters, but for the apostrophe; new words are encoded by those parts.
+    Words are found, and their distinct ones told, by array operations over some megabytes of texts.
+    The tokenizer lower-cases, so words are kept with A-Z lowered. It also parts letters from ASCII
+    characters that are none, but for the apostrophe; new words of ASCII characters and western letters
+    are encoded by those parts, and runs of letters by its model alone, which sees their bytes as
+    characters of its own. The constructor tries all this on samples; what fails goes to the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
-        probe = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABCab", "abcab", "ab.1", "ab", ".", "1", "a b", "a", "b")]
-        self.lowers = probe[0] == probe[1]
-        self.parts = self.lowers and probe[2] == probe[3] + probe[4] + probe[5]
-        if probe[6] != probe[7] + probe[8]:
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.lowers = ids("ABCab") == ids("abcab") and ids("ÀÖØÞ") == ids("àöøþ")
+        self.parts = self.lowers and ids("ab.1é") == ids("ab") + ids(".") + ids("1") + ids("é")
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: "".join(x for x, _ in as_bytes.pre_tokenize_str(c)) for c in map(chr, range(0xDF, 0x100))})
+        self.direct = True
+        tried = ("abcab", "ab", "the", "zxqjk" * 9, "internationalisation", "a", "é", "ñandú", "straße", "œuvre"[1:], "þÿøåãç")
+        self.direct = self.parts and [self._alone(w) for w in tried] == [ids(w) for w in tried]
+        if ids("a b") != ids("a") + ids("b"):
             raise ValueError("only tokenizers that drop blanks are built")
 
+    def _alone(self, letters: str) -> list[int]:
+        return [x.id for x in self.tokenizer.model.tokenize(letters.translate(self.letters))]
+
     def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 512):
             group = words[i : i + 512]
@@ -65,33 +81,91 @@ class Encoder:
                 self.words[word] = raw[a * n : b * n]
 
     def _meet(self, new: set[bytes]) -> None:
+        """Learns words; those that are parts of others are learnt with them."""
+        if not self.direct:
+            return self._learn(list(new))
+        split, whole, runs = {}, [], set()
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if _letters(text):
+                runs.add(text)
+            elif _western(text) and "<|" not in text:
+                parts = split[word] = _parts.findall(text.lower())
+                runs.update(parts)
+            else:
+                whole.append(word)
+        known, tokens, letters = self.words, self.tokenizer.model.tokenize, self.letters
+        names, found, counts, other = [], [], [], []
+        for run in runs:
+            name = run.encode()
+            if name in known:
+                continue
+            if _letters(run):
+                got = tokens(run if len(run) == len(name) else run.translate(letters))
+                names.append(name)
+                counts.append(len(got))
+                found += [x.id for x in got]
+            else:
+                other.append(name)
+        raw, ends = np.array(found, self.kind).tobytes(), (np.cumsum(counts, dtype=np.int64) * self.kind.itemsize).tolist()
+        known.update(zip(names, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        self._learn(other + whole)
+        known.update([(w, b"".join([known[x.encode()] for x in parts])) for w, parts in split.items()])
+
+    def _stretch(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, which end at blanks, and their number in each."""
+        data = b" ".join([*pieces, b""])
+        blank = _BLANKS[np.frombuffer(data, np.uint8)]
+        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(pieces), np.int64)
+        edges = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        words = [w.rstrip() for w in coded.dictionary.to_pylist()]
+        new = {w for w in words if w not in self.words}
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-        if not self.parts:
-            return self._learn(list(new))
-        split = {w: _parts.findall(w) for w in new if w.isascii() and b"'" not in w and b"<|" not in w}
-        wanted = {x for parts in split.values() for x in parts}
-        wanted.update(w for w in new if w not in split)
-        self._learn([x for x in wanted if x not in self.words])
-        known = self.words
-        known.update([(w, b"".join([known[x] for x in parts])) for w, parts in split.items() if len(parts) > 1])
-
-    def encode(self, data: bytes) -> bytes:
-        out, at = [], 0
-        if self.lowers and b"<|" not in data:
-            data = data.lower()
-        while at < len(data):
-            end = len(data)
-            if end - at > PIECE_BYTES and (cut := _blank.search(data, at + PIECE_BYTES)):
-                end = cut.start() + 1
-            words = (data[at:end] if at or end < len(data) else data).split()
-            found = list(map(self.words.get, words))
-            if None in found:
-                self._meet({w for w, x in zip(words, found, strict=True) if x is None})
-                found = [self.words.get(w) if x is None else x for w, x in zip(words, found, strict=True)]
-            out.append(b"".join(found))
-            at = end
-        return b"".join(out)
+            new = set(words)
+        if new:
+            self._meet(new)
+        found = [self.words[w] for w in words]
+        flat, sizes = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        places, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[index]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(places[index] - (ends - n), n) + np.arange(ends[-1])]
+        first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in pieces)]))
+        return ids, np.diff(np.append(0, ends)[first])
+
+    def encode(self, texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their number in each."""
+        parts, owners, counts, pieces, held, size, n = [np.zeros(0, self.kind)], [], [], [], [], 0, 0
+
+        def close() -> None:
+            nonlocal pieces, held, size
+            ids, found = self._stretch(pieces)
+            parts.append(ids)
+            owners.extend(held)
+            counts.append(found)
+            pieces, held, size = [], [], 0
+
+        for text in texts:
+            if self.lowers and b"<|" not in text:
+                text = text.lower()
+            at = 0
+            while len(text) - at > PIECE_BYTES and (cut := _blank.search(text, at + PIECE_BYTES)):
+                pieces.append(text[at : cut.start()])
+                held.append(n)
+                at = cut.start()
+                close()
+            pieces.append(text[at:] if at else text)
+            held.append(n)
+            size += len(text) - at
+            n += 1
+            if size >= PIECE_BYTES:
+                close()
+        close()
+        return np.concatenate(parts), np.bincount(np.array(owners, np.int64), np.concatenate(counts), n).astype(np.int64)
 
 
 def encoder(path: str) -> Encoder:
@@ -115,13 +189,14 @@ def tokenise(docs: DataFrame, tokenizer: str, *, end_id: int = 2, cuts: list[int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             ids = batch.column(0)
-            got = [enc.encode((x.as_buffer().to_pybytes() if x.is_valid else b"")) + end for x in batch.column(1)]
+            got, n = enc.encode(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1))
+            got, n = np.insert(got, np.cumsum(n), end_id), n + 1
+            edge = pa.array(np.cumsum(np.append(0, n)) * enc.kind.itemsize, pa.int64())
+            got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, edge.buffers()[1], pa.py_buffer(got.tobytes())]).cast(pa.binary())
             part = np.searchsorted(edges, np.array([-(1 << 63) if x is None else x for x in ids.to_pylist()], np.int64)).astype(np.int32)
-            n = pa.array([len(x) // enc.kind.itemsize for x in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(part), n, pa.array(got, pa.binary())], names=["doc_id", "part", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(part), pa.array(n, pa.int64()), got], names=["doc_id", "part", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, part int, n_tokens bigint, ids binary")
