@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from contractlake.llm import boosting
 from contractlake.llm.common import remainder, stage
 
-#: Labelled rows that lexicon and model are fitted on; terms that the lexicon holds; texts with label 1 that a term needs, and its
-#: least log-likelihood ratio: by chance, one of some hundred thousand terms reaches it.
-SAMPLE_ROWS, LEXICON_TERMS, LEAST_TEXTS, LEAST_RATIO = 8_000, 4_000, 4, 24.0
+#: Labelled rows that lexicon and model are fitted on; texts with label 1 that a term needs, and its least log-likelihood ratio:
+#: by chance, one of some hundred thousand terms reaches it.
+SAMPLE_ROWS, LEAST_TEXTS, LEAST_RATIO = 8_000, 4, 24.0
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Lengths in bytes of the word beginnings that the lexicon may hold; words around a hit that count as near.
@@ -47,7 +47,8 @@ _WORDS = bytes.maketrans(
     bytes(range(65, 91)) + _PUNCTUATION + b"0123456789", bytes(range(97, 123)) + b" " * len(_PUNCTUATION) + b" " * 10
 )
 _LETTERS_FOR = bytes.maketrans(b"013457@$!|", b"oieastasil")
-_hidden = re.compile(rb"[A-Za-z]*(?:[0-9@$!|*_.\-]+[A-Za-z]+)+")
+#: Begins where a run of such characters begins and gives nothing back, so that unbroken runs are read once.
+_hidden = re.compile(rb"(?<![A-Za-z0-9@$!|*_.\-])[A-Za-z]*+(?:[0-9@$!|*_.\-]++[A-Za-z]++)+")
 _spelled = re.compile(rb"(?<![A-Za-z])(?:[A-Za-z][ .\-]){3,}[A-Za-z](?![A-Za-z])")
 _capitals = re.compile(rb"(?<![A-Za-z])[A-Z]{3,}(?![A-Za-z])")
 _runs = re.compile(rb"([!?*#$%&])\1")
@@ -145,11 +146,11 @@ def _term_counts(rows: DataFrame, among: frozenset[bytes] | None) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
-    """Terms with their log odds, at most LEXICON_TERMS: those that occur far oftener in texts with label 1."""
+    """Terms of the sample with their log odds: all that occur far oftener in texts with label 1."""
     n_bad, n_good = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
     if not n_bad or not n_good:
         return {}
-    frequent = _term_counts(sample.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "term").limit(50_000)
+    frequent = _term_counts(sample.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_TEXTS)
     bad = {bytes(r["term"]): r["n"] for r in frequent.collect()}
     good = {bytes(r["term"]): r["n"] for r in _term_counts(sample.filter("toxic = 0"), frozenset(bad)).collect()}
     share = n_bad / (n_bad + n_good)
@@ -160,8 +161,7 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
         log_odds = float(np.log((n + 0.5) / (n_bad + 1)) - np.log((g + 0.5) / (n_good + 1)))
         if log_odds >= 2.0 and ratio >= LEAST_RATIO:
             odds[term] = log_odds
-    chosen = sorted(odds, key=lambda t: (-odds[t] * bad[t], t))
-    return {t: odds[t] for t in chosen[:LEXICON_TERMS]}
+    return {t: odds[t] for t in sorted(odds)}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
