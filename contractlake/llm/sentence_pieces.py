@@ -45,6 +45,8 @@ BLANK, SIGN = " ", "\u2581"
 WINDOW, STEP = 56, 28
 #: Bytes of text whose fragments are numbered together; bytes that are cut at once; bytes of a fragment that are hashed.
 BLOCK_BYTES, STRETCH, _HASHED = 1 << 25, 1 << 20, 64
+#: Texts that a task takes over at once.
+BATCH_ROWS = 1_000
 #: Partitions of the distinct fragments, in multiples of the shuffle partitions; fragments that a task groups in memory before it sorts.
 PARTS_TIMES, GROUPED = 8, 20_000
 _STRIDE, _NEVER = 64, 1e300
@@ -185,14 +187,22 @@ class _Block:
         self.cut()
         coded = pa.chunked_array(self.fragments, pa.string()).dictionary_encode()
         self.fragments = []
-        numbers = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
         words = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+        chunks = [c.indices.to_numpy() for c in coded.chunks]
+        seen = np.zeros(len(words), np.int64)
+        for chunk in chunks:
+            seen += np.bincount(chunk, minlength=len(words))
         # Frequent fragments get small numbers, whose bytes compress well.
         rank = np.empty(len(words), np.uint32)
-        rank[np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
-        planes, edges = rank[numbers].view(np.uint8).reshape(-1, 4), np.cumsum([0, *self.counts]).astype(np.int32)
+        rank[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+        planes, at = np.empty((3, sum(map(len, chunks))), np.uint8), 0
+        for chunk in chunks:
+            planes[:, at : at + len(chunk)] = rank[chunk].view(np.uint8).reshape(-1, 4)[:, :3].T
+            at += len(chunk)
+        del coded, chunks
+        edges = np.cumsum([0, *self.counts]).astype(np.int32)
         n = len(self.ids)
-        low, middle, high = (pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(planes[:, k].tobytes())]) for k in range(3))
+        low, middle, high = (pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(planes[k])]) for k in range(3))
         found = {
             "block": pa.array(np.full(n, block)), "doc_id": pa.array(self.ids, kind), "crc": pa.array(self.crcs, pa.int64()),
             "low": low, "middle": middle, "high": high, "runs": pa.array(self.runs, pa.list_(pa.int32())),
@@ -247,6 +257,8 @@ def number_fragments(docs: DataFrame, pieces: Pieces, parts: int, block_bytes: i
                     number, held = number + 1, None
         if held:
             yield from held.rows(number, kind, parts)
+            held = None
+        pa.default_memory_pool().release_unused()  # the worker is idle in the stages that follow
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -474,7 +486,8 @@ def encode_documents(docs: DataFrame, model: str, *, block_bytes: int = BLOCK_BY
     """
     docs, pieces, spark = docs.select("doc_id", "text"), load(model), docs.sparkSession
     parts = PARTS_TIMES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = bucketed(number_fragments(docs, pieces, parts, block_bytes), "pieces", "block", min(parts // 2, 50_000))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        table = bucketed(number_fragments(docs, pieces, parts, block_bytes), "pieces", "block", min(parts // 2, 50_000))
     lists = table.filter("words is not null and block is not null and part is not null").select("block", "part", "words").repartition(parts, "part")
     each = lists.select("block", "part", F.posexplode("words").alias("k", "word"))
     distinct = each.groupBy("part", "word").agg(F.min("block").alias("first_block"))
