@@ -5,10 +5,11 @@ block is searched first and leaves each query a score to beat. In a block, vecto
 length in chunks: once |q||v| can't reach the score to beat, the rest of the block is skipped for
 the query; otherwise both are turned by the singular vectors of a sample, the leading coordinates
 are multiplied, and the Cauchy-Schwarz bound of the remaining ones prunes pairs. Survivors get the
-full integer product, in double precision, which is exact below 2 ** 53.
+full integer product: in double precision where no product of lengths reaches 2 ** 53, else in
+64-bit integers. A component or score that 63 bits can't hold raises an error.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an
-id. Of rows that share an id the one with the greatest vector counts. Only vectors of one length
+id; all finite vectors do. Of rows that share an id the one with the greatest vector counts. Only vectors of one length
 are compared. Ties go to the smaller id. Empty tables give empty results.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from contractlake.llm.common import stage
 
+#: No score yet.
+NONE = -(1 << 63)
 #: Vectors of a block, queries of a block, vectors of a chunk; rows that the rotation is fitted on; share of the coordinates that lead.
 BLOCK, QUERY_BLOCK, CHUNK, SAMPLE_ROWS, LEADING = 8_192, 4_096, 1_024, 5_000, 0.5
 
@@ -30,9 +33,10 @@ BLOCK, QUERY_BLOCK, CHUNK, SAMPLE_ROWS, LEADING = 8_192, 4_096, 1_024, 5_000, 0.
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id, v (array<bigint>), dim, norm2 of the usable rows of `vectors` (vec_id, embedding)."""
     x = F.transform("embedding", lambda e: e.cast("double"))
-    fit = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e15)
+    fit = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))
+    whole = lambda e: F.when(F.abs(e * scale) < float(1 << 63), F.floor(e * scale)).otherwise(F.raise_error(F.lit("a component exceeds 63 bits")).cast("bigint"))
     rows = vectors.select("vec_id", x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", fit))
-    rows = rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    rows = rows.select("vec_id", F.transform("x", whole).alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     return rows.withColumn("dim", F.size("v")).withColumn("norm2", norm2)
 
@@ -45,15 +49,19 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
 
 
 def search_block(queries: np.ndarray, ids: np.ndarray, to_beat: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, turn: np.ndarray, k: int):
-    """(query index, vec_id, score) of the best k of each query among `vectors`, none below its score to beat."""
+    """(query index, vec_id, score) of the best k of each query among `vectors`, none below its score to beat (NONE: no such)."""
+    whole_q, whole_v = queries.astype(np.int64), vectors.astype(np.int64)
+    queries, vectors = queries.astype(float), vectors.astype(float)
     order = np.lexsort((vec_ids, -np.einsum("ij,ij->i", vectors, vectors)))
-    vectors, vec_ids = vectors[order], vec_ids[order]
+    vectors, vec_ids, whole_v = vectors[order], vec_ids[order], whole_v[order]
     lengths, q_lengths = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
     lead = int(round(turn.shape[0] * LEADING))
     vt, qt = vectors @ turn, queries @ turn
     v_rest, q_rest = np.linalg.norm(vt[:, lead:], axis=1), np.linalg.norm(qt[:, lead:], axis=1)
-    floor_ = to_beat.astype(float)
-    best_s, best_i = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    rounds = q_lengths.max(initial=0) * lengths.max(initial=0) >= 2.0**53
+    least = to_beat.astype(np.int64)
+    floor_ = np.where(least == NONE, -np.inf, least.astype(float))
+    best_s, best_i = np.full((len(queries), k), NONE, np.int64), np.full((len(queries), k), np.iinfo(np.int64).max)
     for at in range(0, len(vectors), CHUNK):
         end = min(len(vectors), at + CHUNK)
         live = np.flatnonzero(q_lengths * lengths[at] * (1 + 1e-9) + 1e-6 >= floor_)
@@ -65,20 +73,27 @@ def search_block(queries: np.ndarray, ids: np.ndarray, to_beat: np.ndarray, vect
         if not len(full):
             continue
         scores = queries[full] @ vectors[at:end].T
-        scores[~maybe[maybe.any(axis=1)]] = -np.inf
-        scores[ids[full, None] == vec_ids[None, at:end]] = -np.inf
+        out = ~maybe[maybe.any(axis=1)] | (ids[full, None] == vec_ids[None, at:end])
+        if rounds:
+            if (np.abs(scores[~out]) >= 9.2e18).any():
+                raise OverflowError("a score exceeds 63 bits")
+            scores = whole_q[full] @ whole_v[at:end].T
+        scores = scores.astype(np.int64)
+        scores[out] = NONE
         keep = min(k, end - at)
         # The k-th best of the chunk bounds what can enter; all that reach it are ranked with their ids.
-        edge = np.maximum(-np.partition(-scores, keep - 1, axis=1)[:, keep - 1], floor_[full])
-        r, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+        edge = np.maximum(np.partition(scores, end - at - keep, axis=1)[:, end - at - keep], least[full])
+        r, c = np.nonzero((scores >= edge[:, None]) & (scores != NONE))
         for row in np.unique(r):
             cols = c[r == row]
             q = full[row]
             s, i = np.concatenate([best_s[q], scores[row, cols]]), np.concatenate([best_i[q], vec_ids[at + cols]])
-            top = np.lexsort((i, -s))[:k]
+            top = np.lexsort((i, ~s))[:k]  # ~s falls as s rises, and NONE has one
             best_s[q], best_i[q] = s[top], i[top]
-            floor_[q] = max(floor_[q], best_s[q][-1])
-    q, slot = np.nonzero(np.isfinite(best_s))
+            if best_s[q][-1] > least[q]:
+                least[q] = best_s[q][-1]
+                floor_[q] = float(least[q])
+    q, slot = np.nonzero(best_s != NONE)
     return q, best_i[q, slot], best_s[q, slot]
 
 
@@ -93,9 +108,9 @@ def _search(queries: DataFrame, blocks: DataFrame, turns: dict[int, np.ndarray],
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         dim = int(key[0])
-        mat = lambda s: np.array([np.asarray(v, float) for v in s]).reshape(len(s), dim)
+        mat = lambda s: np.array([np.asarray(v, np.int64) for v in s]).reshape(len(s), dim)
         ids = q["query_id"].to_numpy()
-        at, vec, score = search_block(mat(q["q"]), ids, q["to_beat"].to_numpy(float), mat(c["v"]), c["vec_id"].to_numpy(), turns[dim], k)
+        at, vec, score = search_block(mat(q["q"]), ids, q["to_beat"].to_numpy(np.int64), mat(c["v"]), c["vec_id"].to_numpy(), turns[dim], k)
         return pd.DataFrame({"query_id": ids[at], "vec_id": vec, "score": score.astype(np.int64)})
 
     return asked.groupBy("d", "qb", "b").cogroup(held.groupBy("dim", "q_block", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
@@ -127,9 +142,9 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256)
     )
     first = placed.join(placed.groupBy("dim").agg(F.min("level").alias("level")), ["dim", "level"])
     rest = placed.join(placed.groupBy("dim").agg(F.min("level").alias("low")), "dim").filter("level > low")
-    never = F.lit(float("-inf"))
+    never = F.lit(NONE).cast("bigint")
     head = stage(_best(_search(queries.withColumn("to_beat", never), first, turns, k), k), "top-first")
-    beat = head.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("to_beat"))
+    beat = head.filter(F.col("rank") == k).select("query_id", F.col("score").alias("to_beat"))
     asked = queries.join(beat, "query_id", "left").withColumn("to_beat", F.coalesce("to_beat", never))
     found = head.select("query_id", "vec_id", "score").unionByName(_search(asked, rest, turns, k))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
