@@ -78,12 +78,11 @@ def _sample(docs: DataFrame) -> pd.DataFrame:
             for seed, text in zip(batch["h"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "replace")
                 draws = np.random.default_rng(seed & 0xFFFFFFFF)
-                if len(raw) > PIECE:  # windows from all over the text
-                    at = draws.integers(0, len(raw) - 4096, SAMPLE_GRAMS // 16)
-                    grams = np.concatenate([draws.choice(subwords(raw[i : i + 4096]), 16) for i in at])
-                else:
-                    grams = subwords(raw)
-                    grams = draws.choice(grams, SAMPLE_GRAMS) if len(grams) else np.zeros(SAMPLE_GRAMS, np.uint16)
+                # Each stretch of the text gives as many as its share of the bytes, by chance.
+                stretches = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+                shares = draws.multinomial(SAMPLE_GRAMS, [len(x) / len(raw) for x in stretches]) if len(stretches) > 1 else [SAMPLE_GRAMS]
+                found = [(subwords(x), n) for x, n in zip(stretches, shares, strict=True) if n]
+                grams = np.concatenate([draws.choice(g, n) if len(g) else np.zeros(n, np.uint16) for g, n in found])
                 out.append(grams.astype("<u2").tobytes())
             yield pd.DataFrame({"h": batch["h"], "lang": batch["lang"], "grams": out})
 
