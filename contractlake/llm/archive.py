@@ -1,18 +1,23 @@
 """Content-addressed archive of web records.
 
-Payload bytes are stored once, under the SHA-256 of the bytes; the exact header block of every
-record is kept apart, with the digest that leads to its payload. Original records come back
-through a join of both tables, and every payload read is hashed again and held against its key.
+Payload bytes are stored once, under the SHA-256 of the bytes, in a table bucketed by the row that
+brought them; the exact header block of every record is kept apart. Type, ids, digest and length of
+a record are read from its header block. Original records come back through joins: each header meets
+the facts of its payload (the digest of the bytes read, their length, the bytes themselves where they
+are few), and each response with a larger payload meets the one row that holds it, where that row
+lies. Every payload read is hashed again and held against the digest in the header.
 
 Of records with equal payloads of at least `min_bytes` bytes the one with the smallest page_id is
 a `response`, the others are `revisit`s that name it; smaller ones are all responses. Null html is
 an empty payload. Null page ids never stand for a payload; where all ids of a payload are null,
-all its records are responses. Repeated rows of one page stay as many records. Empty tables give
-empty archives. Further columns of the input are not read.
+all its records are responses. Repeated rows of one page stay as many records, which share a record id.
+Very long payloads are moved as whole values, one at a time. Empty tables give empty archives.
+Further columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,12 +27,21 @@ from pyspark.sql import functions as F
 from contractlake.llm.common import stage
 
 CRLF = "\r\n"
+#: Payloads up to this size travel with their facts, so that a small one which many records share is met by all of them.
+INLINE_BYTES = 1_024
 
 
 def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.coalesce(page_id.cast("string"), F.lit("")).cast("binary"))
-    part = lambda a, n: F.substring(h, a, n)
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+
+
+def header_field(name: str) -> Column:
+    """The value of a field of the column `header`; an empty text if the block has none."""
+    return F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)", 1)
+
+
+def _page_of(name: str, page_id_type: str) -> Column:
+    return F.nullif(F.regexp_extract(header_field(name), "^<urn:page:(.*)>$", 1), F.lit("")).cast(page_id_type)
 
 
 def _header_block(date: str) -> Column:
@@ -48,8 +62,13 @@ def _header_block(date: str) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, *, min_bytes: int = 100, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Writes `pages` (page_id, url, html) to `path`/headers and `path`/payloads."""
+def _row_key(page_id: str) -> Column:
+    return F.concat_ws("|", "payload_digest", F.coalesce(F.col(page_id).cast("string"), F.lit("")))
+
+
+def write_archive(pages: DataFrame, path: str, *, min_bytes: int = 100, date: str = "2000-01-01T00:00:00Z") -> str:
+    """Writes `pages` (page_id, url, html) to `path`/headers and `path`/payloads; returns the name of the payloads' table in the catalog."""
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     whole = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     narrow = stage(whole.select("page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest"), "warc-digests")
@@ -57,23 +76,28 @@ def write_archive(pages: DataFrame, path: str, *, min_bytes: int = 100, date: st
     joined = narrow.join(first, "payload_digest")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     records = joined.select(
-        "page_id", "url", "payload_bytes", "payload_digest",
+        "page_id", "url", "payload_bytes", "payload_digest", _row_key("first_id").alias("row_key"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first_id")).alias("refers_to"),
     )
-    records.select("page_id", "payload_digest", "record_type", "refers_to", _header_block(date).alias("header")).write.parquet(f"{path}/headers")
+    records.select("row_key", _header_block(date).alias("header")).write.parquet(f"{path}/headers")
     # The row that brings the bytes is found by digest and id together, so no popular payload gathers in one task.
-    row_key = F.concat_ws("|", "payload_digest", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    chosen = first.select(F.concat_ws("|", "payload_digest", F.coalesce(F.col("first_id").cast("string"), F.lit(""))).alias("row_key"))
-    keyed = whole.select(row_key.alias("row_key"), "payload_digest", "payload")
+    chosen = first.select(_row_key("first_id").alias("row_key"))
+    keyed = whole.select(_row_key("page_id").alias("row_key"), "payload_digest", "payload")
     store = keyed.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"])
-    store.select("payload_digest", "payload").write.parquet(f"{path}/payloads")
+    name = f"warc_payloads_{uuid.uuid4().hex}"
+    # As many buckets as the join has partitions: each task writes the buckets that it holds.
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 50_000)
+    store.write.format("parquet").option("path", f"{path}/payloads").bucketBy(buckets, "row_key").saveAsTable(name)
+    return name
 
 
-def payloads(spark: SparkSession, path: str) -> DataFrame:
+def payloads(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """The stored payloads with the digest under which each is kept, the digest of the bytes read, and their length."""
-    stored = spark.read.schema("payload_digest string, payload binary").parquet(f"{path}/payloads")
+    schema = "row_key string, payload_digest string, payload binary"
+    stored = spark.table(table) if table else spark.read.schema(schema).parquet(f"{path}/payloads")
     return stored.select(
+        "row_key",
         F.col("payload_digest").alias("stored_digest"),
         F.sha2("payload", 256).alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -81,23 +105,30 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_archive(spark: SparkSession, path: str, *, page_id_type: str = "bigint") -> DataFrame:
-    """One row a record: page_id, record_type, refers_to, payload_bytes, payload_digest, verified, payload, record (its exact bytes).
+def read_archive(spark: SparkSession, path: str, *, table: str | None = None, page_id_type: str = "bigint") -> DataFrame:
+    """One row a record: page_id, record_type, refers_to, payload_bytes, payload_digest, verified, record (its exact bytes).
 
-    Digest and length are those of the bytes read, computed before the join; a reader that does not
-    ask for the bytes never shuffles them.
+    `verified`: the bytes read have the digest that the header names, and the record's body has the length that it names.
+    `table` is the name that write_archive returned; without it the payloads are read as files and shuffled.
     """
-    headers = spark.read.schema(
-        f"page_id {page_id_type}, payload_digest string, record_type string, refers_to {page_id_type}, header string"
-    ).parquet(f"{path}/headers")
-    kept = payloads(spark, path)
-    out = headers.withColumnRenamed("payload_digest", "stored_digest").join(kept, "stored_digest")
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    headers = spark.read.schema("row_key string, header string").parquet(f"{path}/headers").select(
+        "row_key", "header", _page_of("WARC-Record-ID", page_id_type).alias("page_id"), header_field("WARC-Type").alias("record_type"),
+        _page_of("WARC-Refers-To", page_id_type).alias("refers_to"), header_field("Content-Length").cast("long").alias("body_bytes"),
+        F.regexp_extract(header_field("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("stored_digest"),
+    )
+    kept = payloads(spark, path, table)
+    small = F.when(F.col("payload_bytes") <= INLINE_BYTES, F.col("payload"))
+    out = headers.join(kept.select("stored_digest", "payload_digest", "payload_bytes", small.alias("small")), "stored_digest")
+    bodies = (spark.table(table) if table else kept).select(F.col("row_key").alias("body_key"), F.col("payload").alias("large"))
+    # Only responses with large payloads ask for a row, and no two for the same one unless min_bytes is above INLINE_BYTES; others ask for none, under keys of their own.
+    asks = (F.col("record_type") == "response") & (F.col("payload_bytes") > INLINE_BYTES)
+    none = F.concat(F.lit("none|"), F.xxhash64("header").cast("string"))
+    out = out.withColumn("asked", F.when(asks, F.col("row_key")).otherwise(none)).join(bodies, F.col("asked") == F.col("body_key"), "left")
     ends = F.lit((CRLF * 2).encode())
+    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.coalesce("small", "large"))
     return out.select(
         "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest",
-        (F.col("payload_digest") == F.col("stored_digest")).alias("verified"),
-        "payload",
+        ((F.col("payload_digest") == F.col("stored_digest")) & (F.octet_length(body) == F.col("body_bytes"))).alias("verified"),
         F.concat(F.col("header").cast("binary"), ends, body, ends).alias("record"),
     )
 

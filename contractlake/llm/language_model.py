@@ -11,6 +11,8 @@ that is rare, so that its own count is at hand there. A partition counts its big
 them in one go; rare words that need backing off are joined with the word counts; all is summed by
 document. Bigrams that are very frequent in a sample are counted with the words, and scored where
 they stand, so that none of them gathers in one partition; which ones these are changes no score.
+The frequent words are those at or above a count that a histogram of the counts names, so no more
+than their documented number ever leaves the tasks.
 
 Null texts and texts without words have no score and count 0 words. Repeated rows count as often
 as they occur, and each gets its text's score. Empty tables give empty results.
@@ -32,8 +34,8 @@ from contractlake.llm.common import stage
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Words with short codes (18 bits, 0 and 1 are the signs); positions a partition is sized for; positions handled at once.
 HOT_WORDS, PER_PARTITION, AT_ONCE = (1 << 18) - 2, 4_000_000, 1 << 19
-#: Documents in which very frequent bigrams are looked for, and how many are kept.
-SAMPLE_DOCS, HOT_BIGRAMS = 400, 512
+#: Documents (about) in which very frequent bigrams are looked for, and how many are kept; steps of the histogram an octave.
+SAMPLE_DOCS, HOT_BIGRAMS, STEPS = 400, 512, 16
 _START, _END, _RARE = np.uint64(0), np.uint64(1), np.uint64(1 << 63)
 _MUL_V, _MUL_W = sketch.WEIGHTS[2], sketch.WEIGHTS[3]
 
@@ -122,18 +124,19 @@ def _exploded(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, pairs: np.nd
             part = (mixed >> np.uint64(20)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             part, own, short, code, cv, cw = (x[order] for x in (part, own, short, code, cv, cw))
-            cut = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+            present, starts = np.unique(part, return_index=True)
+            if not len(present):
+                present, starts = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+            cut = np.append(starts, len(part))
             out = []
-            for p in range(parts):
-                k = slice(cut[p], cut[p + 1])
-                if cut[p] == cut[p + 1] and p:
-                    continue
+            for turn, p in enumerate(present.tolist()):  # the first row holds all documents and what is known of them
+                k = slice(cut[turn], cut[turn + 1])
                 o, is_a = own[k], short[k]
-                ids = np.unique(o) if p else np.arange(len(fp))
+                ids = np.unique(o) if turn else np.arange(len(fp))
                 n_a, n_b = (np.bincount(o[m], minlength=len(fp))[ids].astype("<u4") for m in (is_a, ~is_a))
                 a = code[k][is_a].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                 b = np.stack([cv[k][~is_a], cw[k][~is_a]], axis=1).astype("<u8").tobytes()
-                extra = (sums.tobytes(), known.tobytes()) if not p else (b"", b"")
+                extra = (sums.tobytes(), known.tobytes()) if not turn else (b"", b"")
                 out.append((p, fp[ids].tobytes(), n_a.tobytes(), n_b.tobytes(), a, b, *extra))
             names = ["part", "fps", "n_a", "n_b", "a", "b", "sums", "known"]
             kinds = [pa.int32(), *[pa.binary()] * 7]
@@ -208,15 +211,27 @@ def _partial(rows: DataFrame, counts: np.ndarray, total: float) -> DataFrame:
     return rows.groupBy("part").applyInPandas(run, "fp long, score double, n long, word long")
 
 
+def least_count(words: DataFrame, most: int) -> int:
+    """The least count, by steps of a histogram, that at most `most` of the rows (n) reach; the driver sees one row a step."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int").alias("step")
+    left = most
+    for r in words.groupBy(step).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("greatest")).orderBy(F.desc("step")).collect():
+        left -= r["rows"]
+        if left < 0:
+            return r["greatest"] + 1
+    return 1
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words (with the end sign), log_score, mean_log_score for every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), seed=5)
     often = count_table(sample, None).filter("pair and n >= 20").orderBy(F.desc("n"), "key").limit(HOT_BIGRAMS).select("key")
     pairs = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     table = stage(count_table(docs, pairs), "lm-counts")
     total = table.filter(f"not pair and key <> {int(_START)}").agg(F.sum("n")).first()[0] or 0
-    frequent = table.filter("not pair and key < 0").orderBy(F.desc("n"), "key").limit(HOT_WORDS).select("key", "n").toPandas()
+    words = table.filter("not pair and key < 0")
+    frequent = words.filter(F.col("n") >= least_count(words, HOT_WORDS)).select("key", "n").toPandas()
     keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     hot = keys[order]

@@ -51,17 +51,23 @@ FROM k
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    archive.write_archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
-    return archive.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
-
-
-OP3_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, true AS verified
-FROM f
+    stored = archive.write_archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    records = archive.read_archive(spark, path, table=stored)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", F.sha2("record", 256).alias("record_sha256"))
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND page_id <> first_id AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to, true AS verified,
+  sha256(concat(concat_ws(chr(13) || chr(10), 'WARC/1.1', CASE WHEN again THEN 'WARC-Type: revisit' ELSE 'WARC-Type: response' END,
+      concat('WARC-Record-ID: <urn:page:', page_id, '>'), 'WARC-Date: 2000-01-01T00:00:00Z', 'WARC-Target-URI: ' || translate(url, chr(13) || chr(10), ''),
+      concat('WARC-Payload-Digest: sha256:', payload_digest), CASE WHEN again THEN concat('WARC-Refers-To: <urn:page:', first_id, '>') END,
+      CASE WHEN again THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END, 'Content-Type: text/html; charset=utf-8',
+      concat('Content-Length: ', CASE WHEN again THEN 0 ELSE payload_bytes END)),
+    chr(13), chr(10), chr(13), chr(10), CASE WHEN again THEN '' ELSE payload END, chr(13), chr(10), chr(13), chr(10))) AS record_sha256
+FROM r
 """
 
 

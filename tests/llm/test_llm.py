@@ -80,22 +80,25 @@ def test_schedules_invert(spark):
 
 
 def test_archive_round_trip(spark, tmp_path):
-    big = "<p>" + "é" * 80
-    rows = [(3, "http://a", big), (1, "http://b", big), (2, None, None), (7, "http://c", ""), (8, "u\r\nv", "small"), (9, "u", "small"), (1, "http://b", big), (None, "n", big)]
+    big, huge = "<p>" + "é" * 80, "<p>" + "long " * 400_000
+    rows = [(20, "h", huge), (21, "h", huge), (22, "h", None), (3, "http://a", big), (1, "http://b", big), (2, None, None), (7, "http://c", ""), (8, "u\r\nv", "small"), (9, "u", "small"), (1, "http://b", big), (None, "n", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     path = str(tmp_path / "w")
-    archive.write_archive(pages, path)
-    got = archive.read_archive(spark, path).collect()
+    table = archive.write_archive(pages, path)
+    got = archive.read_archive(spark, path, table=table).collect()
+    assert sorted(map(str, got)) == sorted(map(str, archive.read_archive(spark, path).collect()))
     assert len(got) == len(rows) and all(r["verified"] for r in got)
     for r in got:
         raw = dict((i, h) for i, _, h in rows)[r["page_id"]] or ""
-        assert bytes(r["payload"]).decode() == raw and r["payload_digest"] == hashlib.sha256(raw.encode()).hexdigest()
-        again = len(raw.encode()) >= 100 and r["page_id"] != 1
-        assert (r["record_type"], r["refers_to"]) == (("revisit", 1) if again else ("response", None))
-    assert spark.read.parquet(path + "/payloads").count() == 3
+        body = bytes(r["record"]).split(b"\r\n\r\n", 1)[1][:-4].decode()
+        assert body == ("" if r["record_type"] == "revisit" else raw) and r["payload_digest"] == hashlib.sha256(raw.encode()).hexdigest()
+        first = {big: 1, huge: 20}.get(raw)
+        again = first is not None and r["page_id"] != first
+        assert (r["record_type"], r["refers_to"]) == (("revisit", first) if again else ("response", None))
+    assert spark.read.parquet(path + "/payloads").count() == 4
     archive.export_warc(spark, path, str(tmp_path / "out"))
     blobs = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("*.gz"))
-    assert sorted(archive.parse_warc(blobs)) == sorted((bytes(r["record"]).split(b"\r\n\r\n", 1)[0].decode(), b"" if r["record_type"] == "revisit" else bytes(r["payload"])) for r in got)
+    assert sorted(archive.parse_warc(blobs)) == sorted((bytes(r["record"]).split(b"\r\n\r\n", 1)[0].decode(), bytes(r["record"]).split(b"\r\n\r\n", 1)[1][:-4]) for r in got)
     assert archive.read_warc(spark, str(tmp_path / "out")).count() == len(rows)
     archive.write_archive(pages.limit(0), str(tmp_path / "none"))
     assert archive.read_archive(spark, str(tmp_path / "none")).count() == 0
