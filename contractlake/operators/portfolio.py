@@ -11,17 +11,25 @@ LEAST_DAYS = 15
 
 
 def with_term(clauses: DataFrame) -> DataFrame:
-    """Adds `days`: the longest duration a clause names; null if it names none. Each text is read once."""
+    """Adds `days`: the longest duration a clause names; null if it names none."""
     return clauses.withColumn("days", F.array_max(C.duration_days(F.col("text"))))
 
 
+def named_terms(clauses: DataFrame) -> DataFrame:
+    """The clauses that name a duration, with `days`.
+
+    One match test comes first; `days` is never null then, so that no test of it is pushed below the extraction and repeats it.
+    """
+    return clauses.filter(F.col("text").rlike(C.DURATION)).withColumn("days", F.coalesce(F.array_max(C.duration_days(F.col("text"))), F.lit(0)))
+
+
 def conflicting_pairs(clauses: DataFrame, *, scope: str, least_days: int = LEAST_DAYS) -> DataFrame:
     """Pairs of clauses of one scope and type, of different contracts, whose longest durations differ by at least `least_days`.
 
     clauses: scope column, contract_id, clause_id, clause_type, text. An equi-join on scope and
     type; clauses without a duration are dropped before it.
     """
-    terms = with_term(clauses).filter(F.col("days").isNotNull()).select(scope, "clause_type", "contract_id", "clause_id", "days")
+    terms = named_terms(clauses).select(scope, "clause_type", "contract_id", "clause_id", "days")
     a, b = terms.alias("a"), terms.alias("b")
     same = (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.clause_type") == F.col("b.clause_type"))
     apart = (F.col("a.contract_id") != F.col("b.contract_id")) & (F.col("a.clause_id") < F.col("b.clause_id"))
@@ -42,7 +50,7 @@ def scopes_of_several(contracts: DataFrame, scope: list[str], least: int = 2) ->
 
 def term_spread(clauses: DataFrame, *, scope: str) -> DataFrame:
     """Least and greatest duration, their spread and the number of contracts of each scope and type: linear where pairs are not."""
-    terms = with_term(clauses).filter(F.col("days").isNotNull())
+    terms = named_terms(clauses)
     return terms.groupBy(scope, "clause_type").agg(
         F.min("days").alias("min_days"), F.max("days").alias("max_days"), (F.max("days") - F.min("days")).alias("spread_days"),
         F.count_distinct("contract_id").alias("n_contracts"),

@@ -184,12 +184,20 @@ def rerank(candidates: DataFrame, k: int, *, score: Column | None = None, key: s
     return top_k(scored, k, key=key)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, *, alpha: float | Column = 0.4, first: int = 20, fused: int = 15, final: int = 6,
+def hybrid(queries: DataFrame, chunks: DataFrame, *, alpha: float | Column = 0.4, fusion: str = "convex", first: int = 20, fused: int = 15, final: int = 6,
            where: Column | None = None, post: Column | None = None, key: str = "chunk_id", digits: int | None = None) -> DataFrame:
-    """Dense and sparse candidates, fused, cut, filtered, reranked. queries: query_id, query, query_vector; chunks: key, text, embedding."""
-    dense = dense_top_k(queries, chunks, first, where=where, key=key, digits=digits)
-    sparse = sparse_top_k(queries, chunks, first, where=where, key=key, digits=digits)
-    cut = top_k(fuse_convex(dense, sparse, alpha, key=key), fused, key=key, digits=digits).select("query_id", key)
+    """Dense and sparse candidates of the chunks that pass `where`, fused, cut, filtered by `post`, reranked.
+
+    queries: query_id, query, query_vector; chunks: key, text, embedding. Dense candidates come from
+    products of blocks; chunks without a shared term stay eligible at score 0 on the sparse side.
+    `fusion` is "convex" (weighted normalised scores) or "rrf" (reciprocal ranks).
+    """
+    dense = blocked_top_k(queries, chunks, first, where=where, key=key)
+    sparse = sparse_top_k(queries, chunks, first, where=where, key=key, digits=digits, zero_rows=True)
+    if fusion not in ("convex", "rrf"):
+        raise ValueError(f"unknown fusion {fusion!r}")
+    both = fuse_convex(dense, sparse, alpha, key=key) if fusion == "convex" else fuse_ranks([dense, sparse], key=key)
+    cut = top_k(both, fused, key=key, digits=digits).select("query_id", key)
     rows = cut.join(queries.select("query_id", "query"), "query_id").join(chunks.drop("embedding"), key)
     return rerank(rows if post is None else rows.filter(post), final, key=key)
 

@@ -63,19 +63,26 @@ def _page_at(offset):
 
 
 def chunk_documents(texts: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Overlapping windows of documents, with the pages and section that each stands on; blank windows take no index."""
+    """Overlapping windows of documents, with the pages and section that each stands on; blank windows take no index.
+
+    Windows are cut inside the row, so neither text nor pages are copied into the rows of the chunks.
+    """
     length = F.length("full_text")
     starts = F.sequence(F.lit(0), F.greatest(length - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    rows = texts.filter(length > 0).select("document", "pages", length.alias("whole"), "full_text", F.explode(starts).alias("start"))
-    end = F.least(F.col("start") + size, F.col("whole"))
-    text = C.strip(F.col("full_text").substr(F.col("start") + 1, F.lit(size)))
-    rows = rows.select("document", "start", text.alias("text"), _page_at(F.col("start")).alias("a"), _page_at(F.greatest(end - 1, F.col("start"))).alias("b"))
-    rows = rows.filter("text <> ''")
-    rows = rows.withColumn("chunk_index", F.row_number().over(W.partitionBy("document").orderBy("start")) - 1)
+
+    def window(start):
+        end = F.least(start + size, length)
+        return F.struct(
+            C.strip(F.col("full_text").substr(start + 1, F.lit(size))).alias("text"),
+            _page_at(start).alias("a"), _page_at(F.greatest(end - 1, start)).alias("b"),
+        )
+
+    cut = F.filter(F.transform(starts, window), lambda w: w["text"] != "")
+    rows = texts.filter(length > 0).select("document", F.posexplode(cut).alias("chunk_index", "w"))
     return rows.select(
-        F.concat_ws(":", F.col("document").cast("string"), F.col("chunk_index").cast("string"), F.substring(C.content_hash(F.col("text")), 1, 16)).alias("chunk_id"),
-        "document", "chunk_index", "text", F.col("a.page_number").alias("page_start"), F.col("b.page_number").alias("page_end"),
-        F.col("a.section").alias("section"), F.array_sort(F.array_distinct(F.array("a.source", "b.source"))).alias("sources"),
+        F.concat_ws(":", F.col("document").cast("string"), F.col("chunk_index").cast("string"), F.substring(C.content_hash(F.col("w.text")), 1, 16)).alias("chunk_id"),
+        "document", "chunk_index", "w.text", F.col("w.a.page_number").alias("page_start"), F.col("w.b.page_number").alias("page_end"),
+        F.col("w.a.section").alias("section"), F.array_sort(F.array_distinct(F.array("w.a.source", "w.b.source"))).alias("sources"),
     )
 
 

@@ -8,7 +8,7 @@ from contractlake.functions import hooks, rules
 from contractlake.operators import compliance, dashboards, evaluation, history, questions, workflow
 from contractlake.plans.bindings import oracle, view
 from contractlake.plans.registry import register
-from contractlake.plans.rule_queries import _same
+from contractlake.plans.rule_queries import SAME, _same
 from contractlake.plans.text_queries import sql_hash
 from contractlake.streaming import streams
 
@@ -144,12 +144,18 @@ def _decisions(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("ts").alias("event_time"), "event_id", decision.alias("decision"))
 
 
-@register("w11_job_outcomes")
+_OUTCOMES = """WITH d AS (SELECT user_id AS job_id, ts, event_id, CASE WHEN event_id % 23 = 0 THEN 'finalized' WHEN event_id % 29 = 0 THEN 'rejected' WHEN event_id % 31 = 0 THEN 'escalated' END AS ending FROM events),
+o AS (SELECT *, row_number() OVER w AS r, count(*) FILTER (ending IS NULL) OVER w AS again FROM d WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT *, ending IS NOT NULL OR again > 3 AS ends FROM o)
+SELECT job_id, coalesce(arg_min(coalesce(ending, 'escalated'), r) FILTER (ends), 'open') AS outcome, least(coalesce(arg_min(again, r) FILTER (ends), max(again)), 3) AS revisions FROM e GROUP BY job_id"""
+
+
+@register("w11_job_outcomes", _OUTCOMES)
 def w11(spark, sf_dir):
     return workflow.job_outcomes(_decisions(spark, sf_dir))
 
 
-@register("u4_job_outcomes_grouped")
+@register("u4_job_outcomes_grouped", _OUTCOMES)
 def u4(spark, sf_dir):
     return workflow.job_outcomes_pandas(_decisions(spark, sf_dir))
 
@@ -499,7 +505,14 @@ def _requests(spark, sf_dir):
     return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
 
-@register("x3_admissions")
+@register(
+    "x3_admissions",
+    """WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, epoch_us(ts) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS r FROM events),
+    s AS (SELECT key, request_id, "at", r, ["at"] AS times, true AS accepted FROM q WHERE r = 1
+      UNION ALL SELECT key, request_id, "at", r, CASE WHEN len(held) < 2 THEN list_append(held, "at") ELSE held END, len(held) < 2
+      FROM (SELECT q.*, list_filter(s.times, lambda t: q."at" - t <= 86400.0) AS held FROM s JOIN q ON q.key = s.key AND q.r = s.r + 1) AS x)
+    SELECT key, request_id, "at", accepted FROM s""",
+)
 def x3(spark, sf_dir):
     return streams.admissions(_requests(spark, sf_dir), most=2, seconds=86400.0)
 
@@ -528,8 +541,65 @@ def u3(spark, sf_dir):
     return hooks.annotate(view(spark, sf_dir, "v_clause").select("clause_id", "text"), annotator, "n_chars bigint").select("clause_id", F.col("annotation.n_chars").alias("n_chars"))
 
 
-@register("g1_same_clause_counts")
+@register("g1_same_clause_counts", oracle(f"WITH {SAME} SELECT src % 50 AS contract_id, count(*) AS n FROM same GROUP BY 1"))
 def g1_counts(spark, sf_dir):
     return dashboards.count_by(_same(spark, sf_dir).withColumn("contract_id", F.col("src") % 50), "contract_id")
 
 
+# Nested results as lists of texts, which SQL can make too. Of clauses and flags that share an id the least row stands for all.
+_ONE_CLAUSE = "one AS (SELECT contract_id, clause_id, clause_type, text FROM (SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY clause_type, text) AS u FROM v_clause) AS x WHERE u = 1)"
+_ONE_FLAG = "fl AS (SELECT risk_flag_id, contract_id, category, severity, CASE WHEN page_start % 5 <> 0 THEN clause_id END AS clause_id FROM (SELECT *, row_number() OVER (PARTITION BY risk_flag_id ORDER BY severity, category) AS u FROM v_risk_flag) AS x WHERE u = 1)"
+
+
+def _one_clause(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_clause").groupBy("contract_id", "clause_id").agg(F.min(F.struct("clause_type", "text")).alias("m"))
+    return rows.select("contract_id", "clause_id", "m.*")
+
+
+def _one_flag(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_risk_flag").groupBy("risk_flag_id", "contract_id", "clause_id", "page_start").agg(F.min(F.struct("severity", "category")).alias("m"))
+    return rows.select("risk_flag_id", "contract_id", F.when(F.col("page_start") % 5 != 0, F.col("clause_id")).alias("clause_id"), "m.*", F.lit(0.5).alias("confidence"))
+
+
+def _listed(column: str, *fields: str):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("|", *[x[f] for f in fields])), ";")
+
+
+@register(
+    "w9_brief_inputs_lists",
+    oracle("""SELECT c.contract_id AS document_id, c.document_type, coalesce(a.clauses, '') AS clauses, coalesce(f.flags, '') AS flags FROM v_contract AS c
+      LEFT JOIN (SELECT contract_id, string_agg(concat(clause_id, '|', clause_type, '|', text), ';' ORDER BY clause_id, clause_type, text) AS clauses FROM v_clause GROUP BY 1) AS a USING (contract_id)
+      LEFT JOIN (SELECT contract_id, string_agg(concat(risk_flag_id, '|', severity), ';' ORDER BY risk_flag_id, severity) AS flags FROM v_risk_flag GROUP BY 1) AS f USING (contract_id)"""),
+)
+def w9_lists(spark, sf_dir):
+    out = w9(spark, sf_dir)
+    return out.select("document_id", "document_type", _listed("clauses", "clause_id", "clause_type", "text").alias("clauses"), _listed("flags", "risk_flag_id", "severity").alias("flags"))
+
+
+@register(
+    "w13_high_risk_rows",
+    oracle(f"WITH {_ONE_CLAUSE}, {_ONE_FLAG} SELECT fl.contract_id, fl.clause_id, one.clause_type, fl.category, one.text AS preview FROM fl LEFT JOIN one ON fl.clause_id = one.clause_id WHERE fl.severity = 'high'"),
+)
+def w13_rows(spark, sf_dir):
+    out = workflow.high_risk_details(_one_flag(spark, sf_dir), _one_clause(spark, sf_dir))
+    return out.select("contract_id", F.explode("high_risk").alias("h")).select("contract_id", "h.*")
+
+
+@register(
+    "b7_document_detail_lists",
+    oracle(f"""WITH {_ONE_CLAUSE}, {_ONE_FLAG},
+      a AS (SELECT one.contract_id, string_agg(concat(one.clause_id, '|', one.clause_type, '|', one.text, '|', coalesce(fl.category || '/' || fl.severity, '')), ';' ORDER BY one.clause_id) AS clauses FROM one LEFT JOIN fl ON fl.clause_id = one.clause_id GROUP BY 1),
+      d AS (SELECT contract_id, string_agg(concat(category, '/', severity), ';' ORDER BY category, severity) AS document_flags FROM fl WHERE clause_id IS NULL GROUP BY 1)
+      SELECT c.contract_id, c.contract_name, c.status, a.clauses, d.document_flags FROM v_contract AS c LEFT JOIN a USING (contract_id) LEFT JOIN d USING (contract_id)"""),
+)
+def b7_lists(spark, sf_dir):
+    out = dashboards.document_detail(view(spark, sf_dir, "v_contract"), _one_clause(spark, sf_dir), _one_flag(spark, sf_dir))
+    flags = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["category"], F.lit("/"), x["severity"])), ";")
+    none = F.array().cast("array<struct<category:string,severity:string,confidence:double>>")
+    each = F.transform("clauses", lambda x: F.concat_ws("|", x["clause_id"], x["clause_type"], x["text"], flags(F.coalesce(x["flags"], none))))
+    return out.select("contract_id", "contract_name", "status", F.array_join(each, ";").alias("clauses"), flags(F.col("document_flags")).alias("document_flags"))
+
+
+@register("v7_memory_window_6", oracle("SELECT document_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY turn DESC) AS r FROM v_chat WHERE status = 'answered') AS x WHERE r <= 6"))
+def v7_six(spark, sf_dir):
+    return history.memory_window(view(spark, sf_dir, "v_chat")).select("document_id", "turn")

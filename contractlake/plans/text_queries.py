@@ -170,7 +170,15 @@ def t7_t8(spark, sf_dir):
     return text.chunk_pages(_pages(spark, sf_dir)).drop("sources")
 
 
-@register("t9_t10_table_chunks")
+@register(
+    "t9_t10_table_chunks",
+    """WITH c AS (SELECT l_orderkey AS document, l_linenumber AS page_number, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), concat(l_returnflag, '|', chr(10), l_linestatus)] AS cells FROM lineitem),
+    g AS (SELECT document, page_number, list(concat('| ', cells[1], ' | ', cells[2], ' | ', translate(cells[3], concat(chr(10), '|'), ' /'), ' |') ORDER BY cells) AS l, count(*) AS n_rows FROM c GROUP BY 1, 2),
+    n AS (SELECT l_orderkey AS document, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT concat(document, ':table:', page_number, ':0') AS chunk_id, document, n + row_number() OVER (PARTITION BY document ORDER BY page_number) - 1 AS chunk_index,
+      concat(l[1], chr(10), '| --- | --- | --- |', CASE WHEN len(l) > 1 THEN concat(chr(10), array_to_string(l[2:], chr(10))) ELSE '' END) AS text, n_rows, 3 AS n_columns, page_number
+    FROM g JOIN n USING (document)""",
+)
 def t9_t10(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     cell = lambda c: F.col(c).cast("string")
@@ -510,3 +518,53 @@ def e6_50(spark, sf_dir):
 def r6_blocked_50(spark, sf_dir):
     found = retrieval.blocked_top_k(_vector_queries_50(spark, sf_dir), _vectors_50(spark, sf_dir), 5, block=512)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# Dense and sparse lists over the texts that have a vector; each passage asks with the vector of its own number.
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_HYBRID_BM25 = (
+    BM25.replace(f"SELECT document AS chunk_id, {_TOKENS} AS t FROM v_page", f"SELECT chunk_id, {_TOKENS} AS t FROM ch")
+    .replace(f"SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark", f"SELECT query_id, unnest({_TOKENS}) AS term FROM qu")
+    .replace("sparse AS (", "every AS (SELECT qu.query_id, ch.chunk_id, coalesce(bm.score, 0) AS score FROM qu CROSS JOIN ch LEFT JOIN bm USING (query_id, chunk_id)),\nsparse AS (")
+    .replace("FROM bm) AS r", "FROM every) AS r")
+)
+_HYBRID = f"""WITH ch AS (SELECT doc_id AS chunk_id, text, source AS parties, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE text IS NOT NULL AND embedding IS NOT NULL AND lang = 'en'),
+qu AS (SELECT item_id AS query_id, text, embedding AS qv FROM benchmark JOIN embeddings ON vec_id = item_id WHERE embedding IS NOT NULL),
+{_HYBRID_BM25},
+near AS (SELECT query_id, chunk_id, round({sql_cosine('qv', 'embedding')}, 9) AS score FROM qu CROSS JOIN ch),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near) AS r WHERE rank <= 20),"""
+_HYBRID_CUT = RERANK.replace("WHERE rank <= 15)", "WHERE rank <= 15 AND chunk_id IN (SELECT chunk_id FROM ch WHERE position('1' IN lower(parties)) > 0))")
+_HYBRID_FUSED = {
+    "convex": f"fused AS (SELECT query_id, chunk_id, round(0.4::DOUBLE * coalesce(a.v, 0) + 0.6::DOUBLE * coalesce(b.v, 0), 6) AS score FROM ({_NORMAL.format('dense')}) AS a FULL JOIN ({_NORMAL.format('sparse')}) AS b USING (query_id, chunk_id))",
+    "rrf": "fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM sparse) AS x GROUP BY 1, 2)",
+}
+
+
+def _hybrid_sides(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding is not null").select("vec_id", "embedding")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    chunks = docs.join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("parties"), "lang", "embedding")
+    asked = _queries(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "query", F.col("embedding").alias("query_vector"))
+    return asked, chunks
+
+
+def _hybrid(spark, sf_dir, fusion):
+    asked, chunks = _hybrid_sides(spark, sf_dir)
+    out = retrieval.hybrid(asked, chunks, fusion=fusion, where=F.col("lang") == "en", post=F.contains(F.lower("parties"), F.lit("1")), digits=6)
+    return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@register("r14_hybrid_dense", f"{_HYBRID} {_HYBRID_FUSED['convex']}, {_HYBRID_CUT.format('fused')} SELECT query_id, chunk_id, score, rank FROM final")
+def r14_dense(spark, sf_dir):
+    return _hybrid(spark, sf_dir, "convex")
+
+
+@register("r14_hybrid_dense_ranks", f"{_HYBRID} {_HYBRID_FUSED['rrf']}, {_HYBRID_CUT.format('fused')} SELECT query_id, chunk_id, score, rank FROM final")
+def r14_dense_ranks(spark, sf_dir):
+    return _hybrid(spark, sf_dir, "rrf")
+
+
+@register("r4_filtered_zero_rows", f"{_HYBRID} x AS (SELECT 1) SELECT query_id, chunk_id, score, rank FROM sparse")
+def r4_zero(spark, sf_dir):
+    asked, chunks = _hybrid_sides(spark, sf_dir)
+    return retrieval.sparse_top_k(asked.select("query_id", "query"), chunks.drop("embedding"), 20, where=F.col("lang") == "en", digits=6, zero_rows=True)

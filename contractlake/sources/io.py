@@ -36,9 +36,10 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def export_chunks(chunks: DataFrame, path: str, partition: str = "document") -> None:
-    """Chunk metadata as JSON, a folder for each document."""
-    chunks.write.mode("overwrite").partitionBy(partition).json(path)
+def export_chunks(chunks: DataFrame, path: str, key: str = "document", buckets: int = 64) -> None:
+    """Chunk metadata as JSON lines, in `buckets` folders by a hash of the document, whose chunks stay together and in order."""
+    rows = chunks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows.repartition(key).sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def reject_reason() -> Column:
