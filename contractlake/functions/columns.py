@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEADING = r"^[A-Z0-9][A-Za-z0-9 ,.:\-()]{2,80}$"
+from contractlake.functions.rules import DURATION, HEADING
+
 #: Ends of lines as text readers know them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-DURATION = r"(?i)\b\(?([0-9]+)\)?\s*(day|days|month|months|year|years)\b"
 
 
 def strip(c: Column) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from contractlake.operators import dedup, retrieval
 
 
-def same_clause_edges(clauses: DataFrame, *, k: int = 3, least: float = 0.90, blocked: bool = False) -> DataFrame:
-    """src, dst, similarity: each clause's k nearest clauses of other contracts, at or above `least`. clauses: clause_id, contract_id, embedding."""
+def same_clause_edges(clauses: DataFrame, *, k: int = 3, least: float = 0.90, blocked: bool = True) -> DataFrame:
+    """src, dst, similarity: each clause's k nearest clauses of other contracts, at or above `least`. clauses: clause_id, contract_id, embedding.
+
+    Blocks of vectors are multiplied; `blocked=False` compares all pairs as rows, for ids that are no numbers and some thousand clauses.
+    """
     if blocked:
         queries = clauses.select(F.col("clause_id").alias("query_id"), "contract_id", F.col("embedding").alias("query_vector"))
         found = retrieval.blocked_top_k(queries, clauses, k, key="clause_id", least=least, exclude="contract_id")

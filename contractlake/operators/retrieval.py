@@ -84,16 +84,17 @@ def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: C
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", on: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """Cosine top k of queries (query_id, query_vector) among chunks (key, embedding), as column expressions.
+    """Cosine top k of queries (query_id, query_vector) among chunks (key, embedding).
 
-    `on` holds columns that must agree (tenant, say). For more than some ten thousand chunks use
-    blocked_top_k, which multiplies blocks of vectors.
+    `on` holds columns that must agree (tenant, say): an equi-join with column expressions. Without
+    any, blocks of vectors are multiplied.
     """
+    if not on:
+        return blocked_top_k(queries, chunks, k, where=where, key=key, digits=9 if digits is None else digits)
     kept = (chunks if where is None else chunks.filter(where)).withColumn("norm_b", C.norm(F.col("embedding")))
     asked = queries.withColumn("norm_a", C.norm(F.col("query_vector")))
-    pairs = asked.join(kept, on) if on else asked.crossJoin(kept)
     score = C.cosine(F.col("query_vector"), F.col("embedding"), F.col("norm_a"), F.col("norm_b"))
-    return top_k(pairs.select("query_id", key, score.alias("score")), k, key=key, digits=digits)
+    return top_k(asked.join(kept, on).select("query_id", key, score.alias("score")), k, key=key, digits=digits)
 
 
 def blocked_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", least: float | None = None,

@@ -23,10 +23,10 @@ def approval_chain(documents: DataFrame) -> DataFrame:
     high, over = F.coalesce("has_high_risk", F.lit(False)), F.coalesce(F.col("monetary_value") >= bar, F.lit(False))
     secret = F.coalesce(F.col("confidentiality_level") == "highly_confidential", F.lit(False))
     step = lambda role, reason: F.struct(F.lit(role).alias("required_role"), reason.alias("reason"))
-    why = F.concat_ws("; ", F.when(high, "high/critical risk flag present"), F.when(over, F.concat(F.lit("contract value >= "), F.format_number(bar, 0))))
-    clo = F.when(secret, "highly confidential document").otherwise("organization policy explicitly requires CLO approval")
+    why = F.concat_ws("; ", F.when(high, rules.REASONS["high_risk"]), F.when(over, F.concat(F.lit(rules.REASONS["over_value"]), F.format_number(bar, 0))))
+    clo = F.when(secret, rules.REASONS["secret"]).otherwise(rules.REASONS["clo"])
     default = F.array_compact(F.array(
-        step("reviewer", F.lit("first reviewer")), step("senior_counsel", F.lit("second-level legal approval")),
+        step("reviewer", F.lit(rules.REASONS["reviewer"])), step("senior_counsel", F.lit(rules.REASONS["senior_counsel"])),
         F.when(high | over, step("business_head", why)), F.when(secret | F.coalesce("require_clo", F.lit(False)), step("clo", clo)),
     ))
     policy = F.transform("approval_policy", lambda s: step_of(s))
@@ -37,7 +37,7 @@ def approval_chain(documents: DataFrame) -> DataFrame:
 
 
 def step_of(s: Column) -> Column:
-    return F.struct(s["required_role"].alias("required_role"), F.coalesce(s["reason"], F.lit("organization approval policy")).alias("reason"))
+    return F.struct(s["required_role"].alias("required_role"), F.coalesce(s["reason"], F.lit(rules.REASONS["policy"])).alias("reason"))
 
 
 PAST = {"approve": "approved", "approve_with_changes": "approved_with_changes", "reject": "rejected", "send_back": "sent_back"}
