@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlake.llm import archive, exact_dedup, inner_products, language_id, language_model, mixing, near_dedup, sentence_pieces, token_ids, toxicity
+from contractlake.llm import (
+    archive, exact_dedup, inner_products, language_id, language_model, manifest, mixing, near_dedup, phrases, secrets, sentence_pieces, token_ids, toxicity,
+)
 from contractlake.llm.common import new_path, table
 
 
@@ -164,6 +166,136 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents", *manifest.FIELDS))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+d AS (
+  SELECT doc_id, lang, array_to_string(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+      lambda x: CASE WHEN x IS NULL THEN '-' ELSE concat(octet_length(encode(x)), ':', x) END), '') AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE concat(octet_length(encode(text)), ':', text) END AS body,
+    CASE WHEN text IS NULL THEN '-' ELSE concat(octet_length(encode(text)), ':', translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS changed,
+    doc_id IS NOT NULL AND xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+      lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 3 = 0 AS tampered
+  FROM documents, crc),
+h AS (SELECT doc_id, lang, sha256(concat(head, body)) AS leaf, CASE WHEN tampered THEN sha256(concat(head, changed)) ELSE sha256(concat(head, body)) END AS seen FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM h),
+n AS (
+  SELECT lang, 0 AS level, place, leaf AS digest FROM l
+  UNION ALL
+  SELECT lang, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS m FROM n) WHERE m > 1 GROUP BY lang, level + 1, place // 8),
+s AS (SELECT lang, digest AS subroot FROM n QUALIFY level = max(level) OVER (PARTITION BY lang)),
+u AS (SELECT lang, subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM s),
+t AS (
+  SELECT 0 AS level, place, subroot AS digest FROM u
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM (SELECT *, count(*) OVER () AS m FROM t) WHERE m > 1 GROUP BY level + 1, place // 8),
+r AS (SELECT digest AS root FROM t QUALIFY level = max(level) OVER ()),
+e AS (
+  SELECT a.lang, a.place, n.level, coalesce(string_agg(n.digest, '' ORDER BY n.place) FILTER (WHERE n.place < a.place // CAST(8 ** n.level AS BIGINT)), '') AS before,
+    coalesce(string_agg(n.digest, '' ORDER BY n.place) FILTER (WHERE n.place > a.place // CAST(8 ** n.level AS BIGINT)), '') AS after
+  FROM l AS a JOIN (SELECT *, max(level) OVER (PARTITION BY lang) AS top FROM n) AS n
+    ON a.lang IS NOT DISTINCT FROM n.lang AND n.level < n.top AND n.place // 8 = a.place // CAST(8 ** (n.level + 1) AS BIGINT)
+  GROUP BY a.lang, a.place, n.level
+  UNION ALL
+  SELECT a.lang, a.place, 100 + n.level, coalesce(string_agg(n.digest, '' ORDER BY n.place) FILTER (WHERE n.place < u.place // CAST(8 ** n.level AS BIGINT)), ''),
+    coalesce(string_agg(n.digest, '' ORDER BY n.place) FILTER (WHERE n.place > u.place // CAST(8 ** n.level AS BIGINT)), '')
+  FROM l AS a JOIN u ON a.lang IS NOT DISTINCT FROM u.lang JOIN (SELECT *, max(level) OVER () AS top FROM t) AS n ON n.level < n.top AND n.place // 8 = u.place // CAST(8 ** (n.level + 1) AS BIGINT)
+  GROUP BY a.lang, a.place, 100 + n.level),
+p AS (SELECT lang, place, sha256(string_agg(concat(before, after), '' ORDER BY level)) AS proof_sha256, list(concat(before, '|', after) ORDER BY level) AS steps FROM e GROUP BY lang, place),
+f AS (
+  SELECT l.doc_id, l.leaf, u.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(list_concat([l.seen], coalesce(p.steps, [])), lambda x, y: sha256(concat(split_part(y, '|', 1), x, split_part(y, '|', 2)))) AS folded_root
+  FROM l JOIN u ON l.lang IS NOT DISTINCT FROM u.lang CROSS JOIN r LEFT JOIN p ON l.lang IS NOT DISTINCT FROM p.lang AND l.place = p.place)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _op12_sql() -> str:
+    classes = []
+    for kind in secrets.CLASSES:
+        low = "lower(what)" if kind.kind == "hexrun" else "what"
+        test = ("" if kind.kind == "hexrun" else "NOT ") + "regexp_matches(what, '^[0-9A-Fa-f]+$')"
+        held = "".join(f" AND regexp_matches(what, '{x}')" for x in secrets.HELD[kind.kind])
+        weights = ", ".join(str(secrets.weighted(c)) for c in range(kind.width + 1))
+        classes.append(rf"""
+  SELECT r, {secrets.KINDS.index(kind.kind)} AS kind, a FROM (
+    SELECT r, a, x, count(*) AS c FROM (
+      SELECT r, a, unnest(range(1, {kind.width + 1})) AS j, s, i, substr(s, CAST(i + j AS BIGINT), 1) AS x FROM (
+        SELECT r, first + i AS a, s, i FROM (SELECT r, first, {low} AS s, unnest(range(0, len(what) - {kind.width - 1})) AS i FROM runs WHERE {test}{held} AND NOT allowed))) GROUP BY r, a, x)
+  GROUP BY r, a HAVING sum(([{weights}])[c + 1]) <= {secrets.limit(kind)}""")
+    # What the other engine's patterns can't say (lookarounds, repeated groups) follows from leftmost, greedy matching of whole runs.
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+q AS (SELECT * FROM (VALUES
+  (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (5, '[0-9A-Za-z+/_=-]+')) AS v(kind, pattern)),
+m AS (SELECT r, kind, pattern, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps FROM d, q),
+g AS (SELECT r, kind, pattern, unnest(found) AS what, unnest(gaps[:len(found)]) AS gap, unnest(range(1, len(found) + 1)) AS i FROM m WHERE len(found) > 0),
+e AS (SELECT *, CAST(sum(len(gap) + len(what)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM g),
+base AS (
+  SELECT r, kind, stop - len(what) AS start, stop FROM e
+  WHERE CASE kind WHEN 0 THEN len(regexp_extract(what, pattern, 2)) >= 8 WHEN 1 THEN len(what) >= 16 WHEN 2 THEN len(what) >= 32 ELSE false END),
+runs AS (
+  SELECT r, stop - len(what) AS first, what,
+    regexp_matches(what, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$') OR len(list_distinct(string_split(what, ''))) <= 1
+    OR (replace(what, what[1:2], '') IN ('', what[1:1])) OR regexp_matches(lower(what), 'abcdefghijkl|qwertyuiop|0123456789|1234567890|example|placeholder|changeme|xxxxxxxx') AS allowed
+  FROM e WHERE kind = 5 AND len(what) >= 24),
+w AS ({" UNION ALL ".join(classes)}),
+i AS (SELECT *, CASE WHEN a < lag(a) OVER (PARTITION BY r, kind ORDER BY a) + 24 THEN 0 ELSE 1 END AS opens FROM w),
+k AS (SELECT r, kind, a, sum(opens) OVER (PARTITION BY r, kind ORDER BY a) AS island FROM i),
+x AS (SELECT r, kind, min(a) AS start, max(a) + 24 AS stop FROM k GROUP BY r, kind, island),
+al AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM x),
+j AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(concat([{", ".join(repr(x) for x in secrets.KINDS)}][kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind) FILTER (WHERE is_base) AS base,
+    string_agg(concat([{", ".join(repr(x) for x in secrets.KINDS)}][kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind) AS spans
+  FROM al GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (r)
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (
+  SELECT lang, piece_id, unnest(words) AS a, unnest(range(len(words))) AS i
+  FROM (SELECT lang, row_number() OVER () AS piece_id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p)),
+x AS (SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM w WINDOW o AS (PARTITION BY piece_id ORDER BY i)),
+g AS (
+  SELECT lang, 1 AS k, a AS phrase FROM x UNION ALL SELECT lang, 2, concat_ws(' ', a, b) FROM x WHERE b IS NOT NULL
+  UNION ALL SELECT lang, 3, concat_ws(' ', a, b, c) FROM x WHERE c IS NOT NULL UNION ALL SELECT lang, 4, concat_ws(' ', a, b, c, d) FROM x WHERE d IS NOT NULL),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+a AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM c WHERE k > 1 AND f >= 30),
+u AS (SELECT lang, k, phrase, a, words, unnest(range(1, k)) AS cut FROM a),
+s AS (
+  SELECT u.lang, u.phrase, u.a, u.k, u.cut, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * u.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM u JOIN c AS x ON x.lang = u.lang AND x.phrase = array_to_string(words[:cut], ' ') JOIN c AS y ON y.lang = u.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+j AS (SELECT lang, a, words, k, unnest([2, 3]) AS size FROM a WHERE k > 2),
+h AS (SELECT lang, a, words, size, unnest(range(1, k - size + 2)) AS i FROM j WHERE size < k),
+m AS (SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, max(a) AS longest FROM h GROUP BY 1, 2),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM b LEFT JOIN m ON b.lang = m.lang AND b.phrase = m.phrase WHERE m.longest IS NULL OR CAST(100 AS HUGEINT) * m.longest < CAST(80 AS HUGEINT) * b.a)
+SELECT o.lang, rank, o.phrase, a, l, r, n.n, score FROM o JOIN n ON o.lang = n.lang WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -173,10 +305,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_mixing, op2_token_ids, op3_warc, op4_exact_dedup, op5_lm_scoring, op6_toxicity, op7_top_k,
-        op8_sentence_pieces, op9_near_dedup, op10_language_id, pipeline,
+        op8_sentence_pieces, op9_near_dedup, op10_language_id, op11_merkle_manifest, op12_secret_scan, op13_collocations, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_lm_scoring": OP5_SQL, "op7_top_k": OP7_SQL, "op9_near_dedup": OP9_SQL}
+    return {
+        "op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_lm_scoring": OP5_SQL, "op7_top_k": OP7_SQL, "op9_near_dedup": OP9_SQL,
+        "op11_merkle_manifest": OP11_SQL, "op12_secret_scan": _op12_sql(), "op13_collocations": OP13_SQL,
+    }
