@@ -39,9 +39,9 @@ from contractlake.llm.language_model import least_count
 #: Occurrences a phrase needs, words it may have, rows reported a language; share (percent) of a longer phrase that absorbs a shorter one.
 LEAST, WORDS, TOP, ABSORBED = 30, 4, 2_000, 80
 #: Units of a level with ranks; pairs a tile is sized for; cells up to which a tile is counted by direct address.
-RANKED, PER_TILE, DENSE = 1 << 19, 4_000_000, 1 << 22
+RANKED, PER_TILE, DENSE = 1 << 19, 2_000_000, 1 << 21
 #: Bytes of text that are tokenised at once; pairs, and distinct words, that a task gathers before it sends them on.
-STRETCH, GATHERED, GATHERED_WORDS = 1 << 22, 4_000_000, 400_000
+STRETCH, GATHERED, GATHERED_WORDS = 1 << 21, 1_500_000, 200_000
 #: Odd multipliers of the word hash, tried in turn, and of the hash of two neighbours.
 POWERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -290,8 +290,8 @@ def pair_counts(docs: DataFrame, level: int, ranks: Ranks, power: int) -> DataFr
             at, here = _find(ranks, keys, left, right), np.flatnonzero(follows[:-1])
             a, b = at[here], at[here + 1]
             both = (a >= 0) & (b >= 0)
-            firsts.append(a[both])
-            seconds.append(b[both])
+            firsts.append(a[both].astype(np.int32))
+            seconds.append(b[both].astype(np.int32))
             size += int(both.sum())
             if not ranks.whole and not both.all():
                 rest = here[~both]
@@ -333,7 +333,9 @@ def pair_counts(docs: DataFrame, level: int, ranks: Ranks, power: int) -> DataFr
         both = (x.to_numpy(np.int64).view(np.uint64) for x in (left, right))
         return pd.Series(joined(*both).view(np.int64))
 
-    return out.select("lang", key_of("left", "right").alias("key"), "left", "right", "n")
+    out = stage(out.select("lang", key_of("left", "right").alias("key"), "left", "right", "n"), f"phrases-{level + 1}")
+    named.destroy()
+    return out
 
 
 def _shared_key(words: DataFrame) -> bool:
@@ -352,7 +354,7 @@ def phrase_levels(docs: DataFrame, ranked: int = RANKED) -> tuple[DataFrame, lis
         raise ValueError("frequent words share their hash under every multiplier: add one to POWERS")
     units, levels = words.filter(F.col("n") >= LEAST).select("lang", "key", F.col("key").alias("left"), F.col("key").alias("right"), "n"), []
     for level in range(1, WORDS):
-        units = stage(pair_counts(docs, level, rank(units, ranked), power), f"phrases-{level + 1}")
+        units = pair_counts(docs, level, rank(units, ranked), power)
         levels.append(units)
     return words, levels
 
