@@ -6,7 +6,7 @@ one document is one task's and documents spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,37 +58,68 @@ def document_texts(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def _page_at(offset):
-    return F.element_at(F.filter("pages", lambda p: p["start_offset"] <= offset), -1)
+def window_starts(length: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """Where the windows of a text of `length` characters begin: one follows as long as more than the overlap is left."""
+    return F.sequence(F.lit(0).cast("long"), F.greatest(length - overlap - 1, F.lit(0)).cast("long"), F.lit(size - overlap).cast("long"))
 
 
-def chunk_documents(texts: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Overlapping windows of documents, with the pages and section that each stands on; blank windows take no index.
+def page_lookup(positions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds page_number, section and source of the page that each position (document, offset) stands on: the last page that begins at or before it.
 
-    Windows are cut inside the row, so neither text nor pages are copied into the rows of the chunks.
+    Positions and page starts (document, start_offset, page_number, section, source) are swept together in one sort: linear in both.
     """
-    length = F.length("full_text")
-    starts = F.sequence(F.lit(0), F.greatest(length - overlap - 1, F.lit(0)), F.lit(size - overlap))
-
-    def window(start):
-        end = F.least(start + size, length)
-        return F.struct(
-            C.strip(F.col("full_text").substr(start + 1, F.lit(size))).alias("text"),
-            _page_at(start).alias("a"), _page_at(F.greatest(end - 1, start)).alias("b"),
-        )
-
-    cut = F.filter(F.transform(starts, window), lambda w: w["text"] != "")
-    rows = texts.filter(length > 0).select("document", F.posexplode(cut).alias("chunk_index", "w"))
-    return rows.select(
-        F.concat_ws(":", F.col("document").cast("string"), F.col("chunk_index").cast("string"), F.substring(C.content_hash(F.col("w.text")), 1, 16)).alias("chunk_id"),
-        "document", "chunk_index", "w.text", F.col("w.a.page_number").alias("page_start"), F.col("w.b.page_number").alias("page_end"),
-        F.col("w.a.section").alias("section"), F.array_sort(F.array_distinct(F.array("w.a.source", "w.b.source"))).alias("sources"),
-    )
+    page = F.struct("page_number", "section", "source")
+    starts = pages.select("document", F.col("start_offset").cast("long").alias("_at"), F.lit(0).alias("_kind"), page.alias("_page"), F.lit(None).cast(_row_type(positions)).alias("_row"))
+    asked = positions.select("document", F.col("offset").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_page"].dataType).alias("_page"), F.struct(*positions.columns).alias("_row"))
+    sweep = W.partitionBy("document").orderBy("_at", "_kind", "_page.page_number").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = starts.unionByName(asked).withColumn("_page", F.last("_page", ignorenulls=True).over(sweep)).filter("_kind = 1")
+    return swept.select("_row.*", "_page.page_number", "_page.section", "_page.source")
+
+
+def _row_type(df: DataFrame):
+    return df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType
+
+
+def page_windows(pages: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """document, window, offset, piece and the page's columns: what each cleaned page (start_offset, text) gives to the windows that touch it.
+
+    Texts lie on a grid of cells, `size - overlap` characters wide. A page is cut at the grid once, whatever its length; a cell belongs to the window that begins with
+    it, and its head, the halo, to those before that reach into it.
+    """
+    step, text = size - overlap, F.concat("text", F.lit(" "))
+    cell = F.floor(F.col("start_offset") / step)
+    head = (F.lit(step) - F.pmod("start_offset", F.lit(step))).cast("int")
+    cuts = F.concat(F.array(F.substring(text, F.lit(1), head)), F.regexp_extract_all(F.substring(text, head + 1, F.length(text)), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    kept = [c for c in ("document", "page_number", "section", "source") if c in pages.columns]
+    cells = pages.select(*kept, F.col("start_offset").cast("long").alias("start_offset"), cell.alias("first"), F.posexplode(cuts).alias("i", "cut"))
+    cells = cells.select(*kept, (F.col("first") + F.col("i")).alias("cell"), F.when(F.col("i") == 0, F.col("start_offset")).otherwise((F.col("first") + F.col("i")) * step).alias("offset"), "cut")
+    reach = -(-size // step)
+    part = lambda k: F.struct(
+        (F.col("cell") - k).alias("window"),
+        F.substring("cut", F.lit(1), F.greatest(F.lit(size) - F.col("offset") + (F.col("cell") - k) * step, F.lit(0)).cast("int")).alias("piece"),
+    )
+    given = F.filter(F.array(*map(part, range(reach))), lambda x: (x["window"] >= 0) & (x["piece"] != ""))
+    return cells.select(*kept, "offset", F.explode(given).alias("g")).select(*kept, "offset", "g.window", "g.piece")
 
 
 def chunk_pages(pages: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Pages to chunks: sections, cleaning, offsets, windows."""
-    return chunk_documents(document_texts(clean_pages(page_sections(pages))), size, overlap)
+    """Overlapping windows of documents, with the pages and section that each stands on; blank windows take no index.
+
+    No document becomes one row: each page gives its characters to the windows that touch it, and a window is put together from at most `size` pieces, the
+    first and last of which name its pages. Pages are dealt by document once; all steps after that leave them where they lie.
+    """
+    parts = page_windows(page_offsets(clean_pages(page_sections(pages))), size, overlap)
+    pieces = F.array_sort(F.collect_list(F.struct("offset", "piece", "page_number", "section", "source")))
+    filled = parts.groupBy("document", "window").agg(pieces.alias("p"), F.sum(F.length("piece")).alias("n")).filter((F.col("window") == 0) | (F.col("n") > overlap))
+    rows = filled.select(
+        "document", "window", C.strip(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("text"), F.get("p", F.lit(0)).alias("a"), F.element_at("p", -1).alias("b"),
+    ).filter("text <> ''")
+    rows = rows.withColumn("chunk_index", F.row_number().over(W.partitionBy("document").orderBy("window")) - 1)
+    return rows.select(
+        F.concat_ws(":", F.col("document").cast("string"), F.col("chunk_index").cast("string"), F.substring(C.content_hash(F.col("text")), 1, 16)).alias("chunk_id"),
+        "document", "chunk_index", "text", F.col("a.page_number").alias("page_start"), F.col("b.page_number").alias("page_end"), F.col("a.section").alias("section"),
+        F.array_sort(F.array_distinct(F.array("a.source", "b.source"))).alias("sources"),
+    )
 
 
 def table_markdown(cells):

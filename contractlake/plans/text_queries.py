@@ -170,6 +170,23 @@ def t7_t8(spark, sf_dir):
     return text.chunk_pages(_pages(spark, sf_dir)).drop("sources")
 
 
+@register(
+    "t8_page_lookup",
+    oracle(
+        f"""WITH {LINES}, {SECTIONS}, {TEXTS}, {CHUNKS}, e AS (SELECT document, start, start AS "offset" FROM windows UNION ALL SELECT document, start, greatest(least(start + 1000, length(full_text)) - 1, start) FROM windows)
+        SELECT e.document, e.start, e."offset", max(o.page_number) AS page_number, list_last(list(o.section ORDER BY o.page_number)) AS section
+        FROM (SELECT DISTINCT * FROM e) AS e JOIN offsets AS o ON e.document = o.document AND o.start_offset <= e."offset" GROUP BY 1, 2, 3"""
+    ),
+)
+def t8_lookup(spark, sf_dir):
+    pages = text.page_offsets(text.clean_pages(text.page_sections(_pages(spark, sf_dir))))
+    sizes = pages.groupBy("document").agg(F.sum(F.length("text") + 1).alias("n"))
+    windows = sizes.select("document", "n", F.explode(text.window_starts(F.col("n"))).alias("start"))
+    last = F.greatest(F.least(F.col("start") + text.CHUNK, "n") - 1, F.col("start"))
+    edges = windows.select("document", "start", F.explode(F.array_distinct(F.array(F.col("start"), last))).alias("offset"))
+    return text.page_lookup(edges, pages).drop("source")
+
+
 @register(
     "t9_t10_table_chunks",
     """WITH c AS (SELECT l_orderkey AS document, l_linenumber AS page_number, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), concat(l_returnflag, '|', chr(10), l_linestatus)] AS cells FROM lineitem),

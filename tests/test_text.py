@@ -45,6 +45,51 @@ def test_chunk_starts(spark, length):
     assert got == want
 
 
+def windows_by_loop(pages, size, overlap):
+    """Texts of the windows, their first and last page, by slicing the joined text."""
+    full, starts = "", []
+    for number, body in pages:
+        starts.append((len(full), number))
+        full += clean(body) + " "
+    page = lambda at: [n for s, n in starts if s <= at][-1]
+    out, start = [], 0
+    while start < len(full):
+        end = min(start + size, len(full))
+        if full[start:end].strip():
+            out.append((len(out), full[start:end].strip(), page(start), page(max(end - 1, start))))
+        if end == len(full):
+            break
+        start = end - overlap
+    return out
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(1000, 150), (20, 15), (7, 0)])
+def test_chunks_by_slicing(spark, size, overlap):
+    """Many short pages, empty ones, pages longer than several windows, characters of four bytes."""
+    docs = {
+        "a": [(i, "p" * (i % 5)) for i in range(1, 40)], "b": [(1, "x" * 3300), (2, ""), (3, "😀é" * 700), (9, "tail")], "c": [(1, "")], "d": [(1, "  "), (2, "word"), (3, " " * 9)],
+    }
+    rows = [(d, n, t, "text") for d, pages in docs.items() for n, t in pages]
+    frame = spark.createDataFrame(rows, "document string, page_number int, text string, source string").repartition(3)
+    got = {}
+    for r in text.chunk_pages(frame, size, overlap).orderBy("document", "chunk_index").collect():
+        got.setdefault(r["document"], []).append((r["chunk_index"], r["text"], r["page_start"], r["page_end"]))
+    assert got == {d: w for d, pages in docs.items() if (w := windows_by_loop(pages, size, overlap))}
+
+
+def test_chunks_are_dealt_once(spark):
+    frame = spark.createDataFrame([("d", 1, "x", "text")], "document string, page_number int, text string, source string")
+    plan = text.chunk_pages(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "full_text" not in plan
+
+
+def test_page_lookup_on_positions(spark):
+    pages = spark.createDataFrame([("d", 0, 1, None, "text"), ("d", 10, 2, "S", "ocr"), ("e", 0, 1, None, "text")], "document string, start_offset long, page_number int, section string, source string")
+    asked = spark.createDataFrame([("d", 0, 7), ("d", 9, 8), ("d", 10, 9), ("d", 999, 10), ("e", 3, 11), ("f", 3, 12)], "document string, offset long, page_number_wanted int")
+    got = {r["page_number_wanted"]: (r["page_number"], r["section"], r["source"]) for r in text.page_lookup(asked, pages).collect()}
+    assert got == {7: (1, None, "text"), 8: (1, None, "text"), 9: (2, "S", "ocr"), 10: (2, "S", "ocr"), 11: (1, None, "text"), 12: (None, None, None)}
+
+
 def test_chunks_know_their_pages(spark):
     pages = [("d", 1, "Alpha\n" + "a" * 900, "text"), ("d", 2, "Beta\n" + "b" * 900, "ocr")]
     got = text.chunk_pages(spark.createDataFrame(pages, "document string, page_number int, text string, source string")).orderBy("chunk_index").collect()
