@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contractlake.functions import columns as C
+from contractlake.operators import search_index
+from contractlake.session import shared_path
 
 #: Vectors of a block in the blocked similarity join.
 BLOCK = 8_192
@@ -67,20 +70,16 @@ def top_k(scores: DataFrame, k: int, *, key: str = "chunk_id", digits: int | Non
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", digits: int | None = None, zero_rows: bool = False) -> DataFrame:
-    """BM25 top k over the chunks that pass `where`; with `zero_rows`, chunks without a shared term fill up, by key.
+def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", digits: int | None = None,
+                 zero_rows: bool = False, index: search_index.Index | None = None) -> DataFrame:
+    """BM25 top k over the chunks that pass `where`; with `zero_rows`, chunks without a shared term count 0 and fill up, by key.
 
-    Only the first k chunks by key can fill up, so no query meets all chunks.
+    `index`: the stored index of just these chunks; where there is none, one is built in the shared folder.
     """
-    kept = chunks if where is None else chunks.filter(where)
-    scores = bm25_scores(queries, bm25_index(kept, key), key=key)
-    if zero_rows:
-        # Of any 2k chunks in key order at most those scored are taken: k hits and k fillers decide the top k.
-        hits = top_k(scores, k, key=key, digits=digits).select("query_id", key, "score")
-        fill = kept.select(key).orderBy(key).limit(2 * k)
-        rest = queries.select("query_id").crossJoin(F.broadcast(fill)).join(scores.select("query_id", key), ["query_id", key], "left_anti")
-        scores = hits.unionByName(rest.withColumn("score", F.lit(0.0)))
-    return top_k(scores, k, key=key, digits=digits)
+    if index is None:
+        kept = chunks if where is None else chunks.filter(where)
+        index = search_index.build(kept.select(key, "text"), shared_path(chunks.sparkSession, "search-index"), key=key)
+    return search_index.search(queries, index, k, digits=digits, zero_rows=zero_rows)
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", on: list[str] | None = None, digits: int | None = None) -> DataFrame:
@@ -141,6 +140,39 @@ def blocked_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where:
     return top_k(found.withColumnRenamed("found", key), k, key=key)
 
 
+def containing(passages: DataFrame, texts: DataFrame, *, key: str = "chunk_id") -> DataFrame:
+    """query_id, key of the texts that hold the passage (query_id, query), wherever it begins.
+
+    Words of a passage other than its first and last stand between blanks, so a text that holds it holds them as words: the hash of the first up to three
+    of them meets the hashes of the text's runs of as many words in an equi-join, and only what matches is compared. Passages of fewer than three
+    words have no such word and are compared with every text.
+    """
+    split = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+
+    def print_of(words: Column, i: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), *(F.get(words, i + j) for j in range(n)))
+
+    def prints_of(words: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: print_of(words, i, n))
+
+    def prints(n: int) -> DataFrame:
+        """key, print: each run of n words of a text."""
+        long = texts.select(key, split("text").alias("w")).filter(F.size("w") >= n)
+        return long.select(key, F.explode(F.array_distinct(prints_of(F.col("w"), n))).alias("print"))
+
+    asked = passages.select("query_id", "query", split("query").alias("w")).withColumn("inner", F.least(F.size("w") - 2, F.lit(3)))
+    found = []
+    for n in (r["inner"] for r in asked.filter("inner > 0").select("inner").distinct().collect()):  # 1, 2 or 3
+        wanted = asked.filter(F.col("inner") == n).select("query_id", print_of(F.col("w"), F.lit(1), n).alias("print"))
+        pairs = prints(n).join(wanted, "print").select("query_id", key).distinct()
+        found.append(pairs.join(passages.select("query_id", "query"), "query_id").join(texts.select(key, "text"), key).filter(F.contains("text", F.col("query"))))
+    short = asked.filter("inner <= 0").select("query_id", "query")
+    if not found or not short.isEmpty():
+        found.append(texts.select(key, "text").join(short, F.contains("text", F.col("query"))))
+    out = [x.select("query_id", key) for x in found]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def min_max(scores: DataFrame, column: str = "score", *, reverse: bool = False) -> DataFrame:
     """Adds `normal`: the score between 0 and 1 within its query; 1 where all are equal."""
     w = W.partitionBy("query_id")

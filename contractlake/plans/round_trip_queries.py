@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.plans.bindings import oracle, view
 from contractlake.plans.registry import register
 from contractlake.plans.review_queries import _OUTCOMES, _decisions
+from contractlake.session import shared_path
 from contractlake.sources import io, schemas
 from contractlake.streaming import streams
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; where the cluster names none, in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @register("i2_json_array", "SELECT n_nationkey AS policy_id, n_name AS title, [CAST(n_regionkey AS VARCHAR), n_name][2] AS last_scope FROM nation")
 def i2(spark, sf_dir):
     path = shared_path(spark, "policies")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.functions import columns as C
-from contractlake.operators import dedup, evaluation, normalize, retrieval, text
+from contractlake.operators import dedup, evaluation, normalize, retrieval, search_index, text
 from contractlake.plans.bindings import oracle, view
 from contractlake.plans.registry import register
+from contractlake.session import shared_path
 from contractlake.sources import io
 
 # The checking engine's regular expressions know neither Unicode blanks nor look-around: the same classes, spelled out.
@@ -336,6 +337,23 @@ def _chunks(spark, sf_dir):
     return view(spark, sf_dir, "v_page").withColumnRenamed("document", "chunk_id")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir) -> search_index.Index:
+    """The stored index of the texts: built once in a session, opened by every search."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        path = shared_path(spark, "search-index")
+        search_index.build(_chunks(spark, sf_dir), path)
+        _INDEXES[at] = path
+    return search_index.open_index(spark, _INDEXES[at])
+
+
+def _sparse(spark, sf_dir, k=20):
+    return search_index.search(_queries(spark, sf_dir), _index(spark, sf_dir), k, digits=6)
+
+
 def _queries(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -359,13 +377,18 @@ def r1(spark, sf_dir):
 
 @register("r2_bm25_index", oracle(f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM idf"))
 def r2(spark, sf_dir):
-    _, idf, _ = retrieval.bm25_index(_chunks(spark, sf_dir))
-    return idf.select("term", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @register("r3_r4_bm25_top_k", oracle(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM sparse"))
 def r3_r4(spark, sf_dir):
-    return retrieval.sparse_top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20, digits=6)
+    return _sparse(spark, sf_dir)
+
+
+@register("r2_stored_postings", oracle(f"WITH {BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, sum(chunk_id)::BIGINT AS keys, sum(dl)::BIGINT AS lengths FROM p JOIN dl USING (chunk_id) GROUP BY term"))
+def r2_postings(spark, sf_dir):
+    p = search_index.postings(_index(spark, sf_dir))
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"), F.sum("chunk_id").alias("keys"), F.sum("dl").alias("lengths"))
 
 
 def sql_cosine(a: str, b: str) -> str:
@@ -405,7 +428,7 @@ def r8(spark, sf_dir):
 
 @register("r9_min_max", oracle(f"WITH {BM25} SELECT query_id, chunk_id, round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) AS normal FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM sparse) AS x"))
 def r9(spark, sf_dir):
-    hits = retrieval.sparse_top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20, digits=6)
+    hits = _sparse(spark, sf_dir)
     return retrieval.min_max(hits).select("query_id", "chunk_id", F.round("normal", 6).alias("normal"))
 
 
@@ -417,7 +440,8 @@ overlap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 
 def _overlap_hits(spark, sf_dir):
     terms = _queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(C.tokens(F.col("query")))).alias("term"))
-    scores = retrieval.postings(_chunks(spark, sf_dir)).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    held = _index(spark, sf_dir).docs.select("chunk_id", F.explode("terms.term").alias("term"))
+    scores = held.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return retrieval.top_k(scores, 20)
 
 
@@ -427,13 +451,13 @@ CONVEX = f"convex AS (SELECT query_id, chunk_id, round(0.4::DOUBLE * coalesce(a.
 
 @register("r10_convex_fusion", oracle(f"WITH {BM25}, {OVERLAP}, {CONVEX} SELECT query_id, chunk_id, score FROM convex"))
 def r10(spark, sf_dir):
-    sparse = retrieval.sparse_top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20, digits=6)
+    sparse = _sparse(spark, sf_dir)
     return retrieval.fuse_convex(_overlap_hits(spark, sf_dir), sparse, 0.4).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @register("r11_rank_fusion", oracle(f"WITH {BM25}, {OVERLAP} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT query_id, chunk_id, rank FROM overlap) AS x GROUP BY 1, 2"))
 def r11(spark, sf_dir):
-    sparse = retrieval.sparse_top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20, digits=6)
+    sparse = _sparse(spark, sf_dir)
     return retrieval.fuse_ranks([sparse, _overlap_hits(spark, sf_dir)]).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -453,7 +477,7 @@ final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 @register("r13_rerank", oracle(f"WITH {BM25}, {RERANK.format('sparse')} SELECT query_id, chunk_id, score, rank FROM final"))
 def r13(spark, sf_dir):
     q, c = _queries(spark, sf_dir), _chunks(spark, sf_dir)
-    hits = retrieval.top_k(retrieval.sparse_top_k(q, c, 20, digits=6), 15).select("query_id", "chunk_id")
+    hits = retrieval.top_k(_sparse(spark, sf_dir), 15).select("query_id", "chunk_id")
     out = retrieval.rerank(hits.join(q, "query_id").join(c, "chunk_id"), 6)
     return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
@@ -461,7 +485,7 @@ def r13(spark, sf_dir):
 @register("r14_hybrid", oracle(f"WITH {BM25}, {OVERLAP}, {CONVEX}, {RERANK.format('convex')} SELECT query_id, chunk_id, score, rank FROM final"))
 def r14(spark, sf_dir):
     q, c = _queries(spark, sf_dir), _chunks(spark, sf_dir)
-    sparse = retrieval.sparse_top_k(q, c, 20, digits=6)
+    sparse = _sparse(spark, sf_dir)
     cut = retrieval.top_k(retrieval.fuse_convex(_overlap_hits(spark, sf_dir), sparse, 0.4), 15, digits=6).select("query_id", "chunk_id")
     out = retrieval.rerank(cut.join(q, "query_id").join(c, "chunk_id"), 6)
     return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
@@ -480,9 +504,8 @@ TRUTH = "truth AS (SELECT b.item_id AS query_id, v.document AS chunk_id FROM ben
 )
 def e5(spark, sf_dir):
     q, c = _queries(spark, sf_dir), _chunks(spark, sf_dir)
-    hits = retrieval.sparse_top_k(q, c, 10, digits=6)
-    # The passages are a list of fixed length: each document is read once and held against all of them.
-    truth = c.join(F.broadcast(q), F.contains("text", F.col("query"))).select("query_id", "chunk_id")
+    hits = _sparse(spark, sf_dir, 10)
+    truth = retrieval.containing(q, c)
     out = evaluation.ranking_metrics(q, hits, truth, 10)
     return out.select("query_id", F.round("recall", 9).alias("recall"), "precision", F.round("reciprocal_rank", 9).alias("reciprocal_rank"))
 
