@@ -3,8 +3,8 @@
 The subwords of a text are its byte trigrams and four-grams, blanks collapsed and A-Z lower-cased,
 hashed into `BUCKETS` rows of an embedding table. Their embeddings are averaged and pass a linear
 softmax; table and softmax are trained by stochastic gradient descent in numpy on at most
-`SAMPLE_ROWS` rows, those with the smallest hash of their id, each with `SAMPLE_GRAMS` subwords
-drawn evenly from its whole text. Prediction reads whole texts, every subword. On rows held back
+`SAMPLE_ROWS` rows, those with the smallest hash of their id, each by all subwords of its whole
+text. An id that is repeated is learned from once, by its first language and text in byte order. Prediction reads whole texts, every subword. On rows held back
 from the descent a temperature is fitted, and the score below which predictions are rejected, so
 that those not rejected reach `PRECISION`.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from contractlake.llm.common import remainder
 
-#: Rows and subwords a row that are learned from; the size of the table; the precision that rejection keeps.
-SAMPLE_ROWS, SAMPLE_GRAMS, BUCKETS, DIMENSIONS, PRECISION = 4_000, 768, 1 << 15, 16, 0.99
+#: Rows that are learned from; the size of the table; the precision that rejection keeps.
+SAMPLE_ROWS, BUCKETS, DIMENSIONS, PRECISION = 2_000, 1 << 15, 16, 0.99
 #: Bytes of text whose subwords are summed at once.
 PIECE = 1 << 20
 EPOCHS, BATCH, RATE = 4, 32, 0.5
@@ -63,32 +63,33 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (bool(_ascii_letter.search(text)) or any(map(str.isalpha, text)))
 
 
+def shares(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that the subwords of a whole text fall into, ascending, and the share of the subwords in each."""
+    n = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(raw), PIECE):
+        n += np.bincount(subwords(raw[i : i + PIECE + 3]), minlength=BUCKETS)
+    used = np.flatnonzero(n)
+    return used.astype("<u2"), (n[used] / max(n.sum(), 1)).astype("<f4")
+
+
 def _sample(docs: DataFrame) -> pd.DataFrame:
-    """lang and drawn subwords of the rows learned from, in a fixed order."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 3) != 1))
+    """lang, buckets and shares of the rows learned from, one an id, in a fixed order."""
     h = F.xxhash64("doc_id", F.lit("language"))
-    low = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)).select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS)
+    rows = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)).select(h.alias("h"), "lang", "text")
+    # The smallest distinct hashes: however often an id is repeated, it takes one place.
+    low = rows.groupBy("h").agg(F.max(F.col("text").rlike(r"\p{L}")).alias("usable")).filter("usable").select("h").orderBy("h").limit(SAMPLE_ROWS)
     last = low.agg(F.max("h")).first()[0]
     if last is None:
-        return pd.DataFrame({"h": [], "lang": [], "grams": []})
+        return pd.DataFrame({"h": [], "lang": [], "buckets": [], "shares": []})
+    one = rows.filter((F.col("h") <= F.lit(last)) & F.col("text").rlike(r"\p{L}")).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("x")).select("h", "x.lang", "x.text")
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for seed, text in zip(batch["h"], batch["text"], strict=True):
-                raw = text.encode("utf-8", "replace")
-                draws = np.random.default_rng(seed & 0xFFFFFFFF)
-                # Each stretch of the text gives as many as its share of the bytes, by chance.
-                stretches = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-                shares = draws.multinomial(SAMPLE_GRAMS, [len(x) / len(raw) for x in stretches]) if len(stretches) > 1 else [SAMPLE_GRAMS]
-                found = [(subwords(x), n) for x, n in zip(stretches, shares, strict=True) if n]
-                grams = np.concatenate([draws.choice(g, n) if len(g) else np.zeros(n, np.uint16) for g, n in found])
-                out.append(grams.astype("<u2").tobytes())
-            yield pd.DataFrame({"h": batch["h"], "lang": batch["lang"], "grams": out})
-
-    rows = usable.select(h.alias("h"), "lang", "text").filter(F.col("h") <= F.lit(last))
-    got = rows.mapInPandas(draw, "h long, lang string, grams binary").orderBy("h", "lang", "grams").limit(SAMPLE_ROWS)
-    return got.toPandas()  # at most SAMPLE_ROWS rows of 2 * SAMPLE_GRAMS bytes
+            found = [shares(text.encode("utf-8", "replace")) for text in batch["text"]]
+            yield pd.DataFrame({"h": batch["h"], "lang": batch["lang"], "buckets": [a.tobytes() for a, _ in found], "shares": [b.tobytes() for _, b in found]})
+
+    # At most SAMPLE_ROWS rows of at most 6 * BUCKETS bytes, of most texts a few thousand.
+    return one.mapInPandas(count, "h long, lang string, buckets binary, shares binary").toPandas().sort_values("h")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -96,25 +97,35 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def descend(grams: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """What each subword adds to each of k languages, and the bias. grams: (rows, SAMPLE_GRAMS) buckets."""
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that any of the rows holds, and a matrix of the rows' shares of them."""
+    used, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    out = np.zeros((len(rows), len(used)), np.float32)
+    out[np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), at] = np.concatenate([r[1] for r in rows])
+    return used.astype(np.int64), out
+
+
+def means(table: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The mean of the table's rows over all subwords of each text."""
+    return np.stack([shares @ table[buckets] for buckets, shares in rows])
+
+
+def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each subword adds to each of k languages, and the bias. rows: buckets and shares of all subwords of a text."""
     rng = np.random.default_rng(7)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (DIMENSIONS, k)).astype(np.float32), np.zeros(k, np.float32)
-    width = grams.shape[1]
-    rounds = max(EPOCHS, -(-600 * BATCH // max(len(y), 1)) if len(y) else 0)  # few rows are seen oftener
-    for epoch in range(min(rounds, 40)):
-        rate = np.float32(RATE * (1 - epoch / (min(rounds, 40) + 1)))
+    rounds = min(max(EPOCHS, -(-600 * BATCH // max(len(y), 1)) if len(y) else 0), 40)  # few rows are seen oftener
+    for epoch in range(rounds):
+        rate = np.float32(RATE * (1 - epoch / (rounds + 1)))
         order = rng.permutation(len(y))
         for i in range(0, len(y), BATCH):
-            rows = order[i : i + BATCH]
-            used, at = np.unique(grams[rows], return_inverse=True)
-            n = np.bincount((np.arange(len(rows))[:, None] * len(used) + at.reshape(len(rows), -1)).ravel(), minlength=len(rows) * len(used))
-            n = n.reshape(len(rows), len(used)).astype(np.float32) / width
+            some = order[i : i + BATCH]
+            used, n = _dense([rows[j] for j in some])
             mean = n @ table[used]
             gap = _softmax(mean @ weights + bias)
-            gap[np.arange(len(rows)), y[rows]] -= 1
-            gap /= len(rows)
+            gap[np.arange(len(some)), y[some]] -= 1
+            gap /= len(some)
             back = gap @ weights.T
             weights -= rate * (mean.T @ gap)
             bias -= rate * gap.sum(axis=0)
@@ -128,13 +139,14 @@ def train(docs: DataFrame) -> Model:
     languages = sorted(set(rows["lang"]))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    grams = np.stack([np.frombuffer(g, "<u2") for g in rows["grams"]])
+    texts = [(np.frombuffer(a, "<u2"), np.frombuffer(b, "<f4")) for a, b in zip(rows["buckets"], rows["shares"], strict=True)]
     y = np.array([languages.index(x) for x in rows["lang"]])
     held = np.arange(len(y)) % 5 == 4
     if not held.any():
         held = np.ones(len(y), bool)
-    logits, bias = descend(grams[~held] if (~held).any() else grams, y[~held] if (~held).any() else y, len(languages))
-    z = logits[grams[held]].mean(axis=1) + bias
+    learned = ~held if (~held).any() else held
+    logits, bias = descend([texts[i] for i in np.flatnonzero(learned)], y[learned], len(languages))
+    z = means(logits, [texts[i] for i in np.flatnonzero(held)]) + bias
     scales = np.exp(np.linspace(-2, 2, 41))
     loss = [-np.log(_softmax(z * s)[np.arange(len(z)), y[held]] + 1e-9).mean() for s in scales]
     scale = float(scales[int(np.argmin(loss))])

@@ -149,6 +149,10 @@ class Borders:
         return found, np.concatenate(begins) if begins else np.zeros(0, np.int64), runs
 
 
+#: Fragments of a block that three bytes number.
+NARROW = 1 << 24
+
+
 class _Block:
     """Texts of a task whose fragments are numbered together."""
 
@@ -195,14 +199,18 @@ class _Block:
         # Frequent fragments get small numbers, whose bytes compress well.
         rank = np.empty(len(words), np.uint32)
         rank[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-        planes, at = np.empty((3, sum(map(len, chunks))), np.uint8), 0
+        # The third plane is two bytes wide where a block has more fragments than three bytes number.
+        total, width = sum(map(len, chunks)), 1 if len(words) <= NARROW else 2
+        planes, at = [np.empty((total, w), np.uint8) for w in (1, 1, width)], 0
         for chunk in chunks:
-            planes[:, at : at + len(chunk)] = rank[chunk].view(np.uint8).reshape(-1, 4)[:, :3].T
+            four = rank[chunk].view(np.uint8).reshape(-1, 4)
+            for k, plane in enumerate(planes):
+                plane[at : at + len(chunk)] = four[:, k : k + plane.shape[1]]
             at += len(chunk)
         del coded, chunks
-        edges = np.cumsum([0, *self.counts]).astype(np.int32)
+        edges = np.cumsum([0, *self.counts])
         n = len(self.ids)
-        low, middle, high = (pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(planes[k])]) for k in range(3))
+        low, middle, high = (pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * x.shape[1]).astype(np.int32)), pa.py_buffer(x)]) for x in planes)
         found = {
             "block": pa.array(np.full(n, block)), "doc_id": pa.array(self.ids, kind), "crc": pa.array(self.crcs, pa.int64()),
             "low": low, "middle": middle, "high": high, "runs": pa.array(self.runs, pa.list_(pa.int32())),
@@ -450,7 +458,7 @@ def translate(pieces: Pieces):
         out, count, crc, same = [], [], [], []
         columns = (rows.column(c) for c in ("low", "middle", "high"))
         for low, middle, high, runs, own in zip(*columns, rows.column("runs").to_pylist(), rows.column("crc").to_pylist(), strict=True):
-            numbers = sum(np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) << (8 * k) for k, x in enumerate((low, middle, high)))
+            numbers = numbers_of(*(x.as_py() for x in (low, middle, high)))
             if runs:
                 parts, last = [], 0
                 for place, k in zip(runs[::2], runs[1::2], strict=True):
@@ -475,6 +483,12 @@ def translate(pieces: Pieces):
     return run
 
 
+def numbers_of(low: bytes, middle: bytes, high: bytes) -> np.ndarray:
+    """Numbers of the fragments of a text from their bytes; the third plane has one or two bytes a fragment."""
+    last = np.frombuffer(high, np.uint8 if len(high) == len(low) else "<u2").astype(np.int64)
+    return np.frombuffer(low, np.uint8).astype(np.int64) | np.frombuffer(middle, np.uint8).astype(np.int64) << 8 | last << 16
+
+
 def _flat(lists: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists.chunks)])
 

@@ -6,7 +6,8 @@ for inflected forms) is learned from the labelled rows, too: terms that occur fa
 with label 1. Model and lexicon are fitted on at most `SAMPLE_ROWS` labelled rows, those with the
 smallest hash of their id; all texts are scored, each whole.
 
-Null texts count as empty. Repeated rows get equal scores. Labels that are null, or whose document
+Null texts count as empty. Repeated rows get equal scores; an id that labels or documents repeat is learned from once: as toxic if
+any of its labels says so, by the first of its texts in byte order. Equal hashes are ordered by the id. Labels that are null, or whose document
 is missing, are not used; without labels of both kinds every score is the share of label 1 (0 if
 there are no labels). Empty tables give empty results.
 """
@@ -42,6 +43,7 @@ SECOND_PERSON = frozenset(
     ).split()
 )
 
+_UPPER = bytes(range(65, 91))
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _WORDS = bytes.maketrans(
     bytes(range(65, 91)) + _PUNCTUATION + b"0123456789", bytes(range(97, 123)) + b" " * len(_PUNCTUATION) + b" " * 10
@@ -107,7 +109,7 @@ class Featurizer:
         obscured += [bytes(b for b in x if 65 <= b & 223 <= 90).lower() for x in _spelled.findall(raw)]
         masked = [w for w in obscured if self.weight(w) > 0]
         length = max(n, 1)
-        upper = sum(map(raw.count, (bytes([b]) for b in b"AEINORST")))
+        upper = len(raw) - len(raw.translate(None, _UPPER))
         punctuation = size - len(raw.translate(None, _PUNCTUATION)) if raw else 0
         return [
             np.log1p(n), n_hits, np.log1p(n_hits), n_hits / length, weighted / length, weighted,
@@ -121,10 +123,12 @@ class Featurizer:
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic, part (0 to 99) of the labelled rows that are fitted on."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    chosen = usable.filter(remainder(F.col("doc_id"), 4) != 2).withColumn("h", F.xxhash64("doc_id", F.lit("toxicity")))
-    chosen = chosen.orderBy("h", "doc_id", "toxic").limit(SAMPLE_ROWS)
+    # One row an id before the limit, one text an id after the join: repeats of an id neither crowd out others nor pass the bound.
+    chosen = usable.filter(remainder(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = chosen.withColumn("h", F.xxhash64("doc_id", F.lit("toxicity"))).orderBy("h", "doc_id").limit(SAMPLE_ROWS)
     # At most SAMPLE_ROWS narrow rows: safe to broadcast at any size of the input.
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "h").agg(F.min("raw").alias("raw"))
     return stage(rows.select("raw", "toxic", F.pmod("h", F.lit(100)).cast("int").alias("part")), "toxicity-sample")
 
 
