@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from contractlake.operators import dedup, retrieval
 
+#: Most clauses that are compared pair by pair.
+ALL_PAIRS = 20_000
+
 
 def same_clause_edges(clauses: DataFrame, *, k: int = 3, least: float = 0.90, blocked: bool = True) -> DataFrame:
     """src, dst, similarity: each clause's k nearest clauses of other contracts, at or above `least`. clauses: clause_id, contract_id, embedding.
 
-    Blocks of vectors are multiplied; `blocked=False` compares all pairs as rows, for ids that are no numbers and some thousand clauses.
+    Only cells of vectors that may hold one at `least` meet; `blocked=False` compares all pairs as rows, for ids that are no numbers,
+    and refuses more than `ALL_PAIRS` clauses.
     """
     if blocked:
         queries = clauses.select(F.col("clause_id").alias("query_id"), "contract_id", F.col("embedding").alias("query_vector"))
@@ -20,6 +24,8 @@ def same_clause_edges(clauses: DataFrame, *, k: int = 3, least: float = 0.90, bl
         return found.select(F.col("query_id").alias("src"), F.col("clause_id").alias("dst"), F.col("score").alias("similarity"))
     from contractlake.functions import columns as C
 
+    if clauses.limit(ALL_PAIRS + 1).count() > ALL_PAIRS:
+        raise ValueError(f"more than {ALL_PAIRS} clauses: use blocked=True")
     side = clauses.withColumn("n", C.norm(F.col("embedding")))
     a, b = side.alias("a"), side.alias("b")
     pairs = a.join(b, (F.col("a.clause_id") != F.col("b.clause_id")) & (F.col("a.contract_id") != F.col("b.contract_id")))

@@ -12,12 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contractlake.functions import columns as C
-from contractlake.operators import search_index
+from contractlake.operators import nearest, search_index
 from contractlake.session import shared_path
 
-#: Vectors of a block in the blocked similarity join.
-BLOCK = 8_192
-
 
 def metadata_filter(*, contract_type: str | None = None, country: str | None = None, effective_from: int | None = None,
                     effective_to: int | None = None, least_value: float | None = None, most_value: float | None = None) -> Column:
@@ -97,47 +94,17 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Co
 
 
 def blocked_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, where: Column | None = None, key: str = "chunk_id", least: float | None = None,
-                  exclude: str | None = None, block: int = BLOCK, digits: int = 9) -> DataFrame:
-    """Cosine top k, exact: blocks of queries meet blocks of chunks, each pair one matrix product; a block keeps its own k best.
+                  exclude: str | None = None, block: int = nearest.BLOCK, digits: int = 9, pivots: int = nearest.PIVOTS) -> DataFrame:
+    """Cosine top k, exact, in matrix products of blocks that the triangle bound can't rule out; ties go to the smaller id.
 
-    Scores are rounded to `digits` before they are compared, as products of equal vectors may differ in
-    their last bits; ties go to the smaller id, in a block as among the blocks.
-    `exclude` names a column of both sides: pairs that agree on it are left out, as are pairs of one
-    id. Ids are numbers.
+    `exclude` names a column of both sides: pairs that agree on it are left out, as are pairs of one id. Ids are numbers.
     """
     kept = chunks if where is None else chunks.filter(where)
-    n_c, n_q = max(1, -(-kept.count() // block)), max(1, -(-queries.count() // block))
-    group = (F.col(exclude) if exclude else F.lit(None)).cast("long")
-    side = lambda df, i, v, n, own, other: df.select(
-        F.col(i).cast("long").alias("id"), F.col(v).alias("v"), group.alias("g"), F.pmod(F.xxhash64(i), F.lit(n)).alias(own)
-    ).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_c if own == "qb" else n_q) - 1).cast("long"))))
-    left = side(queries, "query_id", "query_vector", n_q, "qb", "cb")
-    right = side(kept, key, "embedding", n_c, "cb", "qb").select("id", "v", "g", F.col("qb").alias("qb2"), F.col("cb").alias("cb2"))
-
-    def best(_, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "found": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if not len(q) or not len(c):
-            return empty
-        unit = lambda s: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))(np.array([np.asarray(v, float) for v in s]))
-        c = c.sort_values("id")  # the stable sort below then gives ties to the smaller id
-        cu, ids, groups = unit(c["v"]), c["id"].to_numpy(), c["g"].to_numpy(float)
-        out = []
-        for at in range(0, len(q), 512):
-            part = q.iloc[at : at + 512]
-            s = np.round(unit(part["v"]) @ cu.T, digits) + 0.0  # no negative zeros
-            if exclude:
-                s[part["g"].to_numpy(float)[:, None] == groups[None]] = -np.inf
-                s[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-            if least is not None:
-                s[s < least] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
-            good = np.isfinite(s[rows, cols])
-            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[rows[good]], "found": ids[cols[good]], "score": s[rows[good], cols[good]]}))
-        return pd.concat(out) if out else empty
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb2", "cb2")).applyInPandas(best, "query_id long, found long, score double")
-    return top_k(found.withColumnRenamed("found", key), k, key=key)
+    group = (F.col(exclude) if exclude else F.lit(None)).cast("long").alias("g")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("v"), group)
+    vectors = kept.select(F.col(key).cast("long").alias("id"), F.col("embedding").alias("v"), group)
+    found = nearest.nearest(asked, vectors, k, least=least, apart=exclude is not None, block=block, digits=digits, pivots=pivots)
+    return found.select("query_id", F.col("found").alias(key), "score", "rank")
 
 
 def containing(passages: DataFrame, texts: DataFrame, *, key: str = "chunk_id") -> DataFrame:
