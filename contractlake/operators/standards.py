@@ -1,8 +1,6 @@
 """Which standard applies: candidates, activity, precedence, conflicts, fallbacks.
 
-References and contexts meet in an equi-join on clause type and tenant (a context has its own tenant
-and the shared one as keys); the remaining scopes, null in a reference where it is unrestricted, are
-conditions of that join, so no nested loop is planned.
+References and contexts meet in an equi-join on the scopes that a reference sets: the wildcard-mask index of `candidates`.
 """
 
 from __future__ import annotations
@@ -20,22 +18,38 @@ def _wild(field: str, r: str = "r", c: str = "c") -> Column:
     return F.col(f"{r}.{field}").isNull() | (F.col(f"{r}.{field}") == F.col(f"{c}.{field}"))
 
 
+def _mask(scopes: list[Column]) -> Column:
+    """A number whose bits say which scopes are set."""
+    out = F.lit(0)
+    for k, c in enumerate(scopes):
+        out = out + F.when(c.isNotNull(), 1 << k).otherwise(0)
+    return out
+
+
+def _keys(scopes: list[Column], mask: Column) -> list[Column]:
+    """Values of the scopes in the mask as text; others are empty."""
+    return [F.when((F.shiftright(mask, k) % 2) == 1, c.cast("string")).otherwise("").alias(f"_k{k}") for k, c in enumerate(scopes)]
+
+
 def candidates(contexts: DataFrame, library: DataFrame, *, by_type: bool = True) -> DataFrame:
     """context_id and the reference's columns, where no scope of the reference contradicts the context.
 
-    Null scopes of a reference are unrestricted; the tenant is the context's own or null. Clause
-    type and the tenant are equi-join keys; other scopes are residual conditions of the same join.
+    Null scopes of a reference are unrestricted. A reference is keyed by its mask, which scopes it sets, and their values; a context asks with
+    each mask that occurs in the library (at most 2 ** 5 of them) and that its own set scopes cover. The two meet in an equi-join on mask
+    and values, without residual conditions, so references of one tenant or of none never share one key for all contexts.
     """
-    c = contexts.withColumn("tenant", F.explode(F.array_distinct(F.array(F.coalesce(F.col("customer_id").cast("string"), F.lit("")), F.lit("")))))
-    r = library.withColumn("tenant", F.coalesce(F.col("customer_id").cast("string"), F.lit("")))
-    on = (F.col("r.tenant") == F.col("c.tenant"))
-    if by_type:
-        on &= F.col("r.clause_type") == F.col("c.clause_type")
-    for field in ("org_profile_id", "business_unit_id", "jurisdiction_id", "document_type"):
-        on &= _wild(field)
-    pairs = c.alias("c").join(r.alias("r"), on)
-    extra = [F.col(f"c.{f}").alias(f"context_{f}") for f in [*SCOPES, "document_type"]]
-    return pairs.select("c.context_id", "r.*", *extra).drop("tenant")
+    fields = [*SCOPES, "document_type"]
+    own = [F.col(f) for f in fields]
+    r = library.withColumn("_mask", _mask(own))
+    masks = sorted(x["_mask"] for x in r.select("_mask").distinct().collect())  # at most 32
+    r = r.select(*library.columns, "_mask", *_keys(own, F.col("_mask")))
+    covered = F.filter(F.array(*map(F.lit, masks)).cast("array<int>"), lambda m: m.bitwiseAND(_mask(own)) == m)
+    c = contexts.withColumn("_mask", F.explode(covered))
+    extra = [F.col(f).alias(f"context_{f}") for f in fields]
+    names = ["_mask", *(f"_k{k}" for k in range(len(fields)))]
+    c = c.select("context_id", *extra, *(["clause_type"] if by_type else []), "_mask", *_keys(own, F.col("_mask")))
+    pairs = c.join(r, [*names, *(["clause_type"] if by_type else [])])
+    return pairs.select("context_id", *library.columns, *(f"context_{f}" for f in fields))
 
 
 def is_active(as_of: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -174,3 +175,20 @@ def test_job_outcomes_agree(spark):
 def test_seniority(spark):
     may = lambda a, b: one(spark, workflow.may_act(F.col("a"), F.col("b")), a=a, b=b)
     assert [may("reviewer", "clo"), may("admin", "clo"), may("guest", "reviewer"), may("reviewer", None)] == [False, True, False, True]
+
+
+def test_candidates_by_masks_equal_all_pairs(spark):
+    rng = random.Random(8)
+    pick = lambda n: rng.choice([None, *range(n)])
+    fields = ("customer_id", "org_profile_id", "business_unit_id", "jurisdiction_id")
+    contexts = [(i, pick(2), pick(3), pick(2), pick(2), rng.choice([None, "nda", "supply"]), rng.choice("xy")) for i in range(60)]
+    library = [(i, pick(2), pick(3), pick(2), pick(2), rng.choice([None, "nda", "supply"]), rng.choice("xy")) for i in range(80)]
+    scopes = ", ".join(f"{f} int" for f in fields) + ", document_type string, clause_type string"
+    c, r = spark.createDataFrame(contexts, f"context_id int, {scopes}"), spark.createDataFrame(library, f"knowledge_reference_id int, {scopes}")
+    for by_type in (True, False):
+        out = standards.candidates(c, r, by_type=by_type)
+        want = sorted((a[0], b[0]) for a in contexts for b in library if all(y is None or x == y for x, y in zip(a[1:6], b[1:6])) and (not by_type or a[6] == b[6]))
+        assert sorted(map(tuple, out.select("context_id", "knowledge_reference_id").collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert standards.candidates(c, r.filter("false")).count() == 0
