@@ -89,15 +89,7 @@ FROM orders""",
 SELECT user_id AS document_id, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'manual' ELSE 'automatic' END AS source,
        CASE event_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'highly_confidential' END AS new_level
 FROM events""",
-    # Questions: benchmark passages with a lead that names a style or a topic.
-    "v_question": """
-SELECT doc_id AS question_id, concat(CASE doc_id % 12
-         WHEN 0 THEN 'Summarize the contract ' WHEN 1 THEN 'Which vendor shares the same clause under a judgment where Acme Corp is the vendor ' WHEN 2 THEN 'Why does section 4 say '
-         WHEN 3 THEN 'explain the liability cap ' WHEN 4 THEN 'indemnity with another contract ' WHEN 5 THEN 'governing law ' WHEN 6 THEN 'See Smith v. Jones on ' WHEN 7 THEN 'summary please'
-         WHEN 8 THEN 'what happens if termination ' WHEN 9 THEN 'quote "the exact words" ' WHEN 10 THEN 'DROP the index and Explain ' ELSE '' END,
-       CASE WHEN doc_id % 12 = 7 THEN '' ELSE substr(text, 1, 60) END) AS question
-FROM documents WHERE text IS NOT NULL""",
-    # The same leads in front of whole texts, nothing cut.
+    # Questions: whole documents with a lead that names a style or a topic.
     "v_whole_question": """
 SELECT doc_id AS question_id, concat(CASE doc_id % 12
          WHEN 0 THEN 'Summarize the contract ' WHEN 1 THEN 'Which vendor shares the same clause under a judgment where Acme Corp is the vendor ' WHEN 2 THEN 'Why does section 4 say '

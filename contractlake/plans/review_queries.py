@@ -237,11 +237,6 @@ def v6(spark, sf_dir):
     return history.visible_turns(chat, cleared).select("document_id", "turn")
 
 
-@register("v7_memory_window", oracle("SELECT document_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY turn DESC) AS r FROM v_chat WHERE status = 'answered') AS x WHERE r <= 2"))
-def v7(spark, sf_dir):
-    return history.memory_window(view(spark, sf_dir, "v_chat"), 2).select("document_id", "turn")
-
-
 LEVELS = """kept AS (SELECT * FROM (SELECT *, coalesce(bool_or(source = 'manual') OVER (PARTITION BY document_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS fixed FROM v_level_change) AS x WHERE source = 'manual' OR NOT fixed)"""
 
 
@@ -314,31 +309,7 @@ WHOLE = rf"""({_HAS(rules.WHOLE_DOCUMENT_PHRASES)} OR (len(words) <= 5 AND len(l
 TOPIC = "CASE " + " ".join(f"WHEN {_HAS(words)} THEN '{name}'" for name, words in rules.TOPICS) + " END"
 
 
-@register(
-    "q1_q4_classify",
-    oracle(
-        rf"""SELECT question_id, style, CASE style WHEN 'exact_match' THEN 0.2 WHEN 'semantic' THEN 0.7 ELSE 0.4 END AS alpha,
-          CASE WHEN whole THEN 'whole_document' WHEN g AND t THEN 'hybrid,graph' WHEN g THEN 'graph' ELSE 'hybrid' END AS routes, topic
-        FROM (SELECT question_id, {STYLE} AS style, {WHOLE} AS whole, {_HAS(rules.GRAPH_PHRASES)} AS g, {_HAS(rules.TOPIC_PHRASES)} AS t, {TOPIC} AS topic
-              FROM (SELECT *, lower(question) AS low, list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^a-z\s]', '', 'g'), '\s+'), lambda w: w <> '') AS words FROM v_question) AS x) AS y"""
-    ),
-)
-def q1_q4(spark, sf_dir):
-    out = questions.classify(view(spark, sf_dir, "v_question"))
-    return out.select("question_id", "style", "alpha", F.array_join("routes", ",").alias("routes"), "topic")
-
-
-@register("q5_template_vendor", oracle(r"SELECT question_id, CASE WHEN position('vendor' IN lower(question)) > 0 AND position('same clause' IN lower(question)) > 0 AND position('judgment' IN lower(question)) > 0 THEN 'Acme Corp' END AS vendor FROM v_question"))
-def q5(spark, sf_dir):
-    return view(spark, sf_dir, "v_question").select("question_id", questions.template_vendor(F.col("question")).alias("vendor"))
-
-
-@register("q6_mutating", oracle(r"SELECT question_id, regexp_matches(question, '\b(CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP|CALL\s+apoc\.|LOAD\s+CSV)\b', 'i') AS mutates FROM v_question"))
-def q6(spark, sf_dir):
-    return view(spark, sf_dir, "v_question").select("question_id", questions.mutates(F.col("question")).alias("mutates"))
-
-
-# The three above ask of the first 60 characters of a document; these ask of the whole of it.
+# Questions are whole documents. Each query has a second name, by which it was registered before.
 _WHOLE_TEXT = rf"""SELECT question_id, style, CASE style WHEN 'exact_match' THEN 0.2 WHEN 'semantic' THEN 0.7 ELSE 0.4 END AS alpha,
   CASE WHEN whole THEN 'whole_document' WHEN g AND t THEN 'hybrid,graph' WHEN g THEN 'graph' ELSE 'hybrid' END AS routes, topic
 FROM (SELECT question_id, {STYLE} AS style, {WHOLE} AS whole, {_HAS(rules.GRAPH_PHRASES)} AS g, {_HAS(rules.TOPIC_PHRASES)} AS t, {TOPIC} AS topic
@@ -347,17 +318,20 @@ _VENDOR = f"trim(regexp_extract(question, '{rules.VENDOR.replace("'", "''")}', 1
 _ASKS = "position('vendor' IN lower(question)) > 0 AND position('same clause' IN lower(question)) > 0 AND (position('judgment' IN lower(question)) > 0 OR position('judgement' IN lower(question)) > 0)"
 
 
+@register("q1_q4_classify", oracle(_WHOLE_TEXT))
 @register("q1_q4_classify_whole", oracle(_WHOLE_TEXT))
 def q1_q4_whole(spark, sf_dir):
     out = questions.classify(view(spark, sf_dir, "v_whole_question"))
     return out.select("question_id", "style", "alpha", F.array_join("routes", ",").alias("routes"), "topic")
 
 
+@register("q5_template_vendor", oracle(f"SELECT question_id, CASE WHEN {_ASKS} AND {_VENDOR} <> '' THEN {_VENDOR} END AS vendor FROM v_whole_question"))
 @register("q5_template_vendor_whole", oracle(f"SELECT question_id, CASE WHEN {_ASKS} AND {_VENDOR} <> '' THEN {_VENDOR} END AS vendor FROM v_whole_question"))
 def q5_whole(spark, sf_dir):
     return view(spark, sf_dir, "v_whole_question").select("question_id", questions.template_vendor(F.col("question")).alias("vendor"))
 
 
+@register("q6_mutating", oracle(rf"SELECT question_id, regexp_matches(question, '{rules.MUTATING}') AS mutates FROM v_whole_question"))
 @register("q6_mutating_whole", oracle(rf"SELECT question_id, regexp_matches(question, '{rules.MUTATING}') AS mutates FROM v_whole_question"))
 def q6_whole(spark, sf_dir):
     return view(spark, sf_dir, "v_whole_question").select("question_id", questions.mutates(F.col("question")).alias("mutates"))
@@ -600,6 +574,7 @@ def b7_lists(spark, sf_dir):
     return out.select("contract_id", "contract_name", "status", F.array_join(each, ";").alias("clauses"), flags(F.col("document_flags")).alias("document_flags"))
 
 
+@register("v7_memory_window", oracle("SELECT document_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY turn DESC) AS r FROM v_chat WHERE status = 'answered') AS x WHERE r <= 6"))
 @register("v7_memory_window_6", oracle("SELECT document_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY turn DESC) AS r FROM v_chat WHERE status = 'answered') AS x WHERE r <= 6"))
 def v7_six(spark, sf_dir):
     return history.memory_window(view(spark, sf_dir, "v_chat")).select("document_id", "turn")

@@ -396,19 +396,10 @@ def sql_cosine(a: str, b: str) -> str:
     return f"{dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
 
 
-_VECTOR_QUERIES = "SELECT clause_id AS query_id, contract_id AS tenant, embedding AS q FROM v_vector WHERE clause_id % 100 = 7"
-DENSE = f"""vq AS ({_VECTOR_QUERIES}),
-dense_all AS (SELECT query_id, tenant, clause_id AS chunk_id, contract_id AS owner, label, round({sql_cosine('q', 'embedding')}, 9) AS score FROM vq, v_vector)"""
-
-
 def _vectors(spark, sf_dir):
     return view(spark, sf_dir, "v_vector").select(F.col("clause_id").alias("chunk_id"), F.col("contract_id").alias("tenant"), "label", "embedding")
 
 
-def _vector_queries(spark, sf_dir):
-    return _vectors(spark, sf_dir).filter("chunk_id % 100 = 7").select(F.col("chunk_id").alias("query_id"), "tenant", F.col("embedding").alias("query_vector"))
-
-
 @register("r5_cosine", oracle(f"SELECT a.clause_id AS a, b.clause_id AS b, round({sql_cosine('a.embedding', 'b.embedding')}, 9) AS similarity FROM v_vector AS a JOIN v_vector AS b ON b.clause_id = a.clause_id + 1"))
 def r5(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -416,50 +407,15 @@ def r5(spark, sf_dir):
     return v.join(b, "chunk_id").select(F.col("chunk_id").alias("a"), "b", F.round(C.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
 
 
-@register("r6_r7_dense_top_k", oracle(f"WITH {DENSE} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE label >= 2) AS x WHERE rank <= 10"))
-def r6_r7(spark, sf_dir):
-    return retrieval.dense_top_k(_vector_queries(spark, sf_dir).drop("tenant"), _vectors(spark, sf_dir).drop("tenant"), 10, where=F.col("label") >= 2, digits=9)
-
-
-@register("r8_tenant_top_k", oracle(f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE tenant = owner) AS x WHERE rank <= 5"))
-def r8(spark, sf_dir):
-    return retrieval.tenant_hits(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
-
-
 @register("r9_min_max", oracle(f"WITH {BM25} SELECT query_id, chunk_id, round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) AS normal FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM sparse) AS x"))
 def r9(spark, sf_dir):
     hits = _sparse(spark, sf_dir)
     return retrieval.min_max(hits).select("query_id", "chunk_id", F.round("normal", 6).alias("normal"))
 
 
-# The second list of the fusions: documents by the number of passage words that they hold.
-OVERLAP = """dterm AS (SELECT DISTINCT chunk_id, term FROM p),
-over_all AS (SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM (SELECT DISTINCT query_id, term FROM q) AS qd JOIN dterm USING (term) GROUP BY 1, 2),
-overlap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM over_all) AS r WHERE rank <= 20)"""
-
-
-def _overlap_hits(spark, sf_dir):
-    terms = _queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(C.tokens(F.col("query")))).alias("term"))
-    held = _index(spark, sf_dir).docs.select("chunk_id", F.explode("terms.term").alias("term"))
-    scores = held.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return retrieval.top_k(scores, 20)
-
-
 _NORMAL = "SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END AS v FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {}) AS x"
-CONVEX = f"convex AS (SELECT query_id, chunk_id, round(0.4::DOUBLE * coalesce(a.v, 0) + 0.6::DOUBLE * coalesce(b.v, 0), 6) AS score FROM ({_NORMAL.format('overlap')}) AS a FULL JOIN ({_NORMAL.format('sparse')}) AS b USING (query_id, chunk_id))"
 
 
-@register("r10_convex_fusion", oracle(f"WITH {BM25}, {OVERLAP}, {CONVEX} SELECT query_id, chunk_id, score FROM convex"))
-def r10(spark, sf_dir):
-    sparse = _sparse(spark, sf_dir)
-    return retrieval.fuse_convex(_overlap_hits(spark, sf_dir), sparse, 0.4).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-@register("r11_rank_fusion", oracle(f"WITH {BM25}, {OVERLAP} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT query_id, chunk_id, rank FROM overlap) AS x GROUP BY 1, 2"))
-def r11(spark, sf_dir):
-    sparse = _sparse(spark, sf_dir)
-    return retrieval.fuse_ranks([sparse, _overlap_hits(spark, sf_dir)]).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
-
 
 @register("r12_party_filter", oracle("SELECT contract_id, counterparty AS parties FROM v_contract WHERE position('00001' IN lower(counterparty)) > 0"))
 def r12(spark, sf_dir):
@@ -482,15 +438,6 @@ def r13(spark, sf_dir):
     return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-@register("r14_hybrid", oracle(f"WITH {BM25}, {OVERLAP}, {CONVEX}, {RERANK.format('convex')} SELECT query_id, chunk_id, score, rank FROM final"))
-def r14(spark, sf_dir):
-    q, c = _queries(spark, sf_dir), _chunks(spark, sf_dir)
-    sparse = _sparse(spark, sf_dir)
-    cut = retrieval.top_k(retrieval.fuse_convex(_overlap_hits(spark, sf_dir), sparse, 0.4), 15, digits=6).select("query_id", "chunk_id")
-    out = retrieval.rerank(cut.join(q, "query_id").join(c, "chunk_id"), 6)
-    return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
-
-
 TRUTH = "truth AS (SELECT b.item_id AS query_id, v.document AS chunk_id FROM benchmark AS b JOIN v_page AS v ON position(b.text IN v.text) > 0)"
 
 
@@ -510,20 +457,7 @@ def e5(spark, sf_dir):
     return out.select("query_id", F.round("recall", 9).alias("recall"), "precision", F.round("reciprocal_rank", 9).alias("reciprocal_rank"))
 
 
-@register("e6_leakage", oracle(f"WITH {DENSE} SELECT sum(CASE WHEN tenant <> owner THEN 1 ELSE 0 END) AS leaks, avg(CASE WHEN tenant <> owner THEN 1.0::DOUBLE ELSE 0 END) AS leak_rate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
-def e6(spark, sf_dir):
-    v, q = _vectors(spark, sf_dir), _vector_queries(spark, sf_dir)
-    hits = retrieval.dense_top_k(q.drop("tenant"), v.drop("tenant"), 5, digits=9)
-    return evaluation.leakage(hits.join(q.select("query_id", "tenant"), "query_id"), v)
-
-
-@register("r6_blocked_top_k", oracle(f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
-def r6_blocked(spark, sf_dir):
-    found = retrieval.blocked_top_k(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5, block=512)
-    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-# The searches above ask with one vector in a hundred, all of tenant 7; these ask with every vector whose id 50 divides, over tenants that those ids do not share.
+# Searches ask with every vector whose id 50 divides, over tenants that those ids do not share. Each has a second name, by which it was registered before.
 DENSE_50 = f"""v50 AS (SELECT clause_id, clause_id % 7 AS contract_id, label, embedding FROM v_vector),
 vq AS (SELECT clause_id AS query_id, contract_id AS tenant, embedding AS q FROM v50 WHERE clause_id % 50 = 0),
 dense_all AS (SELECT query_id, tenant, clause_id AS chunk_id, contract_id AS owner, label, round({sql_cosine('q', 'embedding')}, 9) AS score FROM vq, v50)"""
@@ -537,16 +471,19 @@ def _vector_queries_50(spark, sf_dir):
     return _vectors_50(spark, sf_dir).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "tenant", F.col("embedding").alias("query_vector"))
 
 
+@register("r6_r7_dense_top_k", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE label >= 2) AS x WHERE rank <= 10"))
 @register("r6_r7_dense_top_k_50", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE label >= 2) AS x WHERE rank <= 10"))
 def r6_r7_50(spark, sf_dir):
     return retrieval.dense_top_k(_vector_queries_50(spark, sf_dir).drop("tenant"), _vectors_50(spark, sf_dir).drop("tenant"), 10, where=F.col("label") >= 2, digits=9)
 
 
+@register("r8_tenant_top_k", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE tenant = owner) AS x WHERE rank <= 5"))
 @register("r8_tenant_top_k_50", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE tenant = owner) AS x WHERE rank <= 5"))
 def r8_50(spark, sf_dir):
     return retrieval.tenant_hits(_vector_queries_50(spark, sf_dir), _vectors_50(spark, sf_dir), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("e6_leakage", oracle(f"WITH {DENSE_50} SELECT sum(CASE WHEN tenant <> owner THEN 1 ELSE 0 END) AS leaks, avg(CASE WHEN tenant <> owner THEN 1.0::DOUBLE ELSE 0 END) AS leak_rate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
 @register("e6_leakage_50", oracle(f"WITH {DENSE_50} SELECT sum(CASE WHEN tenant <> owner THEN 1 ELSE 0 END) AS leaks, avg(CASE WHEN tenant <> owner THEN 1.0::DOUBLE ELSE 0 END) AS leak_rate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
 def e6_50(spark, sf_dir):
     v, q = _vectors_50(spark, sf_dir), _vector_queries_50(spark, sf_dir)
@@ -554,6 +491,7 @@ def e6_50(spark, sf_dir):
     return evaluation.leakage(hits.join(q.select("query_id", "tenant"), "query_id"), v)
 
 
+@register("r6_blocked_top_k", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
 @register("r6_blocked_top_k_50", oracle(f"WITH {DENSE_50} SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_all) AS x WHERE rank <= 5"))
 def r6_blocked_50(spark, sf_dir):
     found = retrieval.blocked_top_k(_vector_queries_50(spark, sf_dir), _vectors_50(spark, sf_dir), 5, block=512)
@@ -594,6 +532,7 @@ def _hybrid(spark, sf_dir, fusion):
     return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
+@register("r14_hybrid", f"{_HYBRID} {_HYBRID_FUSED['convex']}, {_HYBRID_CUT.format('fused')} SELECT query_id, chunk_id, score, rank FROM final")
 @register("r14_hybrid_dense", f"{_HYBRID} {_HYBRID_FUSED['convex']}, {_HYBRID_CUT.format('fused')} SELECT query_id, chunk_id, score, rank FROM final")
 def r14_dense(spark, sf_dir):
     return _hybrid(spark, sf_dir, "convex")
@@ -608,3 +547,21 @@ def r14_dense_ranks(spark, sf_dir):
 def r4_zero(spark, sf_dir):
     asked, chunks = _hybrid_sides(spark, sf_dir)
     return retrieval.sparse_top_k(asked.select("query_id", "query"), chunks.drop("embedding"), 20, where=F.col("lang") == "en", digits=6, zero_rows=True)
+
+
+def _hybrid_lists(spark, sf_dir):
+    """The dense and the sparse list that the fusions read."""
+    asked, chunks = _hybrid_sides(spark, sf_dir)
+    kept = F.col("lang") == "en"
+    return retrieval.blocked_top_k(asked, chunks, 20, where=kept), retrieval.sparse_top_k(asked, chunks, 20, where=kept, digits=6, zero_rows=True)
+
+
+@register("r10_convex_fusion", f"{_HYBRID} {_HYBRID_FUSED['convex']} SELECT query_id, chunk_id, score FROM fused")
+def r10(spark, sf_dir):
+    dense, sparse = _hybrid_lists(spark, sf_dir)
+    return retrieval.fuse_convex(dense, sparse, 0.4).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@register("r11_rank_fusion", f"{_HYBRID} {_HYBRID_FUSED['rrf']} SELECT query_id, chunk_id, score FROM fused")
+def r11(spark, sf_dir):
+    return retrieval.fuse_ranks(list(_hybrid_lists(spark, sf_dir))).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
