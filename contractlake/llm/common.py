@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,13 +15,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none (tests), a new temporary folder becomes it."""
+    """The folder that driver and executors share; where the cluster names none, one in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="contractlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return (base or spark.conf.get("spark.sql.warehouse.dir") + "/llm").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
