@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contractlake.operators import dedup, retrieval
+from contractlake.session import shared_path
 
 #: Most clauses that are compared pair by pair.
 ALL_PAIRS = 20_000
@@ -98,3 +99,33 @@ def contract_edges(documents: DataFrame, parties: DataFrame) -> DataFrame:
     sold = edge(documents.filter("vendor is not null"), "contract_id", "HAS_VENDOR", "vendor")
     held = parties.groupBy("contract_id", "name").agg(F.max_by("role", "seq").alias("role"))
     return made.unionByName(sold).distinct().unionByName(edge(held, "contract_id", "HAS_PARTY", "name", F.col("role")))
+
+
+def reachable(starts: DataFrame, edges: DataFrame, *, most: int | None = None, direction: str = "out") -> DataFrame:
+    """origin, node, hops: each node that paths of any length (or of `most` hops) reach from the starts of an origin, by the fewest hops.
+
+    starts: origin, node. edges: src, dst. Only pairs found in the last round are followed, and pairs found before are dropped by an anti
+    join, so cycles end. Each round is a table in the folder that the cluster shares; the driver holds its row count. Starts are at 0 hops,
+    without edges too; null nodes are no nodes.
+    """
+    spark = starts.sparkSession
+    root = shared_path(spark, "reach")
+    out = edges.select("src", "dst")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    links = {"out": out, "in": back, "both": out.union(back)}[direction].dropna().distinct()
+    links.write.parquet(f"{root}/links")
+    links = spark.read.parquet(f"{root}/links")
+    starts.select("origin", "node").filter("node IS NOT NULL").distinct().write.parquet(f"{root}/seen/hops=0")
+    hops, seen = 0, spark.read.parquet(f"{root}/seen")
+    schema = seen.schema
+    new = seen
+    while (most is None or hops < most) and not new.isEmpty():
+        hops += 1
+        front = new.select("origin", F.col("node").alias("src"))
+        found = front.join(links, "src").select("origin", F.col("dst").alias("node")).distinct()
+        known = seen.select(F.col("origin").alias("o"), F.col("node").alias("n"))
+        fresh = found.join(known, F.col("origin").eqNullSafe(F.col("o")) & (F.col("node") == F.col("n")), "left_anti")
+        fresh.write.parquet(f"{root}/seen/hops={hops}")
+        new = spark.read.schema(schema).parquet(f"{root}/seen").filter(F.col("hops") == hops)
+        seen = spark.read.schema(schema).parquet(f"{root}/seen")
+    return seen.select("origin", "node", "hops")

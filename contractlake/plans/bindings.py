@@ -138,4 +138,6 @@ def oracle(text: str) -> str:
         return text
     heads = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
     body = text.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     return f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"

@@ -479,14 +479,14 @@ def _requests(spark, sf_dir):
     return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
 
-@register(
-    "x3_admissions",
-    """WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, epoch_us(ts) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS r FROM events),
+ADMISSIONS = """WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, epoch_us(ts) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS r FROM events),
     s AS (SELECT key, request_id, "at", r, ["at"] AS times, true AS accepted FROM q WHERE r = 1
       UNION ALL SELECT key, request_id, "at", r, CASE WHEN len(held) < 2 THEN list_append(held, "at") ELSE held END, len(held) < 2
       FROM (SELECT q.*, list_filter(s.times, lambda t: q."at" - t <= 86400.0) AS held FROM s JOIN q ON q.key = s.key AND q.r = s.r + 1) AS x)
-    SELECT key, request_id, "at", accepted FROM s""",
-)
+    SELECT key, request_id, "at", accepted FROM s"""
+
+
+@register("x3_admissions", ADMISSIONS)
 def x3(spark, sf_dir):
     return streams.admissions(_requests(spark, sf_dir), most=2, seconds=86400.0)
 

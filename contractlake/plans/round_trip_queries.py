@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from contractlake.plans.bindings import oracle, view
 from contractlake.plans.registry import register
-from contractlake.plans.review_queries import _OUTCOMES, _decisions
+from contractlake.plans.review_queries import _OUTCOMES, ADMISSIONS, _decisions, _requests
+from contractlake.plans.text_queries import UPSERTED, clause_arrivals
 from contractlake.session import shared_path
 from contractlake.sources import io, schemas
-from contractlake.streaming import streams
+from contractlake.streaming import clause_log, expiring, streams
 
 
 @register("i2_json_array", "SELECT n_nationkey AS policy_id, n_name AS title, [CAST(n_regionkey AS VARCHAR), n_name][2] AS last_scope FROM nation")
@@ -74,7 +75,7 @@ def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out, checkpoint = (shared_path(spark, f"decisions-{x}") for x in ("in", "out", "checkpoint"))
     rows = _decisions(spark, sf_dir)
     rows.write.parquet(source)
-    states = streams.job_states(spark.readStream.schema(rows.schema).parquet(source))
+    states = expiring.job_states(expiring.stateful_session(spark).readStream.schema(rows.schema).parquet(source))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -83,3 +84,30 @@ def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.read.schema(f"{streams.JOB}, batch long").parquet(out)
     last = found.groupBy("job_id").agg(F.max_by(F.struct("outcome", "revisions"), "batch").alias("s"))
     return last.select("job_id", "s.outcome", "s.revisions")
+
+
+@register("x2_merged_clauses", UPSERTED)
+def x2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals in three runs of one stream into the log of deltas, folded after the second; the last batch is delivered again."""
+    source, log, checkpoint = (shared_path(spark, f"arrivals-{x}") for x in ("in", "log", "checkpoint"))
+    rows = clause_arrivals(spark, sf_dir)
+    parts = [rows.filter("page_reference <= 2"), rows.filter("page_reference BETWEEN 3 AND 4"), rows.filter("page_reference > 4")]
+    for n, part in enumerate(parts):
+        part.write.mode("append").parquet(source)
+        streams.log_batches(spark.readStream.schema(rows.schema).parquet(source), log, checkpoint).awaitTermination()
+        if n == 1:
+            clause_log.compact(spark, log)
+    clause_log.apply_batch(parts[2], log, len(parts) - 1)
+    return clause_log.read(spark, log)
+
+
+@register("x3_admissions_stream", ADMISSIONS)
+def x3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of requests, run over what is there, with state that ends."""
+    source, out, checkpoint = (shared_path(spark, f"requests-{x}") for x in ("in", "out", "checkpoint"))
+    rows = _requests(spark, sf_dir)
+    rows.write.parquet(source)
+    session = expiring.stateful_session(spark)
+    found = expiring.admissions_stream(session.readStream.schema(rows.schema).parquet(source), most=2, seconds=86400.0)
+    found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(streams.ADMITTED).parquet(out)

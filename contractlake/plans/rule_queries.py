@@ -130,6 +130,23 @@ def g7(spark, sf_dir):
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n_contracts"))
 
 
+@register(
+    "g7_linked_contracts",
+    oracle("""WITH RECURSIVE links AS (SELECT DISTINCT contract_id AS c, split_part(clause_id, '-', 3) || '-' || split_part(clause_id, '-', 4) AS p FROM v_clause),
+    walk AS (SELECT jurisdiction_id AS origin, contract_id AS c, 0 AS hops FROM v_contract WHERE monetary_value > 400000
+      UNION SELECT origin, b.c, hops + 2 FROM walk JOIN links AS a ON a.c = walk.c JOIN links AS b ON b.p = a.p WHERE hops < 8)
+    SELECT origin, c AS contract_id, min(hops) // 2 AS links FROM walk GROUP BY 1, 2"""),
+)
+def g7_linked(spark, sf_dir):
+    """Contracts within four links of a large contract of a jurisdiction; contracts are linked by a part of the same supplier, through that part's node."""
+    ends = F.split("clause_id", "-")
+    edges = view(spark, sf_dir, "v_clause").select(F.concat(F.lit("c"), F.col("contract_id").cast("string")).alias("src"), F.concat_ws("-", ends[2], ends[3]).alias("dst"))
+    large = view(spark, sf_dir, "v_contract").filter("monetary_value > 400000")
+    starts = large.select(F.col("jurisdiction_id").alias("origin"), F.concat(F.lit("c"), F.col("contract_id").cast("string")).alias("node"))
+    found = graph.reachable(starts, edges, most=8, direction="both").filter(F.col("node").startswith("c"))
+    return found.select("origin", F.substring("node", 2, 30).cast("long").alias("contract_id"), (F.col("hops") / 2).cast("long").alias("links"))
+
+
 @register(
     "g8_contract_edges",
     oracle("""SELECT CAST(counterparty_id % 97 AS VARCHAR) AS src, 'PRODUCED' AS edge_type, CAST(contract_id AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS role FROM v_contract WHERE contract_id % 2 = 0

@@ -313,15 +313,22 @@ def d1(spark, sf_dir):
 _ARRIVALS = "SELECT l_orderkey AS document_id, concat(l_partkey % 8, '|', l_returnflag) AS content_hash, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS seq, l_partkey AS clause_id, l_linenumber AS page_reference, l_discount AS confidence FROM lineitem"
 
 
-@register("d2_clause_upsert", f"WITH a AS (SELECT DISTINCT * FROM ({_ARRIVALS}) AS r), o AS (SELECT *, row_number() OVER (PARTITION BY document_id, content_hash, seq ORDER BY confidence) AS u FROM a) SELECT document_id, content_hash, arg_min(clause_id, seq) AS clause_id, arg_max(page_reference, seq) AS page_reference, arg_max(confidence, seq) AS confidence, count(*) AS version FROM o WHERE u = 1 GROUP BY 1, 2")
-def d2(spark, sf_dir):
+UPSERTED = f"WITH a AS (SELECT DISTINCT * FROM ({_ARRIVALS}) AS r), o AS (SELECT *, row_number() OVER (PARTITION BY document_id, content_hash, seq ORDER BY confidence) AS u FROM a) SELECT document_id, content_hash, arg_min(clause_id, seq) AS clause_id, arg_max(page_reference, seq) AS page_reference, arg_max(confidence, seq) AS confidence, count(*) AS version FROM o WHERE u = 1 GROUP BY 1, 2"
+
+
+def clause_arrivals(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     a = lines.select(
         F.col("l_orderkey").alias("document_id"), F.concat_ws("|", (F.col("l_partkey") % 8).cast("string"), "l_returnflag").alias("content_hash"),
         (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("seq"),
         F.col("l_partkey").alias("clause_id"), F.col("l_linenumber").alias("page_reference"), F.col("l_discount").alias("confidence"),
     )
-    a = a.groupBy("document_id", "content_hash", "seq", "clause_id", "page_reference").agg(F.min("confidence").alias("confidence"))
+    return a.groupBy("document_id", "content_hash", "seq", "clause_id", "page_reference").agg(F.min("confidence").alias("confidence"))
+
+
+@register("d2_clause_upsert", UPSERTED)
+def d2(spark, sf_dir):
+    a = clause_arrivals(spark, sf_dir)
     early, late = a.filter("page_reference <= 3"), a.filter("page_reference > 3")
     return dedup.merge_clauses(dedup.upsert_clauses(early), late)
 

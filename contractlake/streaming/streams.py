@@ -36,7 +36,10 @@ def new_documents(uploads: DataFrame, *, late: str = LATE) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Writes clause arrivals (as dedup.upsert_clauses takes them) as merged tables, one folder a batch; the newest holds all."""
+    """Writes clause arrivals (as dedup.upsert_clauses takes them) as merged tables, one folder a batch; the newest holds all.
+
+    Each batch rewrites the table: for small tables that others read as plain Parquet. `log_batches` writes only what came.
+    """
     from contractlake.operators import dedup
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -49,6 +52,16 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_batches(stream: DataFrame, path: str, checkpoint: str, *, buckets: int = 64):
+    """Clause arrivals (as dedup.upsert_clauses takes them) into the log of deltas at `path`, read by clause_log.read."""
+    from contractlake.streaming import clause_log
+
+    def append(batch: DataFrame, number: int) -> None:
+        clause_log.apply_batch(batch, path, number, buckets=buckets)
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 ADMITTED = "key string, request_id long, at double, accepted boolean"
 
 
