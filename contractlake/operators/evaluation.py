@@ -109,6 +109,27 @@ def low_text_scores(rows: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("detection_recall") == 1.0) & (F.col("recovery_rate") >= 0.5))
 
 
+def low_text_rates(pages: DataFrame, expected: DataFrame, detected: DataFrame, recovered: DataFrame) -> DataFrame:
+    """document, detection_recall, recovery_rate, passed: low_text_scores from page lists (document, page_number) in place of arrays.
+
+    Each document of `pages` has a row; one without expected pages has shares of 1. Repeated pages count once, pages of other documents
+    not at all. Flags are folded by page and then summed by document, so no document's pages are gathered.
+    """
+    lists = {"known": pages, "expected": expected, "detected": detected, "recovered": recovered}
+    flags = [df.select("document", "page_number", *[F.lit(int(name == n)).alias(n) for n in lists]) for name, df in lists.items()]
+    rows = flags[0]
+    for more in flags[1:]:
+        rows = rows.unionByName(more)
+    page = rows.groupBy("document", "page_number").agg(*[F.max(n).alias(n) for n in lists])
+    sums = page.groupBy("document").agg(
+        F.max("known").alias("known"), F.sum("expected").alias("n"),
+        F.sum(F.col("expected") * F.col("detected")).alias("found"), F.sum(F.col("expected") * F.col("recovered")).alias("back"),
+    ).filter("known = 1")
+    share = lambda c: F.when(F.col("n") == 0, 1.0).otherwise(F.col(c) / F.col("n"))
+    out = sums.select("document", share("found").alias("detection_recall"), share("back").alias("recovery_rate"))
+    return out.withColumn("passed", (F.col("detection_recall") == 1.0) & (F.col("recovery_rate") >= 0.5))
+
+
 def conflict_scores(pairs: DataFrame, expected: DataFrame) -> DataFrame:
     """doc_x, doc_y, found: whether each expected pair (doc_a, doc_b, clause_type), in either order, has a conflict of its type."""
     key = lambda df: df.select(F.least("doc_a", "doc_b").alias("doc_x"), F.greatest("doc_a", "doc_b").alias("doc_y"), "clause_type").distinct()

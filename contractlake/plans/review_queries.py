@@ -410,17 +410,6 @@ def e9(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n_cases")).crossJoin(evaluation.judge_means(rows, ["faithfulness"]).select(F.round("faithfulness", 9).alias("faithfulness")))
 
 
-@register("e10_low_text_scores", "SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.5 END AS detection_recall, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 0.5 END AS recovery_rate, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS passed FROM orders")
-def e10(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    pages = lambda *p: F.array(*map(F.lit, p))
-    rows = o.select(
-        F.col("o_orderkey").alias("document_id"), pages(1, 2).alias("expected_low"), F.when(F.col("o_orderkey") % 2 == 0, pages(1, 2)).otherwise(pages(2, 3)).alias("detected_low"),
-        F.when(F.col("o_orderkey") % 3 == 0, pages(7)).otherwise(pages(1)).alias("recovered"),
-    )
-    return evaluation.low_text_scores(rows).select("document_id", "detection_recall", "recovery_rate", "passed")
-
-
 @register(
     "e11_conflict_scores",
     oracle("""WITH sp AS (SELECT least(a.contract_id, b.contract_id) AS doc_x, greatest(a.contract_id, b.contract_id) AS doc_y, a.clause_type FROM (SELECT DISTINCT contract_id, clause_type FROM v_clause) AS a

@@ -137,8 +137,32 @@ def t1(spark, sf_dir):
 )
 def t2(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    ocr = pages.filter((F.length("text") < 40) & (F.col("page_number") % 2 == 1)).select("document", "page_number", F.concat(F.lit("scan of "), "text").alias("ocr_text"))
-    return text.overlay_ocr(pages, ocr)
+    return text.overlay_ocr(pages, _scans(pages))
+
+
+def _scans(pages):
+    """Recognised text for short pages of odd number."""
+    return pages.filter((F.length("text") < 40) & (F.col("page_number") % 2 == 1)).select("document", "page_number", F.concat(F.lit("scan of "), "text").alias("ocr_text"))
+
+
+@register(
+    "e10_low_text_scores",
+    oracle(
+        f"""WITH {LINES}, p AS (SELECT DISTINCT document, page_number, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) < 4 AS expected, length({sql_strip('text')}) < 20 AS detected,
+          length({sql_strip("CASE WHEN length(text) < 40 AND page_number % 2 = 1 THEN concat('scan of ', text) ELSE text END")}) >= 20 AS filled FROM lines),
+        g AS (SELECT document, page_number, bool_or(expected) AS expected, bool_or(detected) AS detected, bool_or(detected AND filled) AS recovered FROM p GROUP BY 1, 2),
+        s AS (SELECT document, count(*) FILTER (expected) AS n, count(*) FILTER (expected AND detected) AS f, count(*) FILTER (expected AND recovered) AS r FROM g GROUP BY 1)
+        SELECT document, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE f / n END AS detection_recall, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE r / n END AS recovery_rate,
+          (n = 0 OR f = n) AND (n = 0 OR 2 * r >= n) AS passed FROM s"""
+    ),
+)
+def e10(spark, sf_dir):
+    """Pages of fewer than four words should be found by their length; those found are recovered where recognised text fills them."""
+    pages = _pages(spark, sf_dir)
+    low = text.low_text_pages(pages)
+    expected = pages.filter(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) < 4)
+    recovered = text.overlay_ocr(low, _scans(pages)).filter(F.col("char_count") >= text.LOW_TEXT)
+    return evaluation.low_text_rates(pages, expected, low, recovered)
 
 
 @register("t3_t4_sections", oracle(f"WITH {LINES}, {SECTIONS} SELECT document, page_number, section FROM sections"))

@@ -81,14 +81,29 @@ def write_table(rows: DataFrame, root: str, name: str, mode: str = "append") ->
     rows.select(*cast).write.mode(mode).parquet(f"{root}/{name}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, *, column: str | None = None, lower: int = 0, upper: int = 0, parts: int = 1, **options: str) -> DataFrame:
-    """A table of a database, in `parts` ranges of a numeric column if one is given."""
+def read_jdbc(
+    spark: SparkSession, url: str, table: str, *, column: str | None = None, lower: int | None = None, upper: int | None = None, parts: int = 1, **options: str
+) -> DataFrame:
+    """A table of a database, in `parts` ranges of a numeric column if one is given; bounds left out come from the data.
+
+    The bounds are a pushed aggregate, one row. Rows whose column is null are read with the first range. Filters and columns are pushed.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if column:
-        reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=parts)
+    if column and parts > 1:
+        if lower is None or upper is None:
+            found = reader.load().agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+            lower, upper = (found["lo"] if lower is None else lower), (found["hi"] if upper is None else upper)
+        if lower is not None and upper is not None and lower < upper:
+            reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=parts)
     return reader.load()
 
 
+def write_jdbc(rows: DataFrame, url: str, table: str, *, mode: str = "overwrite", connections: int = 8, batch: int = 10_000, **options: str) -> None:
+    """Rows into a table of a database over at most `connections` connections. An overwrite keeps the table's definition; run again, it gives the same rows."""
+    writer = rows.write.format("jdbc").options(url=url, dbtable=table, numPartitions=connections, batchsize=batch, truncate="true", **options)
+    writer.mode(mode).save()
+
+
 def merge_edges(stored: DataFrame, new: DataFrame, keys: list[str], order: str = "load_seq") -> DataFrame:
     """Node or edge tables with merge-on-key: the last write of each key stays."""
     turn = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))
