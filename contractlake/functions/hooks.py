@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,6 +40,24 @@ def with_embeddings(rows: DataFrame, encoder: Callable[[], Callable[[list[str]],
     return rows.withColumn("embedding", run(text))
 
 
+def pair_scorer() -> Callable[[list[str], list[str]], list[float]]:
+    """The scorer of (query, text) pairs used where no model is given: half for the share of the query's distinct terms
+    that the text holds, half for the share of its distinct pairs of neighbouring terms that are neighbours there."""
+    words = re.compile("[a-z0-9]+")
+
+    def score(queries: list[str], texts: list[str]) -> list[float]:
+        out = []
+        for query, text in zip(queries, texts, strict=True):
+            q, t = words.findall(query.lower()), words.findall(text.lower())
+            terms, pairs = set(q), set(zip(q, q[1:], strict=False))
+            a = len(terms & set(t)) / len(terms) if terms else 0.0
+            b = len(pairs & set(zip(t, t[1:], strict=False))) / len(pairs) if pairs else 0.0
+            out.append(0.5 * a + 0.5 * b)
+        return out
+
+    return score
+
+
 def annotate(rows: DataFrame, annotator: Callable[[], Callable[[list[str]], list[str]]], schema: str, *, text: str = "text", name: str = "annotation") -> DataFrame:
     """Adds `name`: the annotator's JSON answer in the given schema, null where it has another shape. `annotator()` is called once a task."""
     from contractlake.operators.normalize import parsed_response

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -221,12 +221,61 @@ def approximate_neighbours(vectors: DataFrame, *, key: str, least: float, tables
     return pairs.filter("a < b")
 
 
-def annotate_scores(pairs: DataFrame, scorer) -> DataFrame:
-    """Adds `score` from a Python scorer (list of queries, list of texts -> scores), a batch at a time."""
+def annotate_scores(pairs: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]], *, batch: int = 64) -> DataFrame:
+    """Adds `score` of (query, text). `scorer()` is called once a task and gives a function of queries and texts.
+
+    It is fed `batch` pairs of like length at a time, so that a model that pads wastes little. Nulls reach it as empty texts.
+    """
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = scorer()
         for q, t in parts:
-            yield pd.Series(scorer(list(q), list(t)), dtype=float)
-
-    return pairs.withColumn("score", run("query", "text"))
+            q, t = q.fillna("").to_numpy(), t.fillna("").to_numpy()
+            order = np.argsort([len(a) + len(b) for a, b in zip(q, t, strict=True)], kind="stable")
+            score = np.empty(len(q))
+            for i in range(0, len(q), batch):
+                some = order[i : i + batch]
+                score[some] = model(q[some].tolist(), t[some].tolist())
+            yield pd.Series(score)
+
+    # Said to be nondeterministic, so that no filter on the score is pushed below a join and scores what the join leaves out.
+    return pairs.withColumn("score", run.asNondeterministic()("query", "text"))
+
+
+def pair_bound(query: Column, text: Column) -> Column:
+    """The most that `hooks.pair_scorer` can give: every neighbouring pair of terms counts whose two terms the text holds."""
+    words, held = C.tokens(query), F.array_intersect(C.tokens(query), C.tokens(text))
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.array_distinct(F.arrays_zip(F.slice(words, 1, count).alias("a"), F.slice(words, 2, count).alias("b")))
+    likely = F.filter(pairs, lambda p: F.array_contains(held, p["a"]) & F.array_contains(held, p["b"]))
+    share = lambda some, of: F.coalesce(F.try_divide(F.size(some).cast("double"), F.size(of)), F.lit(0.0))
+    return 0.5 * share(held, F.array_distinct(words)) + 0.5 * share(likely, pairs)
+
+
+def rerank_cascade(candidates: DataFrame, k: int, scorer, bound: Column, *, key: str = "chunk_id", batch: int = 64) -> DataFrame:
+    """`rerank` by a Python scorer that sees only candidates whose `bound`, never below their score, can bring them among the k best.
+
+    The k candidates of the highest bounds are scored and written first; of the others those follow whose bound reaches
+    the k-th score so far. The result is that of scoring all. candidates: query_id, query, key, text, one row a query and
+    key; they are read twice. A null bound rules nothing out. A candidate whose score is null or no number is left out.
+    """
+    spark = candidates.sparkSession
+    bounded = candidates.select("query_id", "query", key, "text", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+    by_bound = W.partitionBy("query_id").orderBy(F.desc("bound"), key)
+    leading = bounded.withColumn("turn", F.row_number().over(by_bound)).filter(F.col("turn") <= k)
+    path = shared_path(spark, "rerank")
+    annotate_scores(leading, scorer, batch=batch).select("query_id", key, "bound", "score").write.parquet(path)
+    first = spark.read.parquet(path)
+    real = F.col("score").isNotNull() & ~F.isnan("score")
+    edge = first.groupBy("query_id").agg(
+        F.max(F.struct((-F.col("bound")).alias("b"), F.col(key).alias("k"))).alias("edge"),
+        F.max(F.when(real, F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("worst"),
+        F.count(F.when(real, 1)).alias("scored"),
+    )
+    place = F.struct((-F.col("bound")).alias("b"), F.col(key).alias("k"))
+    reach = F.struct((-F.col("bound")).alias("s"), F.col(key).alias("k"))
+    rest = bounded.join(edge, "query_id").filter((place > F.col("edge")) & ((F.col("scored") < k) | (reach < F.col("worst"))))
+    more = annotate_scores(rest.select("query_id", "query", key, "text"), scorer, batch=batch)
+    scored = first.select("query_id", key, "score").unionByName(more.select("query_id", key, "score"))
+    return top_k(scored.filter(real), k, key=key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.functions import columns as C
+from contractlake.functions import hooks
 from contractlake.operators import dedup, evaluation, normalize, retrieval, search_index, text
 from contractlake.plans.bindings import oracle, view
 from contractlake.plans.registry import register
@@ -469,6 +470,29 @@ def r13(spark, sf_dir):
     return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
+_PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: concat({0}[i], ' ', {0}[i + 1])))"
+
+
+@register(
+    "u2_pair_scores",
+    oracle(
+        f"""WITH {BM25.replace("rank <= 20)", "rank <= 50)")}, qt AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a FROM benchmark),
+        qp AS (SELECT query_id, list_distinct(a) AS terms, {_PAIRS.format("a")} AS pairs FROM qt), tp AS (SELECT chunk_id, t, {_PAIRS.format("t")} AS tpairs FROM tok),
+        s AS (SELECT query_id, chunk_id, 0.5::DOUBLE * (len(list_intersect(terms, t))::DOUBLE / len(terms))
+          + 0.5::DOUBLE * CASE WHEN len(pairs) = 0 THEN 0 ELSE len(list_intersect(pairs, tpairs))::DOUBLE / len(pairs) END AS score
+          FROM sparse JOIN qp USING (query_id) JOIN tp USING (chunk_id))
+        SELECT * FROM (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) AS r WHERE rank <= 6"""
+    ),
+)
+def u2(spark, sf_dir):
+    q, c = _queries(spark, sf_dir), _chunks(spark, sf_dir)
+    path = shared_path(spark, "pair-candidates")
+    _sparse(spark, sf_dir, 50).select("query_id", "chunk_id").write.parquet(path)
+    pairs = spark.read.parquet(path).join(q, "query_id").join(c, "chunk_id")
+    out = retrieval.rerank_cascade(pairs, 6, hooks.pair_scorer, retrieval.pair_bound(F.col("query"), F.col("text")))
+    return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
 TRUTH = "truth AS (SELECT b.item_id AS query_id, v.document AS chunk_id FROM benchmark AS b JOIN v_page AS v ON position(b.text IN v.text) > 0)"
 
 
