@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contractlake.llm import sketch
@@ -62,8 +62,28 @@ def _found(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, sorted_keys[at] == x
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("fp"), F.col("text").cast("binary").alias("raw"))
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def row_key(docs: DataFrame) -> tuple[Column, int]:
+    """(a 64-bit key that different rows of (doc_id, text) never share and equal rows do, number of rows).
+
+    Rows that share a hash, as a second hash shows, take that of another seed, and all is looked at again. Of n rows
+    about n^2 / 2^65 do (three of 10^10), so the list of their hashes in the driver stays short.
+    """
+    key, seed = _hash(0), 0
+    while True:
+        seen = docs.select(key.alias("fp"), _hash(-1).alias("other")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), (F.min("other") != F.max("other")).alias("clash"))
+        found = seen.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("clash"), F.col("fp"))).alias("shared")).first()
+        if not found["shared"]:
+            return key, found["n"] or 0
+        seed += 1
+        key = F.when(key.isin(found["shared"]), _hash(seed)).otherwise(key)
+
+
+def _texts(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    return docs.select((F.lit(0) if key is None else key).cast("long").alias("fp"), F.col("text").cast("binary").alias("raw"))
 
 
 def count_table(docs: DataFrame, pairs: np.ndarray | None) -> DataFrame:
@@ -94,7 +114,7 @@ def count_table(docs: DataFrame, pairs: np.ndarray | None) -> DataFrame:
     return _texts(docs).mapInArrow(count, "key long, pair boolean, n long").groupBy("key", "pair").agg(F.sum("n").alias("n"))
 
 
-def _exploded(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: float, parts: int) -> DataFrame:
+def _exploded(docs: DataFrame, key: Column, hot: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: float, parts: int) -> DataFrame:
     """part, fps, n_a, n_b, a, b, sums, known: bigrams of a batch of documents that belong to one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +176,7 @@ def _exploded(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, pairs: np.nd
         if seqs:
             yield from flush(seqs, fps)
 
-    return _texts(docs).mapInArrow(run, "part int, fps binary, n_a binary, n_b binary, a binary, b binary, sums binary, known binary")
+    return _texts(docs, key).mapInArrow(run, "part int, fps binary, n_a binary, n_b binary, a binary, b binary, sums binary, known binary")
 
 
 def _partial(rows: DataFrame, counts: np.ndarray, total: float) -> DataFrame:
@@ -225,7 +245,8 @@ def least_count(words: DataFrame, most: int) -> int:
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words (with the end sign), log_score, mean_log_score for every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), seed=5)
+    key, n_rows = row_key(docs)
+    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(n_rows, 1)), seed=5)
     often = count_table(sample, None).filter("pair and n >= 20").orderBy(F.desc("n"), "key").limit(HOT_BIGRAMS).select("key")
     pairs = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     table = stage(count_table(docs, pairs), "lm-counts")
@@ -240,7 +261,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     known = {r["key"]: r["n"] for r in table.filter("pair").collect()}  # at most HOT_BIGRAMS rows
     pair_counts = np.array([known.get(int(k), 0) for k in _signed(pairs)], float)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, -(-int(total) // PER_PARTITION), 1)
-    rows = _exploded(docs, hot, counts, pairs, pair_counts, float(total or 1), parts)
+    rows = _exploded(docs, key, hot, counts, pairs, pair_counts, float(total or 1), parts)
     partial = _partial(rows, counts, float(total or 1))
     words = table.filter("not pair").select(F.col("key").alias("known_word"), F.col("n").alias("known_n"))
     # Rows without a word take their own key, which spreads them; only rows with one may match.
@@ -248,7 +269,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     joined = asked.join(words, (F.col("spread") == F.col("known_word")) & F.col("word").isNotNull(), "left")
     added = F.col("score") + F.when(F.col("word").isNotNull(), F.log(F.col("known_n").cast("double"))).otherwise(0.0)
     scores = joined.groupBy("fp").agg(F.sum(added).alias("total"), F.sum("n").alias("words"))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_fp"))
+    keyed = docs.select("doc_id", key.alias("row_fp"))
     times = keyed.groupBy("doc_id", "row_fp").agg(F.count(F.lit(1)).alias("times"))
     out = times.join(scores, F.col("row_fp") == F.col("fp"), "left")
     share = out.select(
