@@ -17,6 +17,26 @@ def pages_of_lines(documents: DataFrame, key: str, text: str = "text") -> DataFr
     return rows.select("document", (F.col("pos") + 1).alias("page_number"), "text", F.lit("text").alias("source"), F.length(C.strip(F.col("text"))).alias("char_count"))
 
 
+def read_page_files(spark: SparkSession, path: str) -> DataFrame:
+    """Page rows from raw text files, one a document, whose pages end with a form feed: as `pages_of_lines`, by the file's name without its suffix.
+
+    Spark cuts the files into byte ranges at form feeds, so one long document is read by many tasks. Pages are numbered
+    by an aggregate a range (document, range, pages) before them and their place in the range; texts are not shuffled by
+    document. A last page needs no form feed; files without text have no pages; files of one name count as one document
+    and must not share a path's last part.
+    """
+    raw = spark.read.option("lineSep", "\f").text(path)
+    at = F.col("_metadata.file_block_start")
+    name = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B")), r"\.[^.]*$", "")
+    pages = raw.select(name.alias("document"), at.alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    ranges = pages.groupBy("document", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("pages"))
+    w = W.partitionBy("document").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    before = ranges.select("document", "start", "first", F.coalesce(F.sum("pages").over(w), F.lit(0)).alias("before"))
+    number = (F.col("before") + F.col("id") - F.col("first") + 1).cast("int")
+    rows = pages.join(before, ["document", "start"])
+    return rows.select("document", number.alias("page_number"), "text", F.lit("text").alias("source"), F.length(C.strip(F.col("text"))).alias("char_count"))
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds one JSON array of records."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
