@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contractlake.plans.bindings import oracle, view
 from contractlake.plans.registry import register
 from contractlake.plans.review_queries import _OUTCOMES, ADMISSIONS, _decisions, _requests
-from contractlake.plans.text_queries import UPSERTED, clause_arrivals
+from contractlake.plans.text_queries import UPSERTED, arrival_batches, clause_arrivals
 from contractlake.session import shared_path
 from contractlake.sources import io, schemas
 from contractlake.streaming import clause_log, expiring, streams
@@ -91,7 +91,7 @@ def x2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals in three runs of one stream into the log of deltas, folded after the second; the last batch is delivered again."""
     source, log, checkpoint = (shared_path(spark, f"arrivals-{x}") for x in ("in", "log", "checkpoint"))
     rows = clause_arrivals(spark, sf_dir)
-    parts = [rows.filter("page_reference <= 2"), rows.filter("page_reference BETWEEN 3 AND 4"), rows.filter("page_reference > 4")]
+    parts = arrival_batches(rows, 3_000_000_000, 5_000_000_000)
     for n, part in enumerate(parts):
         part.write.mode("append").parquet(source)
         streams.log_batches(spark.readStream.schema(rows.schema).parquet(source), log, checkpoint).awaitTermination()
