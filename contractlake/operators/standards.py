@@ -110,6 +110,20 @@ def constraint_rows(contexts: DataFrame, library: DataFrame, as_of: Column, *, b
     return rows.filter(F.col("is_mandatory") | F.col("is_prohibited"))
 
 
+def constrained_types(contracts: DataFrame, library: DataFrame, as_of: Column, flag: str) -> DataFrame:
+    """contract_id, clause_type: the types of which an active reference with `flag` (is_mandatory, is_prohibited) holds for the contract.
+
+    Scopes of contracts and of references are each made distinct before they meet, so that no pair of a contract and a reference is made.
+    contracts: contract_id, the scopes and document_type.
+    """
+    fields = [*SCOPES, "document_type"]
+    scope = F.struct(*fields)  # nulls in it are equal
+    asked = contracts.select(*fields).distinct().withColumn("context_id", scope)
+    wanted = library.filter(is_active(as_of) & F.col(flag)).select(*fields, "clause_type").distinct()
+    types = candidates(asked, wanted, by_type=False).select("context_id", "clause_type").distinct()
+    return contracts.select("contract_id", scope.alias("context_id")).join(types, "context_id").select("contract_id", "clause_type").distinct()
+
+
 def search(queries: DataFrame, library: DataFrame, *, limit: int = 5) -> DataFrame:
     """The first references of each query's clause type: those of its business unit, then its jurisdiction, then the highest version.
 

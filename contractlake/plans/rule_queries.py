@@ -284,9 +284,8 @@ def s9(spark, sf_dir):
 
 
 def _required(spark, sf_dir, flag):
-    c = view(spark, sf_dir, "v_contract").withColumn("business_unit_id", F.col("org_profile_id") % 3).withColumn("context_id", F.col("contract_id"))
-    rows = standards.constraint_rows(c, view(spark, sf_dir, "v_knowledge_reference"), _as_of(), by_type=False).filter(flag)
-    return rows.select(F.col("context_id").alias("contract_id"), "clause_type").distinct()
+    c = view(spark, sf_dir, "v_contract").withColumn("business_unit_id", F.col("org_profile_id") % 3)
+    return standards.constrained_types(c, view(spark, sf_dir, "v_knowledge_reference"), _as_of(), flag)
 
 
 _REQUIRED = """req AS (SELECT DISTINCT c.contract_id, r.clause_type FROM v_contract AS c JOIN v_knowledge_reference AS r ON (r.customer_id IS NULL OR r.customer_id = c.customer_id)
