@@ -1,7 +1,7 @@
 """A stored keyword index with block bounds: built once, searched by many queries.
 
-Chunks are dealt into slots of about `SLOT` by a hash of their key. A block holds the postings of one term in one slot: keys in order as gaps
-(numeric keys) with counts and lengths, and the greatest weight among them. A slot's bound for a query is the sum, over the query's terms, of
+Chunks are dealt into slots of about `SLOT` by a hash of their key. A block holds the postings of one term in one slot: keys in order, the first and how far
+the others are from it (numeric keys), with counts and lengths, and the greatest weight among them. A slot's bound for a query is the sum, over the query's terms, of
 idf times that weight; only slots whose bound reaches the query's k-th best score are opened. A first search of each query's most promising slots
 gives a score that the k-th best can't fall below. Scores are BM25; negative ones are handled: a term of negative idf adds nothing to a bound.
 
@@ -13,11 +13,17 @@ gives a score that the k-th best can't fall below. Scores are BM25; negative one
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from contractlake.functions import columns as C
 
@@ -46,6 +52,22 @@ def term_counts(tokens: Column) -> Column:
     return F.when(F.size(tokens) == 0, empty).otherwise(F.transform(F.array(F.array_sort(tokens)), runs)[0])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, slot, number of tokens and `term_counts` of texts in lower case, a few rows at a time."""
+    find = re.compile("[a-z0-9]+").findall
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            found = [find(t) for t in batch.column(2).to_pylist()]
+            counts = [sorted(Counter(t).items()) for t in found]
+            ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+            pairs = [p for c in counts for p in c]
+            entry = pa.StructArray.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int32())], ["term", "tf"])
+            terms = pa.ListArray.from_arrays(pa.array(ends), entry)
+            dl = pa.array(list(map(len, found)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), dl, terms], [*batch.schema.names[:2], "dl", "terms"])
+
+
 def _weight(tf: Column, dl: Column) -> Column:
     """A posting's share of a score, but for the idf: grows with tf, falls with the length."""
     return tf * (F.col("k1") + 1) / (tf + F.col("k1") * (1 - F.col("b") + F.col("b") * dl / F.col("avgdl")))
@@ -55,8 +77,9 @@ def build(chunks: DataFrame, path: str, *, key: str = "chunk_id", slot: int = SL
     """Writes the index of `chunks` (key, text) to `path`. Negative idf becomes `epsilon` times the mean idf; keys are unique."""
     spark = chunks.sparkSession
     slots = max(1, -(-chunks.count() // slot))
-    tokens = chunks.select(key, F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot"), C.tokens(F.col("text")).alias("t"))
-    tokens.select(key, "slot", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms")).write.parquet(f"{path}/docs")
+    slotted = chunks.select(key, F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    schema = StructType([*slotted.schema.fields[:2], *StructType.fromDDL("dl int, terms array<struct<term: string, tf: int>>").fields])
+    slotted.mapInArrow(_counted, schema).write.parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).select("n", "avgdl", F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
     stats.coalesce(1).write.parquet(f"{path}/stats")
@@ -69,7 +92,7 @@ def build(chunks: DataFrame, path: str, *, key: str = "chunk_id", slot: int = SL
     )
     keys = F.transform("p", lambda x: x["key"])
     if dict(docs.dtypes)[key] in _INTEGRAL:
-        keys = F.transform("p", lambda x, i: x["key"] - F.when(i == 0, F.lit(0)).otherwise(F.get("p", i - 1)["key"]))
+        keys = F.transform("p", lambda x, i: x["key"] - F.when(i == 0, F.lit(0)).otherwise(F.get("p", F.lit(0))["key"]))
     blocks = blocks.select("term", "slot", F.size("p").alias("n"), "most", keys.alias("keys"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["dl"]).alias("dls"))
     blocks.sortWithinPartitions("term", "slot").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -103,7 +126,7 @@ def postings(index: Index, blocks: DataFrame | None = None) -> DataFrame:
     blocks = index.blocks.select("term", "slot", "keys", "tfs", "dls") if blocks is None else blocks
     kind, keys = dict(index.docs.dtypes)[index.key], F.col("keys")
     if kind in _INTEGRAL:
-        keys = F.slice(F.aggregate("keys", F.array(F.lit(0).cast("long")), lambda done, gap: F.concat(done, F.array(F.element_at(done, -1) + gap))), F.lit(2), F.size("keys"))
+        keys = F.transform("keys", lambda x, i: F.when(i == 0, x).otherwise(x + F.get("keys", F.lit(0))))
     rest = [c for c in blocks.columns if c not in ("keys", "tfs", "dls")]
     rows = blocks.select(*rest, F.explode(F.arrays_zip(keys.alias("key"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))).alias("p"))
     return rows.select(*rest, F.col("p.key").cast(kind).alias(index.key), "p.tf", "p.dl")
