@@ -41,7 +41,7 @@ LEAST, WORDS, TOP, ABSORBED = 30, 4, 2_000, 80
 #: Units of a level with ranks; pairs a tile is sized for; cells up to which a tile is counted by direct address.
 RANKED, PER_TILE, DENSE = 1 << 19, 2_000_000, 1 << 21
 #: Bytes of text that are tokenised at once; pairs, and distinct words, that a task gathers before it sends them on.
-STRETCH, GATHERED, GATHERED_WORDS = 1 << 21, 1_500_000, 200_000
+STRETCH, GATHERED, GATHERED_WORDS = 1 << 20, 500_000, 100_000
 #: Odd multipliers of the word hash, tried in turn, and of the hash of two neighbours.
 POWERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -182,26 +182,32 @@ def word_counts(docs: DataFrame, power: int) -> DataFrame:
 def rank(units: DataFrame, most: int) -> Ranks:
     """The ranks of the most frequent rows (lang, key, left, right, n), at most `most` of them: their number bounds what the driver and the tasks hold."""
     least = least_count(units, most)
-    rows = units.filter(F.col("n") >= least).select("lang", "key", "left", "right", "n").toPandas()
-    rows = rows.sort_values(["lang", "n", "key"], ascending=[True, False, True]).reset_index(drop=True)
-    langs = sorted(set(rows["lang"]))
+    # Collected as Arrow columns: as Python rows, half a million of them take several hundred bytes each.
+    rows = units.filter(F.col("n") >= least).select("lang", "key", "left", "right", "n").toArrow()
+    named = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(named.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in named.dictionary.to_pylist()], np.int32)
+    codes = place[named.indices.to_numpy(zero_copy_only=False)]
+    n, keys, left, right = (rows.column(c).to_numpy() for c in ("n", "key", "left", "right"))
+    del rows, named
+    order = np.lexsort((keys, -n, codes))
+    codes, n = codes[order], n[order]
+    keys, left, right = (x[order].view(np.uint64) for x in (keys, left, right))
     cuts, starts, bands, ranks = [], [0], [], []
-    for lang in langs:
-        n = rows["n"].to_numpy(float)[rows["lang"] == lang]
-        g = max(1, int(np.ceil(np.sqrt(n.sum() / PER_TILE))))
-        band = np.minimum((np.cumsum(n) - n) / n.sum() * g, g - 1).astype(np.int32)
+    for first, last in zip(np.searchsorted(codes, np.arange(len(langs))), np.searchsorted(codes, np.arange(len(langs)), "right"), strict=True):
+        m = n[first:last].astype(float)
+        g = max(1, int(np.ceil(np.sqrt(m.sum() / PER_TILE))))
+        band = np.minimum((np.cumsum(m) - m) / m.sum() * g, g - 1).astype(np.int32)
         band = np.unique(band, return_inverse=True)[1].astype(np.int32)  # a word heavier than a band leaves some empty
-        cuts.append(np.append(np.flatnonzero(np.diff(band, prepend=-1)), len(n)))
-        starts.append(starts[-1] + len(n))
+        cuts.append(np.append(np.flatnonzero(np.diff(band, prepend=-1)), len(m)))
+        starts.append(starts[-1] + len(m))
         bands.append(band)
-        ranks.append(np.arange(len(n), dtype=np.int64))
-    unsigned = lambda c: rows[c].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(unsigned("key"), kind="stable")
+        ranks.append(np.arange(len(m), dtype=np.int64))
+    order = np.argsort(keys, kind="stable")
     flat = lambda parts, kind: np.concatenate(parts)[order] if parts else np.zeros(0, kind)
-    lang_of = np.repeat(np.arange(len(langs), dtype=np.int32), np.diff(starts))
     return Ranks(
-        unsigned("key")[order], unsigned("left")[order], unsigned("right")[order], flat(ranks, np.int64), flat(bands, np.int32), lang_of[order] if len(order) else lang_of,
-        unsigned("key"), np.array(starts), cuts, langs, least == 1 or units.filter(F.col("n") < least).isEmpty(),
+        keys[order], left[order], right[order], flat(ranks, np.int64), flat(bands, np.int32), codes[order],
+        keys, np.array(starts), cuts, langs, least == 1 or units.filter(F.col("n") < least).isEmpty(),
     )
 
 

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import pandas as pd
@@ -156,3 +157,22 @@ def test_words_longer_than_a_span():
     assert [text[s:e] for s, e in zip(starts[:4], ends[:4])] == [b"ab", b"x" * (phrases._SPAN + 10), b"ab", b"cd"]
     assert keys[0] == keys[2] != keys[1] and len(set(keys[4:].tolist())) == 1 and piece[2] + 1 == piece[3]
     assert math.isclose(len(keys), 4 + phrases._SPAN)
+
+
+def test_ranks_are_collected_without_python_rows(spark):
+    """The driver holds a ranked unit's few numbers, no row objects."""
+    n = 20_000
+    pick = F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang")
+    units = spark.range(n).select(pick, F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(1)).alias("left"), F.xxhash64("id", F.lit(2)).alias("right"), (F.col("id") % 40 + 30).alias("n"))
+    phrases.rank(units.limit(10), n)  # what the first call loads is not counted
+    tracemalloc.start()
+    ranks = phrases.rank(units, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 * n
+    rows = {r["key"] % 2**64: (r["lang"], r["left"] % 2**64, r["n"]) for r in units.collect()}
+    assert ranks.langs == ["de", "en"] and len(ranks.keys) == n and (ranks.keys[:-1] < ranks.keys[1:]).all()
+    assert all(rows[k][:2] == (ranks.langs[i], left) for k, i, left in zip(ranks.keys.tolist(), ranks.lang.tolist(), ranks.left.tolist()))
+    for first, last in zip(ranks.starts[:-1], ranks.starts[1:]):
+        counts = [rows[k][2] for k in ranks.by_rank[first:last].tolist()]
+        assert counts == sorted(counts, reverse=True)
