@@ -101,6 +101,16 @@ def contract_edges(documents: DataFrame, parties: DataFrame) -> DataFrame:
     return made.unionByName(sold).distinct().unionByName(edge(held, "contract_id", "HAS_PARTY", "name", F.col("role")))
 
 
+def shared_ends(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) into nodes that several sources share; no other node lies between two sources.
+
+    Ends meet by a hash in aggregates of two bounds, so an end of many sources stays small. Ends that share a hash may stay too.
+    """
+    edges = edges.select("src", "dst", F.xxhash64("dst").alias("end")).dropna()
+    shared = edges.groupBy("end").agg(F.min("src").alias("low"), F.max("src").alias("high")).filter("low < high").select("end")
+    return edges.join(shared, "end", "left_semi").select("src", "dst")
+
+
 def reachable(starts: DataFrame, edges: DataFrame, *, most: int | None = None, direction: str = "out") -> DataFrame:
     """origin, node, hops: each node that paths of any length (or of `most` hops) reach from the starts of an origin, by the fewest hops.
 

@@ -138,9 +138,13 @@ def g7(spark, sf_dir):
     SELECT origin, c AS contract_id, min(hops) // 2 AS links FROM walk GROUP BY 1, 2"""),
 )
 def g7_linked(spark, sf_dir):
-    """Contracts within four links of a large contract of a jurisdiction; contracts are linked by a part of the same supplier, through that part's node."""
-    ends = F.split("clause_id", "-")
-    edges = view(spark, sf_dir, "v_clause").select(F.concat(F.lit("c"), F.col("contract_id").cast("string")).alias("src"), F.concat_ws("-", ends[2], ends[3]).alias("dst"))
+    """Contracts within four links of a large contract of a jurisdiction; contracts are linked by a part of the same supplier, through that part's node.
+
+    Most parts of a supplier are in one contract: they link nothing, and are dropped before the walk. Contracts become names after that.
+    """
+    part = F.substring_index(F.substring_index("clause_id", "-", 4), "-", -2)  # its third and fourth number
+    held = view(spark, sf_dir, "v_clause").select(F.col("contract_id").alias("src"), part.alias("dst"))
+    edges = graph.shared_ends(held).select(F.concat(F.lit("c"), F.col("src").cast("string")).alias("src"), "dst")
     large = view(spark, sf_dir, "v_contract").filter("monetary_value > 400000")
     starts = large.select(F.col("jurisdiction_id").alias("origin"), F.concat(F.lit("c"), F.col("contract_id").cast("string")).alias("node"))
     found = graph.reachable(starts, edges, most=8, direction="both").filter(F.col("node").startswith("c"))

@@ -162,3 +162,17 @@ def test_reachable_of_nothing(spark):
     assert graph.reachable(none, spark.createDataFrame([(1, 2)], "src int, dst int")).count() == 0
     one = spark.createDataFrame([(1, 7)], "origin int, node int")
     assert [tuple(r) for r in graph.reachable(one, spark.createDataFrame([], "src int, dst int"), direction="both").collect()] == [(1, 7, 0)]
+
+
+def test_parts_of_one_contract_are_dropped_before_the_walk(spark, sf_dir, monkeypatch):
+    from contractlake.operators import graph
+    from contractlake.plans import queries
+
+    seen = []
+    plain = graph.reachable
+    monkeypatch.setattr(graph, "reachable", lambda starts, edges, **more: seen.append(edges) or plain(starts, edges, **more))
+    queries.QUERIES["g7_linked_contracts"](spark, sf_dir)
+    ends = seen[0].distinct().groupBy("dst").count()
+    assert ends.filter("count < 2").isEmpty()
+    held = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "b"), (None, "a"), (4, None)], "src long, dst string")
+    assert sorted(map(tuple, graph.shared_ends(held).collect())) == [(2, "b"), (3, "b")]
