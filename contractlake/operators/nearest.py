@@ -4,7 +4,9 @@ At most `PIVOTS` vectors, those with the smallest hash of their id, are pivots;
 the largest angle in it. No vector of a cell is closer to a query than the query's angle to the pivot less the radius. Each query first searches its
 own cell, which leaves it a score to beat (`least`, where there is one, needs no such search); after that a query is sent only to the cells whose
 bound reaches that score. Cells are cut into blocks and the queries of a cell into batches; block and batch meet in one matrix product. Pruning works on
-vectors that cluster; on vectors without structure every query meets every cell, as it must.
+vectors that cluster. On vectors without structure every query meets every cell, as it must: where the bound leaves some queries more than `WORTH` of all
+pairs, cells are left aside and large batches meet large blocks, so that a vector is sent once a block and not once a cell. Products are taken in single
+precision; only pairs within its error of the score that counts are taken again in double precision, which decides.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from contractlake.session import shared_path
 
 #: Most pivots; vectors of a block and queries of a batch; what rounding may add to a bound.
 PIVOTS, BLOCK, BATCH, SLACK = 1_024, 8_192, 4_096, 1e-6
+#: Most vectors of a block and queries of a batch without cells; share of the pairs below which cells are worth it; queries that tell this share.
+SIDE, WORTH, TOLD = 32_768, 0.2, 2_000
 
 
 class Cells(NamedTuple):
-    """Pivots (unit rows) and the radius of each cell; cells without vectors have radius -1. The last cell holds vectors of length 0."""
+    """Pivots (unit rows) and the radius of each cell; cells without vectors have radius -1. The last cell holds vectors of length 0 and those with a component that is no finite number."""
 
     pivots: np.ndarray
     radius: np.ndarray
@@ -48,7 +52,8 @@ def _stage(df: DataFrame, name: str) -> DataFrame:
 def cells_of(vectors: DataFrame, most: int = PIVOTS) -> tuple[DataFrame, Cells]:
     """`vectors` (id, v, ...) with `cell`, written; and the cells. The driver sees pivots and one row a cell."""
     n = min(most, max(1, int(vectors.count() ** 0.5)))
-    some = vectors.filter(F.exists("v", lambda x: x != 0)).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n).toPandas()
+    whole = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    some = vectors.filter(F.exists("v", lambda x: x != 0) & whole).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n).toPandas()
     pivots = np.unique(_units(some["v"]), axis=0) if len(some) else np.zeros((0, 0))
 
     @F.pandas_udf("cell int, angle double")
@@ -56,8 +61,9 @@ def cells_of(vectors: DataFrame, most: int = PIVOTS) -> tuple[DataFrame, Cells]:
         units = _units(v)
         if not len(pivots):
             return pd.DataFrame({"cell": 0, "angle": np.pi}, index=range(len(units)))
-        angles = _angles(units, pivots)
-        cell, none = angles.argmin(axis=1), ~units.any(axis=1)
+        none = ~units.any(axis=1) | ~np.isfinite(units).all(axis=1)
+        angles = _angles(np.where(none[:, None], 0.0, units), pivots)
+        cell = angles.argmin(axis=1)
         return pd.DataFrame({"cell": np.where(none, len(pivots), cell).astype(np.int32), "angle": np.where(none, np.pi, angles[np.arange(len(units)), cell])})
 
     placed = _stage(vectors.withColumn("p", place("v")).select(*vectors.columns, "p.cell", "p.angle"), "cells")
@@ -90,10 +96,42 @@ def wanted_cells(queries: DataFrame, cells: Cells, *, own: bool = False) -> Data
     return queries.withColumn("cell", F.explode(meet("v", F.col("beat").cast("double"))))
 
 
-def _products(asked: DataFrame, placed: DataFrame, k: int, *, least: float | None, apart: bool, block: int, digits: int) -> DataFrame:
-    """query_id, found, score: of each batch of queries the k best in each block of their cells."""
+def _best_pairs(q: np.ndarray, c: np.ndarray, k: int, least: float | None, digits: int, barred=None, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of `q`, rows of `c`, cosines: for each row of `q` (unit rows, as those of `c`) the k best of `c`, ties to the first.
+
+    `barred(i, j)`: pairs left out; `single`: `c` in single precision.
+    """
+    slack = (q.shape[1] + 8) * 2.0**-22 + 2 * 10.0**-digits
+    s = q.astype(np.float32) @ (c.astype(np.float32) if single is None else single).T
+    edge = np.float32(-9.0 if least is None else least - slack)
+    near = np.flatnonzero(s >= edge) if least is not None else None
+    if len(c) > k and (least is None or len(near) > max(64, 8 * k) * len(q)):
+        if barred is not None:
+            s[barred(np.arange(len(q))[:, None], np.arange(len(c))[None])] = -np.inf
+        edge = np.maximum(edge, np.partition(s, len(c) - k, axis=1)[:, [len(c) - k]] - np.float32(2 * slack))
+        near = None
+    i, j = np.divmod(np.flatnonzero(s >= edge) if near is None else near, len(c))
+    if barred is not None:
+        free = ~barred(i, j)
+        i, j = i[free], j[free]
+    exact = np.empty(len(i))
+    for at in range(0, len(i), 1 << 17):
+        some = slice(at, at + (1 << 17))
+        exact[some] = np.einsum("nd,nd->n", q[i[some]], c[j[some]])
+    exact = np.round(exact, digits) + 0.0  # no negative zeros
+    if least is not None:
+        good = exact >= least
+        i, j, exact = i[good], j[good], exact[good]
+    order = np.lexsort((j, -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], exact[first]
+
+
+def _products(asked: DataFrame, placed: DataFrame, k: int, *, least: float | None, apart: bool, block: int, digits: int, batch: int = BATCH, parts: int | None = None) -> DataFrame:
+    """query_id, found, score: of each batch of queries the k best in each block of their cells. `parts`: into how many tasks they are dealt."""
     blocks = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_block"))
-    batches = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("n_batch"))
+    batches = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("n_batch"))
     sizes = F.broadcast(blocks.join(batches, "cell"))  # one row a cell, at most PIVOTS + 1
     side = lambda df, own, other: df.join(sizes, "cell").select(
         "id", "v", "g", "cell", F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other)
@@ -104,24 +142,20 @@ def _products(asked: DataFrame, placed: DataFrame, k: int, *, least: float | Non
         empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "found": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(q) or not len(c):
             return empty
-        c = c.sort_values("id")  # the stable sort below then gives ties to the smaller id
-        cu, ids, groups = _units(c["v"]), c["id"].to_numpy(), c["g"].to_numpy(float)
-        out = []
-        for at in range(0, len(q), 512):
-            part = q.iloc[at : at + 512]
-            s = np.round(_units(part["v"]) @ cu.T, digits) + 0.0  # no negative zeros
-            if apart:
-                s[part["g"].to_numpy(float)[:, None] == groups[None]] = -np.inf
-                s[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-            if least is not None:
-                s[s < least] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
-            good = np.isfinite(s[rows, cols])
-            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[rows[good]], "found": ids[cols[good]], "score": s[rows[good], cols[good]]}))
+        c = c.sort_values("id")  # ties go to the smaller id
+        whole = lambda df, units: (df["id"].to_numpy()[good := np.isfinite(units).all(axis=1)], df["g"].to_numpy(float)[good], units[good])
+        (ids, groups, cu), (asks, own, qu) = whole(c, _units(c["v"])), whole(q, _units(q["v"]))
+        out, single, step = [], cu.astype(np.float32), max(64, (1 << 22) // max(len(ids), 1))
+        for at in range(0, len(asks) if len(ids) else 0, step):
+            mine, g = asks[at : at + step], own[at : at + step]
+            barred = (lambda i, j, mine=mine, g=g: (g[i] == groups[j]) | (mine[i] == ids[j])) if apart else None
+            i, j, score = _best_pairs(qu[at : at + step], cu, k, least, digits, barred, single)
+            out.append(pd.DataFrame({"query_id": mine[i], "found": ids[j], "score": score}))
         return pd.concat(out) if out else empty
 
     keys = ("cell", "block", "batch")
+    if parts is not None:  # dealt by number, so that adaptive execution does not put products of small inputs into one task
+        left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, found long, score double")
 
 
@@ -145,6 +179,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | No
 
     `apart`: pairs of one id, or of equal g, are left out. Scores are rounded to `digits` before they are compared.
     """
+    n_vectors, n_queries = vectors.count(), queries.count()
     placed, cells = cells_of(vectors, pivots)
+    some = wanted_cells(score_to_beat(queries.limit(TOLD), placed, cells, k, least=least, apart=apart, block=block, digits=digits), cells)
+    met = some.groupBy("cell").count().join(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held")), "cell").agg(F.sum(F.col("count") * F.col("held"))).first()[0]
+    if (met or 0) > WORTH * min(n_queries, TOLD) * n_vectors:
+        size = lambda n, least_size: int(min(max(SIDE, least_size), max(least_size, -(-n // 8))))
+        side, batch = size(n_vectors, min(block, 1_024)), size(n_queries, 1_024)
+        parts = min(2_000, 2 * -(-n_vectors // side) * -(-n_queries // batch))
+        one = lambda df: df.select("id", "v", "g", F.lit(0).alias("cell"))
+        return best_of(_products(one(_stage(queries, "asked")), one(placed), k, least=least, apart=apart, block=side, digits=digits, batch=batch, parts=parts), k)
     asked = wanted_cells(score_to_beat(queries, placed, cells, k, least=least, apart=apart, block=block, digits=digits), cells)
     return best_of(_products(_stage(asked, "asked"), placed, k, least=least, apart=apart, block=block, digits=digits), k)

@@ -54,3 +54,25 @@ def test_nearest_of_few_and_of_none(spark):
     one = spark.createDataFrame([(1, [0.0, 0.0], None), (2, [1.0, 0.0], None)], SCHEMA)
     assert nearest.nearest(one, none, 3).count() == 0 and nearest.nearest(none, one, 3).count() == 0
     assert rows_of(nearest.nearest(one, one, 3)) == {1: [1, 2], 2: [2, 1]}
+
+
+@pytest.mark.parametrize(("least", "apart"), [(None, False), (None, True), (0.4, True), (-0.5, True)])
+def test_vectors_without_structure_are_sent_once_a_block(spark, monkeypatch, least, apart):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 16))
+    x[5], x[40:60] = 0, x[39]
+    groups = [i % 7 for i in range(len(x))]
+    table = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, groups))], SCHEMA)
+    sent = []
+    plain = nearest._products
+    monkeypatch.setattr(nearest, "_products", lambda asked, *a, **b: sent.append(asked.count()) or plain(asked, *a, **b))
+    found = rows_of(nearest.nearest(table, table, 5, least=least, apart=apart, block=256))
+    assert found == by_loop(x, range(len(x)), 5, least, groups if apart else None)
+    assert sent[-1] == len(x)
+
+
+def test_vectors_with_missing_numbers_take_no_place(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [float("nan"), 1.0], None), (3, [0.6, 0.8], None)], SCHEMA)
+    i, j, score = nearest._best_pairs(np.eye(3), np.eye(3), 1, None, 9)
+    assert i.tolist() == j.tolist() == [0, 1, 2] and score.tolist() == [1, 1, 1]
+    assert rows_of(nearest.nearest(table.filter("id = 1"), table, 3)) == {1: [1, 3]}
