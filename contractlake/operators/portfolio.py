@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from contractlake.functions import columns as C
 
 LEAST_DAYS = 15
+#: Clauses that one task of `term_spread` is meant for.
+PER_TASK = 250_000
 
 
 def with_term(clauses: DataFrame) -> DataFrame:
@@ -48,10 +50,18 @@ def scopes_of_several(contracts: DataFrame, scope: list[str], least: int = 2) ->
     return contracts.join(large.select(*scope), scope, "left_semi")
 
 
-def term_spread(clauses: DataFrame, *, scope: str) -> DataFrame:
-    """Least and greatest duration, their spread and the number of contracts of each scope and type: linear where pairs are not."""
-    terms = named_terms(clauses)
-    return terms.groupBy(scope, "clause_type").agg(
-        F.min("days").alias("min_days"), F.max("days").alias("max_days"), (F.max("days") - F.min("days")).alias("spread_days"),
-        F.count_distinct("contract_id").alias("n_contracts"),
+def term_spread(clauses: DataFrame, *, scope: str, contracts: DataFrame | None = None) -> DataFrame:
+    """Least and greatest duration, their spread and the number of contracts of each scope and type: linear where pairs are not.
+
+    `contracts` (contract_id, scope): where the clauses do not hold their scope. Durations are taken before anything is dealt; clauses are then dealt by
+    contract into tasks of about `PER_TASK`, whose number grows with the table, and each contract is one row of its scope and type after that.
+    """
+    parts = max(1, -(-clauses.count() // PER_TASK))
+    terms = named_terms(clauses).select(*([] if contracts is not None else [scope]), "contract_id", "clause_type", "days").repartition(parts, "contract_id")
+    if contracts is not None:
+        terms = terms.join(contracts.select("contract_id", scope).repartition(parts, "contract_id"), "contract_id")
+    each = terms.groupBy(scope, "clause_type", "contract_id").agg(F.min("days").alias("low"), F.max("days").alias("high"))
+    return each.groupBy(scope, "clause_type").agg(
+        F.min("low").alias("min_days"), F.max("high").alias("max_days"), (F.max("high") - F.min("low")).alias("spread_days"),
+        F.count("contract_id").alias("n_contracts"),
     )

@@ -47,7 +47,7 @@ def j3(spark, sf_dir):
 
 @register("j4_term_spread", oracle(f"WITH {DAYS}, {SCOPED} SELECT counterparty_id, clause_type, min(longest) AS min_days, max(longest) AS max_days, max(longest) - min(longest) AS spread_days, count(DISTINCT contract_id) AS n_contracts FROM scoped GROUP BY 1, 2"))
 def j4(spark, sf_dir):
-    return portfolio.term_spread(_scoped(spark, sf_dir), scope="counterparty_id")
+    return portfolio.term_spread(view(spark, sf_dir, "v_clause"), scope="counterparty_id", contracts=view(spark, sf_dir, "v_contract"))
 
 
 SAME = f"""sims AS (SELECT a.clause_id AS src, b.clause_id AS dst, round({sql_cosine('a.embedding', 'b.embedding')}, 9) AS similarity
