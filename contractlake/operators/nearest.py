@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contractlake.session import shared_path
+from contractlake.session import staged
 
 #: Most pivots; vectors of a block and queries of a batch; what rounding may add to a bound.
 PIVOTS, BLOCK, BATCH, SLACK = 1_024, 8_192, 4_096, 1e-6
@@ -43,12 +43,6 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
-def _stage(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def cells_of(vectors: DataFrame, most: int = PIVOTS) -> tuple[DataFrame, Cells]:
     """`vectors` (id, v, ...) with `cell`, written; and the cells. The driver sees pivots and one row a cell."""
     n = min(most, max(1, int(vectors.count() ** 0.5)))
@@ -66,7 +60,7 @@ def cells_of(vectors: DataFrame, most: int = PIVOTS) -> tuple[DataFrame, Cells]:
         cell = angles.argmin(axis=1)
         return pd.DataFrame({"cell": np.where(none, len(pivots), cell).astype(np.int32), "angle": np.where(none, np.pi, angles[np.arange(len(units)), cell])})
 
-    placed = _stage(vectors.withColumn("p", place("v")).select(*vectors.columns, "p.cell", "p.angle"), "cells")
+    placed = staged(vectors.withColumn("p", place("v")).select(*vectors.columns, "p.cell", "p.angle"), "cells")
     radius = np.full(len(pivots) + 1, -1.0)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
         radius[r["cell"]] = r["radius"]
@@ -188,6 +182,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | No
         side, batch = size(n_vectors, min(block, 1_024)), size(n_queries, 1_024)
         parts = min(2_000, 2 * -(-n_vectors // side) * -(-n_queries // batch))
         one = lambda df: df.select("id", "v", "g", F.lit(0).alias("cell"))
-        return best_of(_products(one(_stage(queries, "asked")), one(placed), k, least=least, apart=apart, block=side, digits=digits, batch=batch, parts=parts), k)
+        return best_of(_products(one(staged(queries, "asked")), one(placed), k, least=least, apart=apart, block=side, digits=digits, batch=batch, parts=parts), k)
     asked = wanted_cells(score_to_beat(queries, placed, cells, k, least=least, apart=apart, block=block, digits=digits), cells)
-    return best_of(_products(_stage(asked, "asked"), placed, k, least=least, apart=apart, block=block, digits=digits), k)
+    return best_of(_products(staged(asked, "asked"), placed, k, least=least, apart=apart, block=block, digits=digits), k)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from contractlake.functions import columns as C
 from contractlake.operators import nearest, search_index
-from contractlake.session import shared_path
+from contractlake.session import shared_path, staged
 
 
 def metadata_filter(*, contract_type: str | None = None, country: str | None = None, effective_from: int | None = None,
@@ -184,6 +184,11 @@ def rerank(candidates: DataFrame, k: int, *, score: Column | None = None, key: s
     return top_k(scored, k, key=key)
 
 
+def candidate_lists(queries: DataFrame, chunks: DataFrame, k: int, *, key: str = "chunk_id", digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k best by cosine and by BM25. Both sides are read many times: give them as written tables, not as joins."""
+    return blocked_top_k(queries, chunks, k, key=key), sparse_top_k(queries, chunks, k, key=key, digits=digits, zero_rows=True)
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, *, alpha: float | Column = 0.4, fusion: str = "convex", first: int = 20, fused: int = 15, final: int = 6,
            where: Column | None = None, post: Column | None = None, key: str = "chunk_id", digits: int | None = None) -> DataFrame:
     """Dense and sparse candidates of the chunks that pass `where`, fused, cut, filtered by `post`, reranked.
@@ -192,10 +197,10 @@ def hybrid(queries: DataFrame, chunks: DataFrame, *, alpha: float | Column = 0.4
     products of blocks; chunks without a shared term stay eligible at score 0 on the sparse side.
     `fusion` is "convex" (weighted normalised scores) or "rrf" (reciprocal ranks).
     """
-    dense = blocked_top_k(queries, chunks, first, where=where, key=key)
-    sparse = sparse_top_k(queries, chunks, first, where=where, key=key, digits=digits, zero_rows=True)
     if fusion not in ("convex", "rrf"):
         raise ValueError(f"unknown fusion {fusion!r}")
+    queries, chunks = staged(queries, "queries"), staged(chunks if where is None else chunks.filter(where), "chunks")
+    dense, sparse = candidate_lists(queries, chunks, first, key=key, digits=digits)
     both = fuse_convex(dense, sparse, alpha, key=key) if fusion == "convex" else fuse_ranks([dense, sparse], key=key)
     cut = top_k(both, fused, key=key, digits=digits).select("query_id", key)
     rows = cut.join(queries.select("query_id", "query"), "query_id").join(chunks.drop("embedding"), key)

@@ -4,6 +4,8 @@ Chunks are dealt into slots of about `SLOT` by a hash of their key. A block hold
 the others are from it (numeric keys), with counts and lengths, and the greatest weight among them. A slot's bound for a query is the sum, over the query's terms, of
 idf times that weight; only slots whose bound reaches the query's k-th best score are opened. A first search of each query's most promising slots
 gives a score that the k-th best can't fall below. Scores are BM25; negative ones are handled: a term of negative idf adds nothing to a bound.
+Runs of slots meet batches of queries in groups, where the postings of a slot and the weights of the queries that open it make one matrix product;
+only the k best of each query leave a group, so no posting becomes a row.
 
     <path>/docs     key, slot, dl, terms (array of struct<term, tf>): each text is tokenised once
     <path>/blocks   term, slot, n, most, keys, tfs, dls
@@ -20,15 +22,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from contractlake.functions import columns as C
+from contractlake.session import staged
 
 #: Chunks a slot; slots of each query that are searched first.
 SLOT, FIRST = 64, 8
+#: Slots of a run and queries of a batch, which meet in one group; most tasks that groups are dealt into.
+RUN, BATCH, TASKS = 8, 256, 2_000
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -68,9 +74,48 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), dl, terms], [*batch.schema.names[:2], "dl", "terms"])
 
 
-def _weight(tf: Column, dl: Column) -> Column:
+def _weight(tf: np.ndarray, dl: np.ndarray, avgdl: float, k1: float, b: float) -> np.ndarray:
     """A posting's share of a score, but for the idf: grows with tf, falls with the length."""
-    return tf * (F.col("k1") + 1) / (tf + F.col("k1") * (1 - F.col("b") + F.col("b") * dl / F.col("avgdl")))
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def _entries(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each entry of a column of lists, and the entries."""
+    lists = pa.concat_arrays(lists.chunks)
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _blocks_of(key: str, kind: str, avgdl: float, k1: float, b: float):
+    """The function that makes the blocks of one slot from its rows of docs."""
+
+    def blocks(docs: pa.Table) -> pa.Table:
+        docs = docs.sort_by(key)
+        row, entry = _entries(docs["terms"])
+        terms = entry.field("term").dictionary_encode()
+        code = _numbers(terms.indices)
+        order = np.argsort(code, kind="stable")  # rows ascend by key, so a term's do
+        code, row, tf = code[order], row[order], _numbers(entry.field("tf"))[order]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        sizes = np.diff(starts, append=len(code))
+        dl = _numbers(docs["dl"])[row]
+        keys = pa.concat_arrays(docs[key].chunks).take(pa.array(row))
+        if kind in _INTEGRAL:
+            far = _numbers(keys).copy()
+            first = np.repeat(far[starts], sizes)
+            first[starts] = 0
+            keys = pa.array(far - first, keys.type)
+        most = np.maximum.reduceat(_weight(tf, dl, avgdl, k1, b), starts) if len(starts) else np.zeros(0)
+        offsets = pa.array(np.append(starts, len(code)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys, pa.array(tf, pa.int32()), pa.array(dl, pa.int32()))]
+        slot = pa.array(np.full(len(starts), docs["slot"][0].as_py()), pa.int32())
+        columns = [terms.dictionary.take(pa.array(code[starts])), slot, pa.array(sizes, pa.int32()), pa.array(most), *lists]
+        return pa.Table.from_arrays(columns, ["term", "slot", "n", "most", "keys", "tfs", "dls"])
+
+    return blocks
 
 
 def build(chunks: DataFrame, path: str, *, key: str = "chunk_id", slot: int = SLOT, epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Index:
@@ -85,15 +130,9 @@ def build(chunks: DataFrame, path: str, *, key: str = "chunk_id", slot: int = SL
     stats.coalesce(1).write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
     # Whole rows are dealt by slot; a slot's postings never leave it, and no term gathers anywhere.
-    rows = docs.repartition("slot").select("slot", key, "dl", F.explode("terms").alias("p")).crossJoin(F.broadcast(stats))  # one row
-    posting = F.struct(F.col(key).alias("key"), F.col("p.tf").alias("tf"), "dl")
-    blocks = rows.groupBy("slot", F.col("p.term").alias("term")).agg(
-        F.array_sort(F.collect_list(posting)).alias("p"), F.max(_weight(F.col("p.tf"), F.col("dl"))).alias("most"),
-    )
-    keys = F.transform("p", lambda x: x["key"])
-    if dict(docs.dtypes)[key] in _INTEGRAL:
-        keys = F.transform("p", lambda x, i: x["key"] - F.when(i == 0, F.lit(0)).otherwise(F.get("p", F.lit(0))["key"]))
-    blocks = blocks.select("term", "slot", F.size("p").alias("n"), "most", keys.alias("keys"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["dl"]).alias("dls"))
+    kind, one = dict(docs.dtypes)[key], stats.first()
+    make = _blocks_of(key, kind, one["avgdl"], one["k1"], one["b"])
+    blocks = docs.groupBy("slot").applyInArrow(make, f"term string, slot int, n int, most double, keys array<{kind}>, tfs array<int>, dls array<int>")
     blocks.sortWithinPartitions("term", "slot").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     raw = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(stats.select("n")))
@@ -132,26 +171,95 @@ def postings(index: Index, blocks: DataFrame | None = None) -> DataFrame:
     return rows.select(*rest, F.col("p.key").cast(kind).alias(index.key), "p.tf", "p.dl")
 
 
-def slot_scores(asked: DataFrame, slots: DataFrame | None, index: Index) -> DataFrame:
-    """query_id, key, score of the chunks that share a term with the query, in the slots (query_id, slot) given; None: in all."""
-    blocks = index.blocks.select("term", "slot", "keys", "tfs", "dls")
-    hits = blocks.join(asked, "term") if slots is None else blocks.join(asked.join(slots.select("query_id", "slot"), "query_id"), ["term", "slot"])
-    rows = postings(index, hits.drop("term", "slot")).crossJoin(F.broadcast(index.stats.drop("n")))  # one row
-    return rows.groupBy("query_id", index.key).agg(F.sum(F.col("weight") * _weight(F.col("tf"), F.col("dl"))).alias("score"))
-
-
-def _best(scores: DataFrame, k: int, key: str, digits: int | None) -> DataFrame:
-    score = F.round("score", digits) if digits is not None else F.col("score")
+def _scores_of(key: str, kind: str, k: int | None, digits: int | None, avgdl: float, k1: float, b: float):
+    """The function that scores a run of slots for a batch of queries: all chunks that share a term, or the k best of each query."""
+
+    def scores(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, terms = pa.concat_arrays(queries["query_id"].chunks or [pa.nulls(0)]), pa.concat_arrays(blocks["term"].chunks or [pa.nulls(0)])
+        found_key, found_query, found = [], [], []
+        if len(ids) and len(terms):
+            vocabulary = terms.unique()
+            code, slots = _numbers(terms.dictionary_encode().indices), _numbers(blocks["slot"])
+            row, key_of = _entries(blocks["keys"])
+            if kind in _INTEGRAL:
+                far = _numbers(key_of).copy()
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                first = np.repeat(far[starts], np.diff(starts, append=len(row)))
+                first[starts] = 0
+                key_of = pa.array(far + first, key_of.type)
+            weight = _weight(*(_numbers(_entries(blocks[c])[1]).astype(float) for c in ("tfs", "dls")), avgdl, k1, b)
+            query, entry = _entries(queries["terms"])
+            asked = _numbers(pc.fill_null(pc.index_in(entry.field("term"), vocabulary), -1))
+            query, entry_weight, asked = query[asked >= 0], _numbers(entry.field("weight"))[asked >= 0], asked[asked >= 0]
+            opener, opened = _entries(queries["slots"])
+            opened = _numbers(opened)
+            of_slot = slots[row]
+            for slot in np.unique(opened):
+                here, open_ = np.flatnonzero(of_slot == slot), np.unique(opener[opened == slot])
+                if not len(here):
+                    continue
+                chunks = key_of.take(pa.array(here)).dictionary_encode()
+                held, term = np.unique(code[row[here]], return_inverse=True)
+                place, column = np.full(len(vocabulary), -1), np.full(len(ids), -1)
+                place[held], column[open_] = np.arange(len(held)), np.arange(len(open_))
+                meet = (place[asked] >= 0) & (column[query] >= 0)
+                left, right = np.zeros((len(chunks.dictionary), len(held))), np.zeros((len(held), len(open_)))
+                left[_numbers(chunks.indices), term] = weight[here]
+                at = place[asked[meet]], column[query[meet]]
+                right[at] = entry_weight[meet]
+                there = np.zeros(right.shape, np.float32)
+                there[at] = 1
+                i, j = np.nonzero((left > 0).astype(np.float32) @ there)
+                found_key.append(chunks.dictionary.take(pa.array(i)))
+                found_query.append(open_[j])
+                found.append((left @ right)[i, j])
+        if not found:
+            return pa.Table.from_arrays([queries["query_id"].slice(0, 0), blocks["keys"].slice(0, 0).combine_chunks().flatten(), pa.array([], pa.float64())], ["query_id", key, "score"])
+        keys, query, score = pa.concat_arrays(found_key), np.concatenate(found_query), np.concatenate(found)
+        if digits is not None:
+            score = np.copysign(np.floor(np.abs(score) * 10.0**digits + 0.5), score) / 10.0**digits + 0.0
+        if k is not None:
+            order = np.lexsort((np.argsort(_numbers(pc.sort_indices(keys))), -score, query))
+            query = query[order]
+            order = order[np.arange(len(order)) - np.searchsorted(query, query) < k]
+            keys, query, score = keys.take(pa.array(order)), np.concatenate(found_query)[order], score[order]
+        return pa.Table.from_arrays([ids.take(pa.array(query)), keys, pa.array(score)], ["query_id", key, "score"])
+
+    return scores
+
+
+def slot_scores(asked: DataFrame, slots: DataFrame, index: Index, k: int | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, key, score of the chunks that share a term with the query, in the slots (query_id, slot) given.
+
+    With `k` each group of slots gives no more than the k best of a query, ties to the smaller key.
+    """
+    one, key, kind = index.stats.first(), index.key, dict(index.docs.dtypes)[index.key]
+    runs = max(1, -(-one["n"] // (SLOT * RUN)))
+    batches = max(1, -(-asked.select("query_id").distinct().count() // BATCH))
+    run = F.pmod(F.col("slot"), F.lit(runs)).alias("run")
+    terms = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    openers = slots.select("query_id", run, "slot").groupBy("query_id", "run").agg(F.collect_list("slot").alias("slots")).join(terms, "query_id")
+    openers = openers.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
+    blocks = index.blocks.select("term", "slot", run, "keys", "tfs", "dls").join(asked.select("term").distinct(), "term", "left_semi")
+    blocks = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    # Dealt by number: blocks are small for the work that they make, and adaptive execution would put them into one task.
+    keys, tasks = ("run", "batch"), min(TASKS, runs * batches)
+    left, right = (df.repartition(tasks, *keys).groupBy(*keys) for df in (blocks, openers))
+    score = _scores_of(key, kind, k, digits, one["avgdl"], one["k1"], one["b"])
+    return left.cogroup(right).applyInArrow(score, f"query_id {dict(asked.dtypes)['query_id']}, {key} {kind}, score double")
+
+
+def _best(scores: DataFrame, k: int, key: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scores.withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def open_slots(asked: DataFrame, index: Index, k: int, *, digits: int | None = None, first: int = FIRST) -> DataFrame:
     """query_id, slot, bound, opened: every slot that shares a term with a query, and whether its bound reaches the score to beat."""
-    bounds = slot_bounds(asked, index)
+    bounds = staged(slot_bounds(asked, index), "bounds")
     turn = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "slot"))
     early = bounds.withColumn("turn", turn).filter(F.col("turn") <= first)
-    known = _best(slot_scores(asked, early, index), k, index.key, None).filter(F.col("rank") == k).select("query_id", F.col("score").alias("to_beat"))
+    known = _best(slot_scores(asked, early, index, k), k, index.key).filter(F.col("rank") == k).select("query_id", F.col("score").alias("to_beat"))
     margin = 1e-9 if digits is None else 1.5 * 10.0**-digits  # scores that round to the same tie
     return bounds.join(known, "query_id", "left").select("query_id", "slot", "bound", (F.col("to_beat").isNull() | (F.col("bound") >= F.col("to_beat") - margin)).alias("opened"))
 
@@ -161,19 +269,22 @@ def search(queries: DataFrame, index: Index, k: int, *, digits: int | None = Non
 
     With `zero_rows` chunks that share no term count 0 and fill up, by key; those of negative score stand behind them.
     """
-    asked, key = asked_terms(queries, index), index.key
-    slots = open_slots(asked, index, k, digits=digits, first=first).filter("opened")
-    best = _best(slot_scores(asked, slots, index), k, key, digits)
+    asked, key = staged(asked_terms(queries, index), "asked-terms"), index.key
+    slots = staged(open_slots(asked, index, k, digits=digits, first=first), "open-slots")
+    best = staged(_best(slot_scores(asked, slots.filter("opened"), index, k, digits), k, key), "best")
     if not zero_rows:
         return best
     above = best.filter("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
-    short = queries.select("query_id").distinct().join(above, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id")
-    scored = slot_scores(asked.join(short, "query_id", "left_semi"), None, index)
+    short = staged(queries.select("query_id").distinct().join(above, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id"), "short")
+    if short.isEmpty():
+        return best
+    few = lambda df: df.join(short, "query_id", "left_semi")
+    scored = staged(slot_scores(few(asked), few(slots), index, None, digits), "short-scores")
     # Among the first m + k keys at least k share no term with a query of m hits: as many keys a query as it has hits, no more.
     counts = short.join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left")
     wanted = counts.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(0)) + F.lit(k - 1))).alias("place"))
     fillers = wanted.join(_places(index), "place").select("query_id", key).join(scored.select("query_id", key), ["query_id", key], "left_anti")
-    filled = _best(scored.unionByName(fillers.withColumn("score", F.lit(0.0))), k, key, digits)
+    filled = _best(scored.unionByName(fillers.withColumn("score", F.lit(0.0))), k, key)
     return best.join(short, "query_id", "left_anti").unionByName(filled.select(best.columns))
 
 
